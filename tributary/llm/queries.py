@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, mixing, sharding
+from . import licenses, media, mixing, secret_scan, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_license_scan": licenses.op3_license_scan,
         "op4_mixing": mixing.op4_mixing,
         "op5_sharding": sharding.op5_sharding,
+        "op7_secret_scan": secret_scan.op7_secret_scan,
         "op8_media_columns": media.op8_media_columns,
     }
 
