@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, media, mixing, secret_scan, sharding
+from . import language, licenses, media, mixing, secret_scan, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_license_scan": licenses.op3_license_scan,
         "op4_mixing": mixing.op4_mixing,
         "op5_sharding": sharding.op5_sharding,
+        "op6_language_id": language.op6_language_id,
         "op7_secret_scan": secret_scan.op7_secret_scan,
         "op8_media_columns": media.op8_media_columns,
     }
