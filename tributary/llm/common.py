@@ -95,6 +95,16 @@ def arrow_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
+def row_ranges(offsets: np.ndarray, size: int = 1 << 20) -> list[tuple[int, int]]:
+    """Consecutive rows (from, until) of about size bytes; a longer row is alone."""
+    out, a, n = [], 0, len(offsets) - 1
+    while a < n:
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + size, "right")) - 1)
+        out.append((a, min(b, n)))
+        a = min(b, n)
+    return out
+
+
 def word_hashes(raw: np.ndarray, offsets: np.ndarray, chunk: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words (A to Z lower-cased) in the order of the text, and the n + 1 offsets of the rows' words.
 

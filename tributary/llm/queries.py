@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, licenses, media, mixing, secret_scan, sharding
+from . import decontamination, language, licenses, media, mixing, secret_scan, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_language_id": language.op6_language_id,
         "op7_secret_scan": secret_scan.op7_secret_scan,
         "op8_media_columns": media.op8_media_columns,
+        "op9_decontamination": decontamination.op9_decontamination,
     }
 
 
