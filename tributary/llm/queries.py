@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language, licenses, media, mixing, ngram_join, pitman_yor, secret_scan, sharding
+from . import decontamination, language, licenses, media, mixing, ngram_join, pitman_yor, secret_scan, sharding, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lm_scoring": pitman_yor.op1_lm_scoring,
+        "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
         "op2_ngram_join": ngram_join.op2_ngram_join,
         "op3_license_scan": licenses.op3_license_scan,
         "op4_mixing": mixing.op4_mixing,
