@@ -619,7 +619,7 @@ def session_transitions(spark, d):
 
 # --- identity
 
-POINTERS = "SELECT 'c' || c_custkey AS record_id, 'c' || (c_custkey // 3) AS target FROM customer WHERE c_custkey % 3 = 0"
+POINTERS = "SELECT 'c' || c_custkey AS record_id, 'c' || (c_custkey // 3) AS target FROM customer WHERE c_custkey % 3 = 0 AND c_custkey > 0"
 
 
 @query("forwarding_resolve", f"WITH RECURSIVE p AS ({POINTERS}), w AS (SELECT record_id, target AS top, 1 AS hops FROM p UNION ALL SELECT w.record_id, p.target, w.hops + 1 FROM w JOIN p ON w.top = p.record_id WHERE w.hops < 32) SELECT record_id, top AS survivor, CAST(hops AS INTEGER) AS hops FROM w WHERE top NOT IN (SELECT record_id FROM p)")
@@ -628,7 +628,7 @@ def forwarding_resolve(spark, d):
 
 
 def _pointers(spark, d):
-    return A.table(spark, d, "customer").where("c_custkey % 3 = 0").select(F.concat(F.lit("c"), "c_custkey").alias("record_id"), F.concat(F.lit("c"), F.floor(F.col("c_custkey") / 3)).alias("target"))
+    return A.table(spark, d, "customer").where("c_custkey % 3 = 0 AND c_custkey > 0").select(F.concat(F.lit("c"), "c_custkey").alias("record_id"), F.concat(F.lit("c"), F.floor(F.col("c_custkey") / 3)).alias("target"))
 
 
 @query("forwarding_cycles", "SELECT 'n' || n_nationkey AS record_id FROM nation WHERE n_nationkey IN (0, 1, 2, 4, 5, 6, 7, 8)")
