@@ -730,3 +730,64 @@ def blob_store(spark, d):
 @query("minor_units", f"WITH {EV} SELECT event_id, CAST(CAST(value AS DECIMAL(38,1)) / 10 AS DECIMAL(38,1))::VARCHAR AS shown FROM ev WHERE field = 'm_a'")
 def minor_units(spark, d):
     return A.events(spark, d).where("field = 'm_a'").select("event_id", scalars.minor_units(F.col("value"), 1).cast("string").alias("shown"))
+
+
+# --- streams and generated logs
+
+
+def _streamed(spark: SparkSession, d: str, build) -> DataFrame:
+    """The final result of a streaming aggregate over the events file, run to its end."""
+    import uuid
+
+    from ..streaming import incremental as S
+
+    name = f"stream_{uuid.uuid4().hex}"
+    source = S.read_log(spark, d, A.table(spark, d, "events").schema, pattern="events.parquet")
+    run = build(A.shaped(source)).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.table(name)
+
+
+@query("stream_register_current", f"{REGISTERS} SELECT record_id, field, pt, c, node, author, vtag, vtext FROM ({BEST}) WHERE rn = 1")
+def stream_register_current(spark, d):
+    from ..streaming import incremental as S
+
+    def build(events):
+        tag = scalars.tagged(F.when(F.col("event_id") % 7 != 0, F.col("value")), "int")
+        rows = events.where("field = 'd_a'").withColumn("t", tag).select(*GROUP, "t.vtag", "t.vtext", "author", *STAMP)
+        return S.register_current(rows)
+
+    return _streamed(spark, d, build)
+
+
+@query("stream_series_merge", f"{ENTRIES}, {MERGED} SELECT {G}, value, taken_at, recorded_by, pt, c, node FROM merged")
+def stream_series_merge(spark, d):
+    from ..streaming import incremental as S
+
+    def build(events):
+        rows = events.where("field IN ('m_a', 'm_b')").withColumn("recorded_by", F.col("author")).withColumn("supersedes", F.lit(None).cast("string"))
+        return S.series(rows, DEDUP_COLUMNS).drop("supersedes")
+
+    return _streamed(spark, d, build)
+
+
+@query("stream_vectors", f"WITH {EV}, best AS (SELECT 'C' AS replica_id, node, max({{'pt': pt, 'c': c}}) AS h FROM ev GROUP BY node) SELECT replica_id, node, h.pt AS pt, h.c AS c FROM best")
+def stream_vectors(spark, d):
+    from ..streaming import incremental as S
+
+    return _streamed(spark, d, lambda events: S.vector(events.withColumn("replica_id", F.lit("C"))))
+
+
+@query("sim_sweep")
+def sim_sweep(spark, d):
+    """Generated logs of 20 seeds, audited: no violations expected."""
+    from .. import simulator
+
+    return simulator.sweep(spark, 1, 20)
+
+
+@query("sim_fault_counts")
+def sim_fault_counts(spark, d):
+    from .. import simulator
+
+    return reporting.fault_counts(simulator.deliveries(simulator.seeds(spark, 1, 20)))

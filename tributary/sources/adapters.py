@@ -25,8 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row an event, with its stamp, author, day, coarse value and field."""
+    return shaped(table(spark, sf_dir, "events"))
+
+
+def shaped(raw: DataFrame) -> DataFrame:
+    """events() of the events table, or of a stream of it."""
     fields = F.create_map(*[F.lit(x) for pair in FIELD_OF.items() for x in pair])
-    return table(spark, sf_dir, "events").select(
+    return raw.select(
         "event_id",
         "user_id",
         F.concat(F.lit("r"), F.col("user_id") % 10).alias("record_id"),

@@ -20,9 +20,9 @@ from ..operators.merge import ADD, ENTRY, GROUP, REGISTER, REMOVE, STAMP, mask,
 from ..schema import StatusOrder
 
 
-def read_log(spark: SparkSession, path: str, schema: str | T.StructType, files_per_batch: int | None = None) -> DataFrame:
-    """A log folder as a stream: new Parquet files are new operations."""
-    reader = spark.readStream.schema(schema)
+def read_log(spark: SparkSession, path: str, schema: str | T.StructType, files_per_batch: int | None = None, pattern: str = "*.parquet") -> DataFrame:
+    """A log folder as a stream: new Parquet files whose name fits the pattern are new operations."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.parquet(path)
