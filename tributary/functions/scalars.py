@@ -34,7 +34,8 @@ def day(taken_at: Column, zone: str | None = None) -> Column:
     prefix = F.substring_index(taken_at, "T", 1)
     if zone is None:
         return prefix
-    return F.coalesce(F.date_format(F.from_utc_timestamp(F.try_to_timestamp(taken_at), zone), "yyyy-MM-dd"), prefix)
+    dated = F.when(taken_at.rlike(r"^\d{4}-"), F.try_to_timestamp(taken_at))
+    return F.coalesce(F.date_format(F.from_utc_timestamp(dated, zone), "yyyy-MM-dd"), prefix)
 
 
 def minor_units(value: Column, scale: int) -> Column:
