@@ -5,7 +5,7 @@ The link is exact: Jaccard similarity of the sets of word 5-grams of at least 75
 1. Each set's least hashes (a quarter of it and a share of LEAST more) are dealt into hash buckets. Sets that link share at least a known number of those, so a
    class with fewer shared ones is alone. Most of a corpus ends here, without its other n-grams ever moving.
 2. The others' whole sets are counted in buckets the same way. A class needs three quarters of its n-grams in other sets. What is left orders its n-grams by
-   how many sets hold them, rarest first, and linked sets share one of the first quarter. Passages that many documents share come last in that order, so they
+   how many sets hold them, rarest first, and linked sets share one of the first quarter. Passages that many documents share come last in that order (above 65535 holders by hash alone), so they
    join nothing. Classes that share such an n-gram form a block, and blocks hold whole components.
 3. In a block a signature tree is built: a leaf is one set's bitmap and size, a node the OR of its children's bitmaps, their range of sizes and
    most collisions. A dual traversal drops a pair of nodes whose greatest possible overlap or sizes rule out a link, or which are wholly of one component already,
@@ -129,6 +129,25 @@ def _pack(every: np.ndarray, which: np.ndarray) -> bytes:
     return np.array([len(every), wide], np.int64).tobytes() + every.tobytes() + which.astype(np.uint32 if wide else np.uint16).tobytes()
 
 
+def _packed(values: np.ndarray, *others: np.ndarray) -> tuple:
+    """values packed with their distinct ones once, and others at those."""
+    every, first, which = np.unique(values, return_index=True, return_inverse=True)
+    return (_pack(every, which), *(x[first].astype(np.uint32) for x in others))
+
+
+def _unpacked(table: pa.Table, name: str, *others: str) -> tuple[np.ndarray, ...]:
+    """The reverse of _packed, over all rows of a table."""
+    columns = [table[x].to_pylist() for x in (name, *others)]
+    out: list[list[np.ndarray]] = [[] for _ in columns]
+    for data, *rest in zip(*columns):
+        n, wide = np.frombuffer(data, np.int64, 2)
+        which = np.frombuffer(data, np.uint32 if wide else np.uint16, -1, 16 + 8 * n)
+        out[0].append(np.frombuffer(data, np.int64, n, 16)[which])
+        for o, x in zip(out[1:], rest):
+            o.append(np.frombuffer(x, np.uint32)[which].astype(np.int64))
+    return tuple(np.concatenate(o) for o in out)
+
+
 def _unpack(data: bytes) -> np.ndarray:
     n, wide = np.frombuffer(data, np.int64, 2)
     every = np.frombuffer(data, np.int64, n, 16)
@@ -178,30 +197,31 @@ def candidate_edges(sets: DataFrame, buckets: int) -> DataFrame:
             n = np.array([len(t) for t in tokens])
             if n.sum():
                 c = np.repeat(batch.column(0).to_numpy(), n)
-                yield _rows(["bucket", "tokens", "classes", "sizes"], list(dealt(np.concatenate(tokens), buckets, c, np.repeat(n, n))))
+                rows = [(b, t, *_packed(k, size)) for b, t, k, size in dealt(np.concatenate(tokens), buckets, c, np.repeat(n, n))]
+                yield _rows(["bucket", "tokens", "classes", "sizes"], rows)
 
     def replies(table: pa.Table) -> pa.Table:
-        tokens, classes, sizes = _joined(table, "tokens", np.uint64), _joined(table, "classes", np.int64), _joined(table, "sizes", np.int64)
+        tokens, (classes, sizes) = _joined(table, "tokens", np.uint64), _unpacked(table, "classes", "sizes")
         every, at = np.unique(classes, return_index=True)
         size_of = sizes[at]
         token, cls, count = _counted(tokens, classes)
         keep = count > 1
         token, cls, count = token[keep], cls[keep], count[keep]
         rows = list(dealt(mix64(cls.view(np.uint64)), buckets, cls, token, count, size_of[np.searchsorted(every, cls)]))
-        return pa.Table.from_batches([_rows(["bucket", "classes", "tokens", "counts", "sizes"], [(b, *rest) for b, _, *rest in rows])])
+        return pa.Table.from_batches([_rows(["bucket", "classes", "tokens", "counts", "sizes"], [(b, p, t, np.minimum(n, 0xFFFF).astype(np.uint16), z) for b, _, k, t, n, size in rows for p, z in [_packed(k, size)]])])
 
     def rarest(table: pa.Table) -> pa.Table:
-        cls, token, count, size = (_joined(table, x, k) for x, k in (("classes", np.int64), ("tokens", np.uint64), ("counts", np.int64), ("sizes", np.int64)))
+        (cls, size), token, count = _unpacked(table, "classes", "sizes"), _joined(table, "tokens", np.uint64), _joined(table, "counts", np.uint16)
         order = np.lexsort((token, count, cls))
         cls, token, size = cls[order], token[order], size[order]
         first = np.flatnonzero(np.append(True, cls[1:] != cls[:-1])) if len(cls) else np.empty(0, np.int64)
         n = np.diff(np.append(first, len(cls)))
         rank = np.arange(len(cls)) - np.repeat(first, n) + size - np.repeat(n, n)  # those that no other set has come first
         keep = (np.repeat(n, n) >= overlap_needed(size)) & (rank < size - overlap_needed(size) + 1)
-        return pa.Table.from_batches([_rows(["bucket", "tokens", "classes"], list(dealt(token[keep], buckets, cls[keep])))])
+        return pa.Table.from_batches([_rows(["bucket", "tokens", "classes"], [(b, t, *_packed(k)) for b, t, k in dealt(token[keep], buckets, cls[keep])])])
 
     def stars(table: pa.Table) -> pa.Table:
-        token, cls, count = _counted(_joined(table, "tokens", np.uint64), _joined(table, "classes", np.int64))
+        token, cls, count = _counted(_joined(table, "tokens", np.uint64), *_unpacked(table, "classes"))
         first = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.empty(0, np.int64)
         least = np.repeat(cls[first], np.diff(np.append(first, len(token))))
         pairs = np.unique(np.stack([cls[count > 1], least[count > 1]], axis=1), axis=0) if len(token) else np.empty((0, 2), np.int64)
