@@ -360,7 +360,7 @@ def join_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", bucket
     needed = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * NUMERATOR / DENOMINATOR) * LEAST))
     maybe = classes.join(shared, "c").where(F.col("shared") >= needed)
     maybe = written(maybe.select("c", "d", "least"), "maybe", folder)
-    texts = docs.alias("x").join(maybe.alias("m"), F.col("x.doc_id").eqNullSafe(F.col("m.least"))).select("x.text")
+    texts = docs.alias("x").join(maybe.hint("merge").alias("m"), F.col("x.doc_id").eqNullSafe(F.col("m.least"))).select("x.text")
     kept = whole_sets(texts).join(maybe.select("c", "d"), ["c", "d"], "left_semi").dropDuplicates(["c", "d"])
     sets = written(kept, "whole", folder)
     edges = written(candidate_edges(sets, buckets), "candidates", folder)
