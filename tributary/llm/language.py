@@ -131,9 +131,9 @@ def viterbi(scores: np.ndarray, offsets: np.ndarray, switch: float = SWITCH, mos
     """The best label of every word, row by row; rows of like length advance together."""
     lengths = np.diff(offsets)
     labels = np.zeros(len(scores), np.int8 if scores.shape[1] < 128 else np.int16)
-    order = np.argsort(-lengths, kind="stable")
+    order = np.argsort(-lengths, kind="stable")[: np.count_nonzero(lengths)]
     i = 0
-    while i < len(order) and lengths[order[i]]:
+    while i < len(order):
         size = np.cumsum(lengths[order[i:]])
         j = i + max(1, int(np.searchsorted(size, most, "right")))
         rows, i = order[i:j], j
