@@ -45,8 +45,8 @@ TEMPLATES = (
 
 def grams(spark: SparkSession, base=BASE, templates=TEMPLATES, k: int = 3) -> DataFrame:
     """One row for each gram of each template: template, label, is_base, total (its grams), size, hash, gram (words), tpos."""
-    rows = [(i, phrase.split(" "), label, i < len(base)) for i, (phrase, label) in enumerate([*base, *templates])]
-    table = spark.createDataFrame(rows, "template int, words array<string>, label string, is_base boolean")
+    rows = [F.struct(F.lit(i).alias("template"), F.split(F.lit(phrase), " ").alias("words"), F.lit(label).alias("label"), F.lit(i < len(base)).alias("is_base")) for i, (phrase, label) in enumerate([*base, *templates])]
+    table = spark.range(1).select(F.explode(F.array(*rows)).alias("t")).select("t.*")
     table = table.withColumn("size", F.least(F.lit(k), F.size("words"))).withColumn("total", F.size("words") - F.col("size") + 1)
     table = table.withColumn("tpos", F.explode(F.sequence(F.lit(0), F.col("total") - 1)))
     return table.withColumn("gram", F.slice("words", F.col("tpos") + 1, F.col("size"))).withColumn("hash", F.xxhash64("gram")).drop("words")
@@ -58,8 +58,10 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", base=BASE, temp
     Columns: key, text_hash, template, label, is_base, first and last (words), covered (share of the template's grams).
     """
     known = grams(df.sparkSession, base, templates, k)
-    sizes = sorted({r["size"] for r in known.select("size").distinct().collect()})
-    hashes = {n: [r["hash"] for r in known.where(F.col("size") == n).select("hash").distinct().collect()] for n in sizes}
+    hashes: dict[int, list[int]] = {}
+    for r in known.select("size", "hash").distinct().orderBy("size", "hash").collect():
+        hashes.setdefault(r["size"], []).append(r["hash"])
+    sizes = list(hashes)
     lowered = lower_ascii(F.coalesce(F.col(text), F.lit("")))
     split = df.select(F.col(key).alias("key"), F.xxhash64(text).alias("text_hash"), F.regexp_extract_all(lowered, F.lit(LICENSE_WORD), F.lit(0)).alias("words"))
     rows = split.select("key", "text_hash", "words", F.posexplode(F.concat("words", F.array(F.lit(None).cast("string")))).alias("pos", "word"))
