@@ -35,6 +35,8 @@ from .common import arrow_bytes, documents, mix64, row_ranges, work_dir, written
 LENGTH, ANCHOR, SYMBOL = 100, 56, 50
 REACH = LENGTH - ANCHOR  # a window has REACH + 1 pieces
 SHARDS = 4
+#: Buckets of snippets for each bucket of positions: sorting windows takes far more memory than sorting anchors.
+SNIPPET_BUCKETS = 4
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
 
@@ -303,7 +305,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", buc
     buckets = max(64, -(-size // bucket_bytes))
     twins = positions(docs, buckets).groupBy("bucket").applyInArrow(_twins, FOUND)
     spots = written(twins, "spots", folder).groupBy("doc_id", "digest").agg(F.collect_list("found").alias("found"))
-    cut = snippets(spots.join(docs, ["doc_id", "digest"]).select("doc_id", "digest", "found", "text"), buckets)
+    cut = snippets(spots.join(docs, ["doc_id", "digest"]).select("doc_id", "digest", "found", "text"), buckets * SNIPPET_BUCKETS)
     ranges = written(cut.groupBy("bucket").applyInArrow(_removed, RANGES), "ranges", folder)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
