@@ -175,17 +175,18 @@ def _counted(tokens: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.nd
     return token, cls, np.repeat(size, size)
 
 
-def whole_sets(docs: DataFrame) -> DataFrame:
-    """(c, d, n, tokens) of each document."""
+def whole_sets(texts: DataFrame) -> DataFrame:
+    """(c, d, n, tokens) of (text, c, d): texts whose class is the one wanted. A repeated text can come more than once, which later steps allow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = arrow_bytes(batch.column(0))
+            wanted = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()))
             for a, b in row_ranges(offsets):
-                sets = shingles(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                yield _rows(["c", "d", "n", "tokens"], [(*class_of(s), len(s), s) for s in sets])
+                sets = {class_of(s): s for s in shingles(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])}
+                yield _rows(["c", "d", "n", "tokens"], [(*k, len(sets[k]), sets[k]) for k in dict.fromkeys(wanted[a:b]) if k in sets])
 
-    return docs.mapInArrow(run, "c long, d long, n long, tokens binary")
+    return texts.mapInArrow(run, "c long, d long, n long, tokens binary")
 
 
 def candidate_edges(sets: DataFrame, buckets: int) -> DataFrame:
@@ -319,9 +320,10 @@ def tree_join(sets: list[np.ndarray], split: int | None = None) -> np.ndarray:
 
 def block_links(sets: DataFrame, blocks: DataFrame, block_tokens: int) -> DataFrame:
     """(a, b): classes and the least class of their component, as far as one task sees it."""
-    sized = sets.join(blocks.selectExpr("node AS c", "root AS block"), "c")
+    sized = sets.select("c", "n").join(blocks.selectExpr("node AS c", "root AS block"), "c")
     chunks = sized.groupBy("block").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.col("n") + F.lit(200)) / F.lit(block_tokens))).cast("int").alias("chunks"))
-    rows = sized.join(chunks, "block").withColumn("chunk", F.pmod(F.xxhash64("c", "d"), F.col("chunks")).cast("int"))
+    homes = blocks.selectExpr("node AS c", "root AS block").join(chunks, "block")  # without the sets, which move once to meet it
+    rows = sets.join(homes.hint("merge"), "c").withColumn("chunk", F.pmod(F.xxhash64("c", "d"), F.col("chunks")).cast("int"))
     # a chunk meets each other chunk once; a block of one chunk meets itself
     pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda i: F.struct(F.least("chunk", i).alias("i"), F.greatest("chunk", i).alias("j")))
     many = rows.withColumn("pair", F.explode(pairs)).withColumn("task", F.when(F.col("chunks") == 1, F.pmod("block", F.lit(1 << 12))).otherwise(F.xxhash64("block", "pair.i", "pair.j")))
@@ -360,9 +362,8 @@ def join_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", bucket
     needed = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * NUMERATOR / DENOMINATOR) * LEAST))
     maybe = classes.join(shared, "c").where(F.col("shared") >= needed)
     maybe = written(maybe.select("c", "d", "least"), "maybe", folder)
-    texts = docs.alias("x").join(maybe.hint("merge").alias("m"), F.col("x.doc_id").eqNullSafe(F.col("m.least"))).select("x.text")
-    kept = whole_sets(texts).join(maybe.select("c", "d"), ["c", "d"], "left_semi").dropDuplicates(["c", "d"])
-    sets = written(kept, "whole", folder)
+    texts = docs.alias("x").join(maybe.hint("merge").alias("m"), F.col("x.doc_id").eqNullSafe(F.col("m.least"))).select("x.text", "m.c", "m.d")
+    sets = written(whole_sets(texts), "whole", folder)
     edges = written(candidate_edges(sets, buckets), "candidates", folder)
     blocks = components(edges)
     links = written(block_links(sets, blocks, block_tokens), "links", folder)
