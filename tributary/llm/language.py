@@ -73,9 +73,12 @@ def _trigrams(raw: np.ndarray) -> np.ndarray:
 
 def fit(train: DataFrame, label: str = "lang", text: str = "text", key: str = "doc_id", per_language: int = 500) -> Model:
     """Learns from at most per_language rows of each label."""
-    order = W.partitionBy("label").orderBy(F.xxhash64(F.col(key).cast("string"), text))
-    rows = train.select(F.col(label).cast("string").alias("label"), F.col(text).alias("text"), F.col(key)).where("label IS NOT NULL AND text IS NOT NULL")
-    sample = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("label", "text")
+    rows = train.select(F.col(label).cast("string").alias("label"), F.col(text).alias("text"), F.xxhash64(F.col(key).cast("string")).alias("id_hash")).where("label IS NOT NULL AND text IS NOT NULL")
+    # ids are chosen without their texts, so that only the sample's texts move; a repeated id could bring more rows, hence the second limit
+    chosen = rows.select("label", "id_hash").withColumn("n", F.row_number().over(W.partitionBy("label").orderBy("id_hash"))).where(F.col("n") <= per_language)
+    texts = rows.join(F.broadcast(chosen.select("label", "id_hash").distinct()), ["label", "id_hash"])  # at most per_language rows a label
+    again = W.partitionBy("label").orderBy("id_hash", F.xxhash64("text"))
+    sample = texts.withColumn("n", F.row_number().over(again)).where(F.col("n") <= per_language).select("label", "text")
 
     def count(table: pa.Table) -> pa.Table:
         sums, scripts = np.zeros(1 << BITS, np.int64), np.zeros(len(SCRIPT_NAMES), np.int64)
