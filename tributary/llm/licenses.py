@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import documents, lower_ascii
+from .common import documents, lower_ascii, written
 
 LICENSE_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases whose every place counts, and their labels.
@@ -73,7 +73,7 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", base=BASE, temp
     table = known.select("template", "label", "is_base", "total", F.col("size").alias("n"), F.col("hash").alias("h"), F.col("gram").alias("g"), "tpos")
     joined = found.join(F.broadcast(table), (F.col("hash") == F.col("h")) & (F.col("size") == F.col("n")) & (F.col("gram") == F.col("g")), "left")
     votes = joined.where("template IS NOT NULL OR size IS NULL").select("key", "text_hash", "template", "label", "is_base", "total", "size", "tpos", "pos", (F.col("pos") - F.col("tpos")).alias("diagonal"))
-    votes = votes.repartition("key", "text_hash")
+    votes = written(votes.repartition("key", "text_hash"), "votes")  # read by both branches below; the texts are scanned once
     line = ["key", "text_hash", "template"]
     by_diagonal = votes.groupBy(*line, "diagonal").agg(F.first("label").alias("label"), F.first("is_base").alias("is_base"), F.first("total").alias("total"), F.count_distinct("tpos").alias("votes"), F.min("pos").alias("first"), (F.max("pos") + F.coalesce(F.max("size"), F.lit(1)) - 1).alias("last"))
     whole = by_diagonal.where("template IS NULL OR (is_base AND votes = total)").select(*line, "label", "is_base", "first", "last", F.lit(1.0).alias("covered"))
