@@ -80,7 +80,8 @@ def test_merged_transforms_equal_a_sort(collections, depth):
 def test_every_window_has_its_anchor():
     raw = np.frombuffer((prose(1, 200) + "a" * 300).encode(), np.uint8)
     offsets = np.array([0, 50, 50, 400, len(raw)])
-    h, row, first, last = X.anchors(raw, offsets)
+    h, row, first, last, skip = X.anchors(raw, offsets)
+    assert (X.piece_hashes(raw, X.ANCHOR)[offsets[row] + first + skip] == h).all()
     windows = {(r, s) for r, a, b in zip(row, first, last) for s in range(a, b + 1)}
     assert windows == {(r, s) for r in range(4) for s in range(offsets[r + 1] - offsets[r] - X.LENGTH + 1)}
     assert sum(b - a + 1 for a, b in zip(first, last)) == len(windows)

@@ -37,6 +37,8 @@ REACH = LENGTH - ANCHOR  # a window has REACH + 1 pieces
 SHARDS = 4
 #: Buckets of snippets for each bucket of positions: sorting windows takes far more memory than sorting anchors.
 SNIPPET_BUCKETS = 4
+#: Windows sorted at once, unless more share an anchor at one distance.
+AT_ONCE = 150_000
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
 
@@ -69,10 +71,10 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(hash, row, first window, last window) of the runs of windows that share an anchor; windows are numbered by their starts in the row."""
+    """(hash, row, first window, last window, how far the anchor is from the first) of the runs of windows that share an anchor; windows are numbered by their starts in the row."""
     none = np.empty(0, np.int64)
     if len(raw) < LENGTH:
-        return np.empty(0, np.uint64), none, none, none
+        return np.empty(0, np.uint64), none, none, none, none
     hashes = piece_hashes(raw, ANCHOR)
     places = np.arange(len(hashes), dtype=np.uint64)
     low = np.uint64((1 << 24) - 1)
@@ -82,13 +84,13 @@ def anchors(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     inside = np.arange(len(least)) + LENGTH <= offsets[row_of + 1]
     start = np.flatnonzero(inside)
     if not len(start):
-        return np.empty(0, np.uint64), none, none, none
+        return np.empty(0, np.uint64), none, none, none, none
     row, pick = row_of[start], least[start]
     new = np.flatnonzero(np.append(True, (pick[1:] != pick[:-1]) | (row[1:] != row[:-1])))
     last = np.append(new[1:], len(start)) - 1
     at = start[new]
     spot = at + ((pick[new] & low).astype(np.int64) - at) % (1 << 24)
-    return hashes[spot], row[new], at - offsets[row[new]], start[last] - offsets[row[new]]
+    return hashes[spot], row[new], at - offsets[row[new]], start[last] - offsets[row[new]], spot - at
 
 
 def _deal(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -108,7 +110,7 @@ def _cat(rows: list[dict], name: str, kind) -> np.ndarray:
     return np.frombuffer(b"".join(r[name] for r in rows), kind)
 
 
-POSITIONS = "bucket int, ids binary, digests binary, hashes binary, rows binary, firsts binary, runs binary"
+POSITIONS = "bucket int, ids binary, digests binary, hashes binary, rows binary, firsts binary, runs binary, skips binary"
 
 
 def positions(docs: DataFrame, buckets: int) -> DataFrame:
@@ -120,15 +122,15 @@ def positions(docs: DataFrame, buckets: int) -> DataFrame:
             raw, offsets = arrow_bytes(batch.column(2))
             parts = []
             for a, b in row_ranges(offsets):
-                h, r, f, e = anchors(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                parts.append((h, r + a, f, e - f))
+                h, r, f, e, k = anchors(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                parts.append((h, r + a, f, e - f, k.astype(np.uint8)))
             if not parts:
                 continue
-            h, r, f, n = (np.concatenate([p[i] for p in parts]) for i in range(4))
+            h, r, f, n, k = (np.concatenate([p[i] for p in parts]) for i in range(5))
             rows = []
             for b, take in _deal(((h >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)):
                 here, which = np.unique(r[take], return_inverse=True)
-                rows.append((b, ids[here], digests[here], h[take], which.astype(np.uint32), f[take].astype(np.uint32), n[take].astype(np.uint8)))
+                rows.append((b, ids[here], digests[here], h[take], which.astype(np.uint32), f[take].astype(np.uint32), n[take].astype(np.uint8), k[take]))
             if rows:
                 yield _batch(POSITIONS, rows)
 
@@ -136,7 +138,7 @@ def positions(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 FOUND = "doc_id long, digest long, found binary"
-_SPOT = np.dtype([("hash", "<u8"), ("first", "<u4"), ("run", "u1")])
+_SPOT = np.dtype([("hash", "<u8"), ("first", "<u4"), ("run", "u1"), ("skip", "u1")])
 
 
 def _twins(table: pa.Table) -> pa.Table:
@@ -148,7 +150,7 @@ def _twins(table: pa.Table) -> pa.Table:
         ids.append(np.frombuffer(r["ids"], np.int64)[which])
         digests.append(np.frombuffer(r["digests"], np.int64)[which])
         spot = np.empty(len(which), _SPOT)
-        spot["hash"], spot["first"], spot["run"] = np.frombuffer(r["hashes"], np.uint64), np.frombuffer(r["firsts"], np.uint32), np.frombuffer(r["runs"], np.uint8)
+        spot["hash"], spot["first"], spot["run"], spot["skip"] = np.frombuffer(r["hashes"], np.uint64), np.frombuffer(r["firsts"], np.uint32), np.frombuffer(r["runs"], np.uint8), np.frombuffer(r["skips"], np.uint8)
         spots.append(spot)
     ids, digests, spots = np.concatenate(ids), np.concatenate(digests), np.concatenate(spots)
     # equal texts have equal anchors: the least id of a digest stands for all
@@ -176,7 +178,7 @@ def _twins(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_batch(FOUND, [(int(ids[b]), int(digests[b]), spots[b:e].tobytes()) for b, e in zip(begin, end)])])
 
 
-SNIPPETS = "bucket int, batch long, ids binary, digests binary, hashes binary, firsts binary, runs binary, bytes binary"
+SNIPPETS = "bucket int, batch long, ids binary, digests binary, hashes binary, firsts binary, runs binary, skips binary, bytes binary"
 
 
 def snippets(found: DataFrame, buckets: int) -> DataFrame:
@@ -199,7 +201,7 @@ def snippets(found: DataFrame, buckets: int) -> DataFrame:
                     size = s["run"].astype(np.int64) + LENGTH
                     begin = offsets[r] + s["first"]
                     cut = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-                    rows.append((k, number, ids[r], digests[r], s["hash"].copy(), s["first"].copy(), s["run"].copy(), raw[cut]))
+                    rows.append((k, number, ids[r], digests[r], s["hash"].copy(), s["first"].copy(), s["run"].copy(), s["skip"].copy(), raw[cut]))
                 yield _batch(SNIPPETS, rows)
                 number += 1
 
@@ -209,45 +211,56 @@ def snippets(found: DataFrame, buckets: int) -> DataFrame:
 RANGES = "doc_id long, digest long, ranges binary"
 
 
-def repeated_starts(size: np.ndarray, raw: np.ndarray, order: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(snippet, start) of all windows of the snippets that an earlier one equals. order: the snippets' places in the order of the corpus."""
+def repeated_starts(size: np.ndarray, raw: np.ndarray, order: np.ndarray, shard: np.ndarray, hashes: np.ndarray, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(snippet, start) of all windows of the snippets that an earlier one equals. order: the snippets' places in the order of the corpus.
+
+    Equal windows have the same anchor at the same distance, so windows are taken by these, some at a time.
+    """
     begin = np.cumsum(size) - size
+    windows = size - LENGTH + 1
+    symbol = piece_hashes(raw, SYMBOL).view(np.int64)
+    snippet = np.repeat(np.arange(len(size), dtype=np.int32), windows)
+    start = (np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)).astype(np.int32)
+    _, kind = np.unique(hashes, return_inverse=True)
+    group = kind[snippet] * (REACH + 1) + (skip[snippet] - start)
+    by = np.argsort(group, kind="stable")
+    cuts = np.append(np.flatnonzero(np.append(True, group[by][1:] != group[by][:-1])), len(by))
+    del group
+    found, i = [], 0
+    while i < len(cuts) - 1:
+        j = max(i + 1, int(np.searchsorted(cuts, cuts[i] + AT_ONCE, "right")) - 1)
+        some = by[cuts[i] : cuts[j]]
+        found.append(some[_later(begin[snippet[some]] + start[some], order[snippet[some]], start[some], shard[snippet[some]], symbol)])
+        i = j
+    again = np.concatenate(found) if found else np.empty(0, np.int64)
+    return snippet[again].astype(np.int64), start[again].astype(np.int64)
+
+
+def _later(place: np.ndarray, order: np.ndarray, start: np.ndarray, shard: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """Which windows (by where they begin in the bytes of symbol) equal one that is earlier in the corpus."""
     depth = LENGTH // SYMBOL
-    symbol = piece_hashes(raw, SYMBOL)
-    symbol = np.append(symbol, np.zeros(len(raw) - len(symbol), np.uint64)).view(np.int64)
     parts = []
-    windows = size - LENGTH + 1
     for s in range(SHARDS):
         mine = np.flatnonzero(shard == s)
-        # a string for each of the first SYMBOL starts of a snippet: the symbols that begin every SYMBOL bytes from there
-        phases = np.minimum(windows[mine], SYMBOL)
-        snippet = np.repeat(mine, phases)
-        phase = np.arange(int(phases.sum())) - np.repeat(np.cumsum(phases) - phases, phases)
-        count = (size[snippet] - phase) // SYMBOL
-        total = count + 1
-        at = np.cumsum(total) - total
-        step = np.arange(int(total.sum())) - np.repeat(at, total)
-        place = np.repeat(begin[snippet] + phase, total) + step * SYMBOL
-        last = step == np.repeat(count, total)
-        symbols = np.where(last, END, symbol[np.minimum(place, len(raw) - 1)])
-        # suffixes that are not whole windows keep the string together but are not reported
-        whole = step + depth <= np.repeat(count, total)
-        parts.append(transform(symbols, np.where(whole, place, -1), depth))
+        strings = np.full((len(mine), depth + 1), END)
+        for d in range(depth):
+            strings[:, d] = symbol[place[mine] + d * SYMBOL]
+        names = np.full(strings.shape, -1)
+        names[:, 0] = mine  # suffixes that are not whole windows are not reported
+        parts.append(transform(strings.ravel(), names.ravel(), depth))
     merged, block = merge_all(parts, depth)
     real = merged.place >= 0
-    place, block = merged.place[real], block[real]
-    owner = np.searchsorted(begin, place, "right") - 1
-    start = place - begin[owner]
-    by = np.lexsort((start, order[owner], block))
+    window, block = merged.place[real], block[real]
+    by = np.lexsort((start[window], order[window], block))
     first = np.append(True, block[by][1:] != block[by][:-1]) if len(by) else np.empty(0, bool)
-    again = by[~first]
-    return owner[again], start[again]
+    return window[by[~first]]
 
 
 def _removed(table: pa.Table) -> pa.Table:
     rows = sorted(table.to_pylist(), key=lambda r: r["batch"])
     ids, digests, hashes = (_cat(rows, n, k) for n, k in (("ids", np.int64), ("digests", np.int64), ("hashes", np.uint64)))
     first, run, raw = _cat(rows, "firsts", np.uint32).astype(np.int64), _cat(rows, "runs", np.uint8).astype(np.int64), _cat(rows, "bytes", np.uint8)
+    skip = _cat(rows, "skips", np.uint8).astype(np.int64)
     shard = np.repeat(np.arange(len(rows)) * SHARDS // max(1, len(rows)), [len(r["ids"]) // 8 for r in rows])
     size = run + LENGTH
     begin = np.cumsum(size) - size
@@ -257,14 +270,16 @@ def _removed(table: pa.Table) -> pa.Table:
     twice = np.zeros((2, len(ids)), np.uint64)
     spread = np.arange(len(raw)) - np.repeat(begin, size)
     value = mix64((raw.astype(np.uint64) + np.uint64(1)) * _M[0] + spread.astype(np.uint64) * _M[1])
-    for i, v in enumerate((value, mix64(value ^ _M[2]))):
-        twice[i] = np.add.reduceat(v, begin)
+    del spread
+    twice[0] = np.add.reduceat(value, begin)
+    twice[1] = np.add.reduceat(mix64(value ^ _M[2]), begin)
+    del value
     by = np.lexsort((rank, run, twice[1], twice[0], hashes))
     new = np.ones(len(by), bool)
     new[1:] = (hashes[by][1:] != hashes[by][:-1]) | (twice[0][by][1:] != twice[0][by][:-1]) | (twice[1][by][1:] != twice[1][by][:-1]) | (run[by][1:] != run[by][:-1])
     whole, some = by[~new], np.sort(by[new])
     cut = np.repeat(begin[some] - np.cumsum(size[some]) + size[some], size[some]) + np.arange(int(size[some].sum()))
-    owner, start = repeated_starts(size[some], raw[cut], rank[some], shard[some])
+    owner, start = repeated_starts(size[some], raw[cut], rank[some], shard[some], hashes[some], skip[some])
     who = np.concatenate([some[owner], np.repeat(whole, run[whole] + 1)])
     at = np.concatenate([first[some[owner]] + start, np.repeat(first[whole], run[whole] + 1) + (np.arange(int((run[whole] + 1).sum())) - np.repeat(np.cumsum(run[whole] + 1) - run[whole] - 1, run[whole] + 1))])
     doc, digest = ids[who], digests[who]
