@@ -59,7 +59,7 @@ def tokens_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def _pieces(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     raw, offsets = arrow_bytes(batch.column(column))
-    for a, b in row_ranges(offsets, 16 << 20):
+    for a, b in row_ranges(offsets, 4 << 20):
         for x in range(a, b, 1 << 16):
             y = min(b, x + (1 << 16))
             yield x, y, raw[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x]
@@ -104,6 +104,7 @@ def deal(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
                     packed, last = np.repeat(packed, parts), n - (parts - 1) * 65535
                     n = np.full(len(packed), 65535)
                     n[np.cumsum(parts) - 1] = last
+                del word, context, which
                 w = (packed >> np.uint64(28)).astype(np.int64)
                 c = ((packed >> np.uint64(16)) & np.uint64(0xFFF)).astype(np.uint16)
                 r = (packed & np.uint64(0xFFFF)).astype(np.uint16)
@@ -169,13 +170,14 @@ class Seating:
 
     def __init__(self, customers: np.ndarray, mass: np.ndarray, discount: float, rng: np.random.Generator):
         self.n, self.discount, self.rng = customers, discount, rng
-        self.first = np.cumsum(customers) - customers
         total = int(customers.sum())
-        self.dish = np.repeat(np.arange(len(customers)), customers)
-        self.table = np.arange(total)  # the customer who opened it names a table
-        self.size = np.zeros(total, np.int64)
+        kind = np.int32 if total < 1 << 31 else np.int64
+        self.first = (np.cumsum(customers) - customers).astype(kind)
+        self.dish = np.repeat(np.arange(len(customers), dtype=kind), customers)
+        self.table = np.arange(total, dtype=kind)  # the customer who opened it names a table
+        self.size = np.zeros(total, kind)
         self.tables = np.minimum(customers, 1)
-        place = np.arange(total) - self.first[self.dish]
+        place = self.table - self.first[self.dish]
         self.size[self.first[customers > 0]] = 1
         most, done = int(customers.max(initial=0)), 1
         while done < most:  # in rounds that double: newcomers see those of earlier rounds
@@ -187,6 +189,7 @@ class Seating:
             np.add.at(self.size, self.table[new], 1)
             self.tables += np.bincount(d[opens], minlength=len(customers))
             done *= 2
+        del self.dish
 
     def _seat(self, dish: np.ndarray, among: np.ndarray) -> np.ndarray:
         """A table of each dish with probability as its size less the discount, among its first customers."""
@@ -298,7 +301,7 @@ def sample(bucket: Bucket, s: Settings, number: int) -> Iterator[tuple[np.ndarra
         yield tables, parent_customers, parent_tables
 
 
-def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 5, held: int = 1, seed: int = 1, bucket_bytes: int = 8 << 20) -> DataFrame:
+def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 5, held: int = 1, seed: int = 1, bucket_bytes: int = 2 << 20) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row of docs."""
     spark = docs.sparkSession
     folder = work_dir(spark)
@@ -338,24 +341,28 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", fo
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(sample, what, id, value): tables (0) and customers (1) of contexts, customers (2) and tables (3) of the parent; for split words customers (4), tables (5) and tokens (6)."""
+        everywhere = np.arange(CONTEXTS)
         for batch in batches:
-            for i in range(batch.num_rows):
+            contexts, customers_of = np.zeros((SAMPLES, CONTEXTS), np.int64), np.zeros(CONTEXTS, np.int64)
+            parents = np.zeros((2, SAMPLES), np.int64)
+            out = []
+            for i in range(batch.num_rows):  # added up over the buckets of a batch
                 number, b = load(batch, i)
-                out = []
-                everywhere = np.arange(CONTEXTS)
-                held_here = np.flatnonzero(np.isin(b.words, hot))
+                whole = ~np.isin(b.words, hot)
+                held_here = np.flatnonzero(~whole)
+                names = b.words[held_here].view(np.int64)
+                customers_of += np.bincount(b.context, b.customers, CONTEXTS).astype(np.int64)
                 for m, (tables, customers, parent_tables) in enumerate(sample(b, settings, number)):
-                    out.append((m, 0, everywhere, np.bincount(b.context, tables, CONTEXTS)))
-                    out.append((m, 1, everywhere, np.bincount(b.context, b.customers, CONTEXTS)))
-                    whole = ~np.isin(b.words, hot)
-                    out.append((m, 2, [0, 0], [customers.sum(), 0]))
-                    out.append((m, 3, [0], [parent_tables[whole].sum()]))
-                    names = b.words[held_here].view(np.int64)
-                    out.append((m, 4, names, customers[held_here]))
-                    out.append((m, 5, names, parent_tables[held_here]))
-                    out.append((m, 6, names, np.bincount(b.word, b.customers, len(b.words))[held_here]))
-                n = [len(o[2]) for o in out]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat([o[0] for o in out], n), pa.int32()), pa.array(np.repeat([o[1] for o in out], n), pa.int32()), pa.array(np.concatenate([np.asarray(o[2], np.int64) for o in out])), pa.array(np.concatenate([np.asarray(o[3]) for o in out]).astype(np.int64))], names=["m", "what", "id", "value"])
+                    contexts[m] += np.bincount(b.context, tables, CONTEXTS).astype(np.int64)
+                    parents[:, m] += (customers.sum(), parent_tables[whole].sum())
+                    if len(names):
+                        tokens = np.bincount(b.word, b.customers, len(b.words))[held_here]
+                        out += [(m, 4, names, customers[held_here]), (m, 5, names, parent_tables[held_here]), (m, 6, names, tokens)]
+            for m in range(SAMPLES):
+                out += [(m, 0, everywhere, contexts[m]), (m, 2, [0], [parents[0, m]]), (m, 3, [0], [parents[1, m]])]
+            out.append((0, 1, everywhere, customers_of))
+            n = [len(o[2]) for o in out]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat([o[0] for o in out], n), pa.int32()), pa.array(np.repeat([o[1] for o in out], n), pa.int32()), pa.array(np.concatenate([np.asarray(o[2], np.int64) for o in out])), pa.array(np.concatenate([np.asarray(o[3]) for o in out]).astype(np.int64))], names=["m", "what", "id", "value"])
 
     sums = work.mapInArrow(total, "m int, what int, id long, value long").groupBy("m", "what", "id").agg(F.sum("value").alias("value"))
     got = sums.where("value <> 0").collect()  # at most SAMPLES times (2 CONTEXTS + 3 HOT + 2) rows
@@ -377,6 +384,8 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", fo
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            held: list[list[np.ndarray]] = []  # sums by (batch, row) of some buckets, added up before they are sent
+            number = -1
             for i in range(batch.num_rows):
                 number, b = load(batch, i)
                 tokens = np.bincount(b.word, b.customers, len(b.words))
@@ -394,12 +403,14 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", fo
                     p += (own + back * parent[b.word]) / (STRENGTH + context_customers[b.context])
                 log_p = np.log10(p / SAMPLES)
                 log_base = np.log10(np.maximum(unknown, (tokens + 0.5) / (settings.tokens + 0.5 * (settings.vocabulary + 1))))
-                w = b.word[b.dish]
-                order = np.argsort(b.batch, kind="stable")
-                names, first = np.unique(b.batch[order], return_index=True)
-                for name, begin, end in zip(names.tolist(), first.tolist(), [*first[1:].tolist(), len(order)]):
-                    take = order[begin:end]
-                    yield _sums(number, name, b.row[take], b.count[take], log_p[b.dish[take]], log_base[w[take]], tokens[w[take]] > 0)
+                w, n = b.word[b.dish], b.count.astype(np.float64)
+                held.append([b.batch, b.row, n * (tokens[w] > 0), n * log_base[w], n * log_p[b.dish]])
+                if sum(len(h[0]) for h in held) > 2_000_000:
+                    held = [_added(held)]
+                    if len(held[0][0]) > 1_000_000:
+                        yield _sent(number, held.pop())
+            if held:
+                yield _sent(number, _added(held))
 
     partial = work.mapInArrow(score, "bucket int, batch_id long, rows binary, known binary, base binary, score binary")
     lists = stored.where(F.col("bucket") >= buckets).selectExpr("bucket", "batch_id", "words AS rows", "word AS known", "context AS base", "customers AS score")
@@ -414,21 +425,30 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", fo
         known, base, full = np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
         for r in parts:
             at = np.frombuffer(r["rows"], np.uint16)
-            known[at] += np.frombuffer(r["known"], np.int64)
+            known[at] += np.frombuffer(r["known"], np.uint32)
             base[at] += np.frombuffer(r["base"])
-            full[at] += np.frombuffer(r["score"])
+            full[at] += np.frombuffer(r["score"], np.float32)
         return pa.table({"doc_id": pa.array(ids, mask=~valid), "held_out": ~train, "n_tokens": np.frombuffer(head["base"], np.int64), "n_known": known, "train_tokens": np.full(n, settings.tokens, np.int64), "base_score": base, "score": full})
 
     return partial.unionByName(lists).groupBy("batch_id").applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def _sums(number, name, row, count, log_p, log_base, known) -> pa.RecordBatch:
-    rows, which = np.unique(row, return_inverse=True)
-    n = count.astype(np.float64)
-    total = lambda x: np.bincount(which, x, len(rows))
-    values = [number, name, rows.tobytes(), total(n * known).astype(np.int64).tobytes(), total(n * log_base).tobytes(), total(n * log_p).tobytes()]
-    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 4]
-    return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=["bucket", "batch_id", "rows", "known", "base", "score"])
+def _added(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """Sums of all parts by (batch, row)."""
+    batch, row = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+    batches, which = np.unique(batch, return_inverse=True)
+    keys, where = np.unique((which.astype(np.int64) << 16) | row, return_inverse=True)
+    sums = [np.bincount(where, np.concatenate([p[i] for p in parts]), len(keys)) for i in (2, 3, 4)]
+    return [batches[keys >> 16], (keys & 0xFFFF).astype(np.uint16), *sums]
+
+
+def _sent(number: int, sums: list[np.ndarray]) -> pa.RecordBatch:
+    """One row for each batch."""
+    batch, row, known, base, full = sums
+    begin = np.flatnonzero(np.append(True, batch[1:] != batch[:-1]))
+    cuts = list(zip(begin.tolist(), [*begin[1:].tolist(), len(batch)]))
+    blobs = [[x[i:j].tobytes() for i, j in cuts] for x in (row, known.astype(np.uint32), base, full.astype(np.float32))]
+    return pa.RecordBatch.from_arrays([pa.array([number] * len(cuts), pa.int32()), pa.array(batch[begin], pa.int64()), *(pa.array(x, pa.binary()) for x in blobs)], names=["bucket", "batch_id", "rows", "known", "base", "score"])
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
