@@ -405,9 +405,9 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", fo
                 log_base = np.log10(np.maximum(unknown, (tokens + 0.5) / (settings.tokens + 0.5 * (settings.vocabulary + 1))))
                 w, n = b.word[b.dish], b.count.astype(np.float64)
                 held.append([b.batch, b.row, n * (tokens[w] > 0), n * log_base[w], n * log_p[b.dish]])
-                if sum(len(h[0]) for h in held) > 2_000_000:
+                if sum(len(h[0]) for h in held) > 400_000:
                     held = [_added(held)]
-                    if len(held[0][0]) > 1_000_000:
+                    if len(held[0][0]) > 200_000:
                         yield _sent(number, held.pop())
             if held:
                 yield _sent(number, _added(held))
