@@ -93,6 +93,27 @@ def test_tree_join_equals_all_pairs():
             assert all(N.linked(sets[i], sets[j]) is False or cross[i] == cross[j] for i in range(half) for j in range(half, len(sets)))
 
 
+def test_tree_join_of_chunks_with_sets_of_different_widths():
+    rng = np.random.default_rng(4)
+    for small, large in ((100, 600), (600, 100), (20, 5000), (128, 129)):
+        x = np.unique(rng.integers(0, 1 << 62, small).astype(np.uint64))
+        y = np.unique(rng.integers(0, 1 << 62, large).astype(np.uint64))
+        sets = [x, x[2:], y, x[1:], y[3:]]
+        label = N.tree_join(sets, 2)
+        assert label[0] == label[1] == label[3] and label[2] != label[0]
+        label = N.tree_join(sets, 3)
+        assert label[0] == label[1] == label[3] and label[2] == label[4] != label[0]
+
+
+def test_chunked_block_of_mixed_lengths(spark):
+    """One block whose chunks' largest sets lie on different sides of a bitmap's width."""
+    long = prose(7, 1500)
+    rows = [(i, edited(long, i, 0.004), "en", "s") for i in range(3)]
+    for n in (1200, 950, 740, 580, 450, 350, 270, 210, 160, 125, 100, 80, 62):  # each begins the one before, so all are one component
+        rows.append((len(rows), " ".join(long.split()[:n]), "en", "s"))
+    assert got(N.join_groups(make(spark, rows), block_tokens=900)) == sorted(brute(rows), key=repr)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (102, 101), (7, 7), (200, 200), (None, 3)]
     df = spark.createDataFrame(edges, "a long, b long")

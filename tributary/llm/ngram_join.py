@@ -239,10 +239,11 @@ class SignatureTree:
 
     FANOUT = 8
 
-    def __init__(self, sets: list[np.ndarray]):
+    def __init__(self, sets: list[np.ndarray], most: int):
+        """most: the largest size of a set in any tree that this one meets, since their bitmaps need one width."""
         self.sets = sets
         sizes = np.array([len(s) for s in sets], np.int64)
-        bits = 1 << int(np.clip(np.ceil(np.log2(4 * sizes.max())), 9, 14))
+        bits = 1 << int(np.clip(np.ceil(np.log2(4 * most)), 9, 14))
         marks = np.zeros((len(sets), bits // 64), np.uint64)
         for i, s in enumerate(sets):
             bit = s & np.uint64(bits - 1)
@@ -280,7 +281,8 @@ def tree_join(sets: list[np.ndarray], split: int | None = None) -> np.ndarray:
     label = np.arange(n)
     if len(orders) < len(parts) or not n:
         return label
-    trees = [SignatureTree([sets[i] for i in o]) for o in orders]
+    most = max(len(s) for s in sets)
+    trees = [SignatureTree([sets[i] for i in o], most) for o in orders]
     order, tree = (orders[0], orders[-1]), (trees[0], trees[-1])
     fan, same = SignatureTree.FANOUT, split is None
 
