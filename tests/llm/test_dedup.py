@@ -58,6 +58,14 @@ def test_passages_edits_and_runs(spark):
     assert got(X.remove_repeats(make(spark, rows[::-1]).repartition(5))) == brute(rows)
 
 
+def test_repeated_rows_keep_their_first_occurrence(spark):
+    passage = prose(70, 40)
+    first, second = prose(71, 20) + " " + passage + " " + prose(72, 20), prose(73, 20) + " " + passage + " " + prose(74, 20)
+    rows = [(1, first, "en", "a"), (1, first, "en", "a"), (2, second, "en", "a"), (2, second, "en", "b"), (None, prose(75, 30) + passage[:150], "en", "a"), (None, prose(75, 30) + passage[:150], "en", "a")]
+    for some in (rows[:3], rows):
+        assert got(X.remove_repeats(make(spark, some))) == brute(some)
+
+
 SYMBOLS = st.lists(st.lists(st.integers(0, 2), max_size=6), max_size=4)
 
 

@@ -277,7 +277,9 @@ def _removed(table: pa.Table) -> pa.Table:
     by = np.lexsort((rank, run, twice[1], twice[0], hashes))
     new = np.ones(len(by), bool)
     new[1:] = (hashes[by][1:] != hashes[by][:-1]) | (twice[0][by][1:] != twice[0][by][:-1]) | (twice[1][by][1:] != twice[1][by][:-1]) | (run[by][1:] != run[by][:-1])
-    whole, some = by[~new], np.sort(by[new])
+    same = np.zeros(len(by), bool)  # cut from a repeated row: the very snippet before, which repeats nothing
+    same[1:] = (ids[by][1:] == ids[by][:-1]) & (digests[by][1:] == digests[by][:-1]) & (first[by][1:] == first[by][:-1])
+    whole, some = by[~new & ~same], np.sort(by[new])
     cut = np.repeat(begin[some] - np.cumsum(size[some]) + size[some], size[some]) + np.arange(int(size[some].sum()))
     owner, start = repeated_starts(size[some], raw[cut], rank[some], shard[some], hashes[some], skip[some])
     who = np.concatenate([some[owner], np.repeat(whole, run[whole] + 1)])
