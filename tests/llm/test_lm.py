@@ -81,6 +81,40 @@ def test_gibbs_matches_exact_table_counts():
     assert abs((seats.tables == 1).mean() - 0.5 / (0.5 + 0.9)) < 0.015
 
 
+def exact_tables(n, a, log_p, d):
+    """Mean and deviation of the table count, by the recursion of the coefficients."""
+    row = np.full(n + 1, -np.inf)
+    row[0] = 0
+    t = np.arange(1, n + 1)
+    for k in range(n):
+        rest = np.maximum(k - d * t, 0)
+        with np.errstate(divide="ignore"):
+            row = np.append(-np.inf, np.logaddexp(math.log(d) + row[:-1], np.log(rest) + row[1:]))
+    w = row[1:] + np.cumsum(np.log(a + t - 1) + log_p)
+    w = np.exp(w - w.max())
+    mean = (w * t).sum() / w.sum()
+    return mean, math.sqrt((w * t * t).sum() / w.sum() - mean * mean)
+
+
+def test_table_counts_of_large_dishes_are_exact():
+    rng = np.random.Generator(np.random.PCG64(8))
+    for n, others, p, d in ((1000, 7000, 0.001, 0.7), (1500, 7000, 0.001, 0.7), (3000, 50, 0.3, 0.5), (2000, 10**6, 1e-6, 0.9), (1100, 3, 1e-4, 0.2), (5000, 10**5, 0.01, 0.7), (1200, 10**6, 0.5, 0.6)):
+        mean, deviation = exact_tables(n, 1 / d + others, math.log(p), d)
+        m = 4000
+        got = P.table_counts(np.full(m, n), np.full(m, float(others)), np.full(m, math.log(p)), 1.0, d, rng)
+        assert abs(got.mean() - mean) < 5 * deviation / math.sqrt(m) + 1e-3 * mean / 100
+        assert abs(got.std() - deviation) < 0.08 * deviation + 0.02
+
+
+def test_sweeps_of_a_dish_of_1000_customers_are_exact():
+    """A fixed mass of 5: sample()'s sweeps must have the table counts of one-at-a-time Gibbs in equilibrium."""
+    a, log_p, d = 1e9, math.log(5 / (0.7 * 1e9)), 0.7
+    mean, _ = exact_tables(1000, a, log_p, d)
+    rng = np.random.Generator(np.random.PCG64(9))
+    got = P.table_counts(np.full(3000, 1000), np.full(3000, a), np.full(3000, log_p), 1.0, d, rng)
+    assert abs(got.mean() - mean) < 0.02 * mean
+
+
 def test_split_words_change_nothing_exact(spark, monkeypatch):
     rows = [(i, prose(i, 60), "en", "a") for i in range(30)]
     check(P.score_documents(make(spark, rows)), rows)  # with so few tokens every word is frequent

@@ -2,8 +2,8 @@
 
 Restaurants: one for each class of the previous word (``CONTEXTS`` hashed classes, the start of a text among them), all with the same parent, the unigram restaurant, whose
 base is uniform over the known words and one unknown word. A word's customers in a context sit at tables; each table is a customer of the parent. Seating is
-sampled by Gibbs: one customer of every dish at a time leaves its table and takes a seat anew, with the counts as they stand; the parent is seated
-after each sweep. Predictive probabilities are averaged over ``SAMPLES`` seatings.
+sampled by Gibbs: a sweep seats all customers of every dish anew, as the number of their tables is all that scores need and is drawn from its exact conditional
+(``table_counts``); the parent is seated the same way after each sweep. Predictive probabilities are averaged over ``SAMPLES`` seatings.
 
 Everything about a word (its dishes in all contexts, its parent customers, its places in documents) is in the bucket of its hash, so a bucket is sampled alone;
 only the totals of the restaurants (one number a context and sample) are added up over buckets. During sampling a bucket estimates these totals by its own share;
@@ -166,7 +166,7 @@ def gathered(rows: list[dict]) -> Bucket:
 
 
 class Seating:
-    """Customers of dishes at tables, in flat arrays. mass: what a new table weighs for each dish."""
+    """Customers of dishes at tables, in flat arrays: the slow way to table counts, one customer at a time. mass: what a new table weighs for each dish."""
 
     def __init__(self, customers: np.ndarray, mass: np.ndarray, discount: float, rng: np.random.Generator):
         self.n, self.discount, self.rng = customers, discount, rng
@@ -251,6 +251,97 @@ class Seating:
         return out
 
 
+#: Up to this many customers all table counts are weighed by an exact table; above, NODES points of a contour give the same weight.
+EXACT, NODES = 1024, 64
+_counts: dict[float, np.ndarray] = {}
+
+
+def _log_counts(discount: float) -> np.ndarray:
+    """Logarithms of the generalized factorial coefficients C(n, t; discount), for n up to EXACT."""
+    if discount not in _counts:
+        out = np.full((EXACT + 1, EXACT + 1), -np.inf)
+        out[0, 0] = 0
+        t = np.arange(1, EXACT + 1)
+        for n in range(EXACT):
+            rest = n - discount * t
+            out[n + 1, 1:] = np.logaddexp(np.log(discount) + out[n, :-1], np.log(np.where(rest > 0, rest, 1)) + np.where(rest > 0, out[n, 1:], -np.inf))
+        _counts[discount] = out
+    return _counts[discount]
+
+
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """Of x >= 1, by Stirling's series at x + 8."""
+    y = x + 8
+    below = sum(np.log(x + i) for i in range(8))
+    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - below
+
+
+def _log_sum_is(n: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    """log P(X1 + ... + Xt = n) of Sibuya variables, which is log(C(n, t; d) t! / n!): the coefficient of z^n in (1 - (1 - z)^d)^t, by a parabola through the saddle."""
+    low, high = np.full(n.shape, -700.0), np.full(n.shape, -1e-12)
+    for _ in range(50):
+        at = (low + high) / 2
+        left = np.log(t * d) + (d - 1) * at + np.log(-np.expm1(at)) > np.log(n + 1) + np.log(-np.expm1(d * at))
+        low, high = np.where(left, at, low), np.where(left, high, at)
+    w0 = np.maximum(np.exp((low + high) / 2), np.minimum(0.5, 8 / n))
+    reach = np.sqrt(20 / ((1 - d) * (n + 1) * w0))
+    r = 1 + 1j * (np.arange(NODES) + 0.5) / NODES * reach[..., None]
+    w = w0[..., None] * r * r
+    f = t[..., None] * np.log1p(-(w**d)) - (n[..., None] + 1) * np.log1p(-w)
+    top = f.real.max(-1)
+    total = (np.exp(f - top[..., None]) * r).real.sum(-1) * reach / NODES * 2 / np.pi * w0
+    return np.where(t >= n, n * np.log(d), top + np.log(np.maximum(total, 1e-300)))
+
+
+def table_counts(n: np.ndarray, others: np.ndarray, log_p: np.ndarray, strength: float, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """The number of tables of each dish, given its n customers, the tables of all other dishes of its restaurant and the dish's probability in the parent.
+
+    All n are seated anew at once: P(t) is in proportion to C(n, t; d) p^t times the product of (strength / d + others + i) for i < t.
+    """
+    out = np.minimum(n, 1).astype(np.int64)
+    a = strength / discount + others
+    order = np.argsort(n, kind="stable")
+    sizes, first = np.unique(n[order], return_index=True)
+    for size, i, j in zip(sizes.tolist(), first.tolist(), [*first[1:].tolist(), len(n)]):
+        if not 1 < size <= EXACT:
+            continue
+        weights = _log_counts(discount)[size, 1 : size + 1]
+        for k in range(i, j, max(1, (1 << 18) // size)):
+            some = order[k : min(j, k + max(1, (1 << 18) // size))]
+            log_w = np.cumsum(np.log(a[some, None] + np.arange(size)) + log_p[some, None], axis=1) + weights
+            total = np.cumsum(np.exp(log_w - log_w.max(axis=1, keepdims=True)), axis=1)
+            out[some] = 1 + np.minimum((total < rng.random(len(some))[:, None] * total[:, -1:]).sum(axis=1), size - 1)
+    large = np.flatnonzero(n > EXACT)
+    for k in range(0, len(large), 256):
+        some = large[k : k + 256]
+        out[some] = _large_counts(n[some].astype(float), a[some], log_p[some], discount, rng)
+    return out
+
+
+def _large_counts(n: np.ndarray, a: np.ndarray, log_p: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
+    def log_weight(t: np.ndarray) -> np.ndarray:
+        up = (slice(None), *[None] * (t.ndim - 1))
+        m = np.broadcast_to(n[up], t.shape)
+        return _log_sum_is(m, t, d) - _log_gamma(t + 1) + _log_gamma(a[up] + t) + t * log_p[up]
+
+    low, high = np.ones(len(n)), n.copy()  # the weights rise to one top and fall
+    while (low < high).any():
+        at = np.floor((low + high) / 2)
+        rises = (log_weight(np.minimum(at + 1, n)) > log_weight(at)) & (low < high)
+        low, high = np.where(rises, at + 1, low), np.where(rises, high, at)
+    h = np.minimum(np.maximum(1, np.floor(np.sqrt(low) / 2)), np.minimum(low - 1, n - low))
+    fall = 2 * log_weight(low) - log_weight(low - h) - log_weight(low + h)
+    step = np.where(h > 0, np.maximum(1, np.floor(h / np.sqrt(np.maximum(fall, 1e-12)) / 6)), 1)
+    step = np.minimum(step, np.maximum(1, np.floor(n / 64)))
+    t = low[:, None] + step[:, None] * np.arange(-32, 33)
+    inside = (t >= 1) & (t <= n[:, None])
+    log_w = np.where(inside, log_weight(np.clip(t, 1, n[:, None])), -np.inf)
+    total = np.cumsum(np.exp(log_w - log_w.max(axis=1, keepdims=True)), axis=1)
+    pick = np.minimum((total < rng.random(len(n))[:, None] * total[:, -1:]).sum(axis=1), 64)
+    near = np.floor(rng.random(len(n)) * step) - np.floor(step / 2)  # a step is a sixth of the deviation
+    return np.clip(t[np.arange(len(n)), pick] + near, 1, n).astype(np.int64)
+
+
 @dataclass
 class Settings:
     discount: float
@@ -272,33 +363,29 @@ def sample(bucket: Bucket, s: Settings, number: int) -> Iterator[tuple[np.ndarra
     base = 1.0 / (s.vocabulary + 1)
     parent_customers = np.bincount(word, minlength=words)
 
+    parent_tables = np.minimum(parent_customers, 1)
+
     def parent() -> tuple[np.ndarray, np.ndarray]:
-        mass = np.full(words, (PARENT_STRENGTH + s.parent_discount * s.vocabulary) * base)
-        seats = Seating(parent_customers, mass, s.parent_discount, rng)
+        tables = parent_tables
         for _ in range(PARENT_STEPS):
-            seats.step(mass)
+            rest = np.maximum(0, tables.sum() / s.share - tables)
+            tables = table_counts(parent_customers, rest, np.full(words, np.log(base)), PARENT_STRENGTH, s.parent_discount, rng)
         total = max(1, parent_customers.sum()) / s.share
-        p = (parent_customers - s.parent_discount * seats.tables) * split / (PARENT_STRENGTH + total)
-        return seats.tables, np.maximum(p, 0) + mass / (PARENT_STRENGTH + total)
+        mass = (PARENT_STRENGTH + s.parent_discount * s.vocabulary) * base
+        p = (parent_customers - s.parent_discount * tables) * split / (PARENT_STRENGTH + total)
+        return tables, np.maximum(p, 0) + mass / (PARENT_STRENGTH + total)
 
+    tables = np.minimum(n, 1)
     parent_tables, p = parent()
-
-    def mass() -> np.ndarray:
-        tables = np.bincount(context, minlength=CONTEXTS) if seats is None else np.bincount(context, seats.tables, CONTEXTS)
-        return (STRENGTH + s.discount * tables[context] / s.share) * p[word]
-
-    seats = None
-    seats = Seating(n, mass(), s.discount, rng)
     for i in range(SAMPLES):
         for _ in range(BETWEEN if i else BURN):
-            parent_customers = np.bincount(word, seats.tables, words).astype(np.int64)
+            others = np.maximum(0, np.bincount(context, tables, CONTEXTS)[context] / s.share - tables)
+            tables = table_counts(n, others, np.log(p)[word], STRENGTH, s.discount, rng)
+            parent_customers = np.bincount(word, tables, words).astype(np.int64)
             parent_tables, p = parent()
-            seats.step(mass())
-        parent_customers = np.bincount(word, seats.tables, words).astype(np.int64)
-        parent_tables, p = parent()
-        tables = np.zeros(len(bucket.customers), np.int64)
-        tables[used] = seats.tables
-        yield tables, parent_customers, parent_tables
+        every = np.zeros(len(bucket.customers), np.int64)
+        every[used] = tables
+        yield every, parent_customers, parent_tables
 
 
 def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 5, held: int = 1, seed: int = 1, bucket_bytes: int = 2 << 20) -> DataFrame:
