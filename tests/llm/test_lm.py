@@ -115,6 +115,14 @@ def test_sweeps_of_a_dish_of_1000_customers_are_exact():
     assert abs(got.mean() - mean) < 0.02 * mean
 
 
+def test_scores_do_not_depend_on_the_number_of_buckets(spark):
+    rng = np.random.default_rng(12)
+    share = 1 / np.arange(1, 1500.0)
+    rows = [(i, " ".join(f"w{k}" for k in rng.choice(len(share), 120, p=share / share.sum())), "en", "a") for i in range(250)]
+    few, many = (sum(r["score"] for r in P.score_documents(make(spark, rows), bucket_bytes=n).collect()) for n in (2 << 20, 250))
+    assert abs(few / many - 1) < 0.0005
+
+
 def test_split_words_change_nothing_exact(spark, monkeypatch):
     rows = [(i, prose(i, 60), "en", "a") for i in range(30)]
     check(P.score_documents(make(spark, rows)), rows)  # with so few tokens every word is frequent

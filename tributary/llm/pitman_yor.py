@@ -5,13 +5,13 @@ base is uniform over the known words and one unknown word. A word's customers in
 sampled by Gibbs: a sweep seats all customers of every dish anew, as the number of their tables is all that scores need and is drawn from its exact conditional
 (``table_counts``); the parent is seated the same way after each sweep. Predictive probabilities are averaged over ``SAMPLES`` seatings.
 
-Everything about a word (its dishes in all contexts, its parent customers, its places in documents) is in the bucket of its hash, so a bucket is sampled alone;
-only the totals of the restaurants (one number a context and sample) are added up over buckets. During sampling a bucket estimates these totals by its own share;
-scores use the exact ones, so probabilities sum to one. A word with more than 1/HOT of the training tokens is dealt into SPLIT buckets by context; its
-counts are added up like the totals (there are at most HOT such words).
+Everything about a word (its dishes in all contexts, its parent customers, its places in documents) is in the bucket of its hash. A sweep draws the tables of a bucket given the
+totals of the restaurants in the whole corpus after the sweep before: each bucket writes its tables by context, parts add them up over buckets, and the sums go back to the buckets
+that have the context. So nothing depends on the number of buckets but which random numbers are drawn. A word with more than 1/HOT of the training tokens is dealt into SPLIT buckets by context; its
+parent customers are added up over these and its parent tables drawn once (there are at most HOT such words).
 
-Passes: frequent words; counts and places dealt into buckets (one shuffle, pre-aggregated by document, written); sampling for totals; the same seeded sampling again for scores, whose sums by
-document go back by batch. Executors hold one bucket at a time; buckets follow the size of the input. Each pass is a function of the written tables and the seed.
+Passes: frequent words; counts and places dealt into buckets (one shuffle, pre-aggregated by document, written); one written table for each sweep; scores, whose sums by
+document go back by batch. Executors hold one bucket or part at a time; buckets follow the size of the input. Each pass is a function of the written tables and the seed.
 
 Cases: a null text is empty (its end is its one token); a null id counts as the empty text in the fold; repeated rows are scored each; without training tokens
 every probability is that of the unknown word; empty tables give empty results; extra columns are ignored.
@@ -137,7 +137,7 @@ def deal(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
 
 @dataclass
 class Bucket:
-    """Words, dishes (word, context, customers) and places (dish, batch, row, count) of a bucket."""
+    """Words, dishes (word, context, customers) and places (dish, batch, row, count) of a bucket. contexts: the ids of contexts, by home and id."""
 
     words: np.ndarray
     word: np.ndarray
@@ -147,22 +147,32 @@ class Bucket:
     batch: np.ndarray
     row: np.ndarray
     count: np.ndarray
+    contexts: np.ndarray | None = None
 
 
-def gathered(rows: list[dict]) -> Bucket:
+def homes(contexts: np.ndarray, parts: int) -> np.ndarray:
+    """The part in which the totals of each context are added up."""
+    return (mix64(contexts.astype(np.uint64) + np.uint64(3)) % np.uint64(parts)).astype(np.int64)
+
+
+def gathered(rows: list[dict], parts: int) -> Bucket:
     rows = sorted(rows, key=lambda r: r["batch"])
     word = np.concatenate([np.repeat(np.frombuffer(r["words"], np.uint64), np.frombuffer(r["runs"], np.uint32)) for r in rows])
-    parts = [np.frombuffer(r["contexts"], np.uint16) for r in rows]
-    context = np.concatenate(parts)
+    pieces = [np.frombuffer(r["contexts"], np.uint16) for r in rows]
+    context = np.concatenate(pieces)
     row = np.concatenate([np.frombuffer(r["rows"], np.uint16) for r in rows])
     count = np.concatenate([np.frombuffer(r["counts"], np.uint16) for r in rows])
-    batch = np.repeat(np.array([r["batch"] for r in rows], np.int64), [len(p) for p in parts])
+    batch = np.repeat(np.array([r["batch"] for r in rows], np.int64), [len(p) for p in pieces])
     train = np.concatenate([np.unpackbits(np.frombuffer(r["train"], np.uint8))[np.frombuffer(r["rows"], np.uint16)] for r in rows])
     words, which = np.unique(word, return_inverse=True)
-    key = (which.astype(np.int64) << 12) | context
+    contexts = np.unique(context)
+    by = np.lexsort((contexts, homes(contexts, parts)))
+    place = np.empty(len(by), np.int64)
+    place[by] = np.arange(len(by))
+    key = (which.astype(np.int64) << 32) | place[np.searchsorted(contexts, context)]
     dishes, dish = np.unique(key, return_inverse=True)
     customers = np.bincount(dish, count * train.astype(np.float64), len(dishes)).astype(np.int64)
-    return Bucket(words, dishes >> 12, (dishes & 0xFFF).astype(np.int64), customers, dish, batch, row, count)
+    return Bucket(words, dishes >> 32, dishes & 0xFFFFFFFF, customers, dish, batch, row, count, contexts[by].astype(np.uint64))
 
 
 class Seating:
@@ -349,43 +359,85 @@ class Settings:
     vocabulary: int
     tokens: int
     hot: np.ndarray
-    share: float  # of the vocabulary in a bucket
+    share: float  # of the vocabulary in a bucket; nothing depends on it
     seed: int
 
 
+@dataclass
+class Totals:
+    """What a sweep knows of the whole corpus besides the totals of contexts: the parent's customers and tables, and both of each hot word."""
+
+    customers: int
+    tables: int
+    hot_customers: np.ndarray
+    hot_tables: np.ndarray
+
+
+def parent_probabilities(customers: np.ndarray, tables: np.ndarray, now: Totals, s: Settings) -> np.ndarray:
+    below = (PARENT_STRENGTH + s.parent_discount * now.tables) / (s.vocabulary + 1)
+    return (customers - s.parent_discount * tables + below) / (PARENT_STRENGTH + now.customers)
+
+
+def parent_counts(customers: np.ndarray, tables: np.ndarray, total: int, s: Settings, rng: np.random.Generator) -> np.ndarray:
+    """Tables of words in the parent, drawn anew."""
+    return table_counts(customers, np.maximum(0, total - tables), np.full(len(customers), -np.log(s.vocabulary + 1)), PARENT_STRENGTH, s.parent_discount, rng)
+
+
+def swept(b: Bucket, tables: np.ndarray, parent: np.ndarray, context_tables: np.ndarray, s: Settings, rng: np.random.Generator) -> np.ndarray:
+    """Tables of dishes, drawn anew given the corpus's tables of each dish's context and the words' parent probabilities."""
+    return table_counts(b.customers, np.maximum(0, context_tables - tables), np.log(parent)[b.word], STRENGTH, s.discount, rng)
+
+
 def sample(bucket: Bucket, s: Settings, number: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(tables of each dish, parent customers and parent tables of each word) for each sample."""
+    """(tables of each dish, parent customers and parent tables of each word) for each sample, of a bucket that holds the whole corpus."""
     rng = np.random.Generator(np.random.PCG64([s.seed, number]))
-    used = np.flatnonzero(bucket.customers)
-    word, context, n = bucket.word[used], bucket.context[used], bucket.customers[used]
-    words = len(bucket.words)
-    split = np.where(np.isin(bucket.words, s.hot), SPLIT, 1)  # of a split word a bucket sees one part
-    base = 1.0 / (s.vocabulary + 1)
-    parent_customers = np.bincount(word, minlength=words)
-
-    parent_tables = np.minimum(parent_customers, 1)
-
-    def parent() -> tuple[np.ndarray, np.ndarray]:
-        tables = parent_tables
-        for _ in range(PARENT_STEPS):
-            rest = np.maximum(0, tables.sum() / s.share - tables)
-            tables = table_counts(parent_customers, rest, np.full(words, np.log(base)), PARENT_STRENGTH, s.parent_discount, rng)
-        total = max(1, parent_customers.sum()) / s.share
-        mass = (PARENT_STRENGTH + s.parent_discount * s.vocabulary) * base
-        p = (parent_customers - s.parent_discount * tables) * split / (PARENT_STRENGTH + total)
-        return tables, np.maximum(p, 0) + mass / (PARENT_STRENGTH + total)
-
-    tables = np.minimum(n, 1)
-    parent_tables, p = parent()
+    words, nothing = len(bucket.words), np.empty(0, np.int64)
+    tables = np.minimum(bucket.customers, 1)
+    customers = np.bincount(bucket.word, tables, words).astype(np.int64)
+    parent_tables = np.minimum(customers, 1)
     for i in range(SAMPLES):
         for _ in range(BETWEEN if i else BURN):
-            others = np.maximum(0, np.bincount(context, tables, CONTEXTS)[context] / s.share - tables)
-            tables = table_counts(n, others, np.log(p)[word], STRENGTH, s.discount, rng)
-            parent_customers = np.bincount(word, tables, words).astype(np.int64)
-            parent_tables, p = parent()
-        every = np.zeros(len(bucket.customers), np.int64)
-        every[used] = tables
-        yield every, parent_customers, parent_tables
+            parent = parent_probabilities(customers, parent_tables, Totals(customers.sum(), parent_tables.sum(), nothing, nothing), s)
+            tables = swept(bucket, tables, parent, np.bincount(bucket.context, tables)[bucket.context], s, rng)
+            customers = np.bincount(bucket.word, tables, words).astype(np.int64)
+            parent_tables = parent_counts(customers, np.minimum(parent_tables, customers), parent_tables.sum(), s, rng)
+        yield tables, customers, parent_tables
+
+
+#: Rows of a sweep. k = -1: a bucket's tables of dishes (a), of words in the parent (b), sums of predictions (c) and customers of its contexts (d), with its parent customers (x) and tables (y);
+#: k = -2: a hot word's (id) parent customers (x) and tokens (y) in a bucket; others: contexts (a) at home in part k, with the bucket's tables (b) and, at first, customers (c).
+SWEEP = "k int, bucket int, a binary, b binary, c binary, d binary, id long, x long, y long"
+
+
+def _told(number: int, b: Bucket, tables: np.ndarray, parent_tables: np.ndarray, sums: np.ndarray, known: np.ndarray | None, s: Settings, parts: int) -> pa.RecordBatch:
+    """The rows of a bucket. known: the customers of its contexts; None in the first round, which asks for them."""
+    customers = np.bincount(b.word, tables, len(b.words)).astype(np.int64)
+    is_hot = np.isin(b.words, s.hot)
+    tokens = np.bincount(b.word, b.customers, len(b.words)).astype(np.int64)
+    rows = [(-1, number, tables.astype(np.uint32).tobytes(), parent_tables.astype(np.uint32).tobytes(), sums.tobytes(), b"" if known is None else known.tobytes(), 0, int(customers.sum()), int(parent_tables[~is_hot].sum()))]
+    rows += [(-2, number, b"", b"", b"", b"", int(b.words[i : i + 1].view(np.int64)[0]), int(customers[i]), int(tokens[i])) for i in np.flatnonzero(is_hot)]
+    here = np.bincount(b.context, tables, len(b.contexts)).astype(np.uint32)
+    eaters = np.bincount(b.context, b.customers, len(b.contexts)).astype(np.uint32)
+    home = homes(b.contexts, parts)
+    begin = np.flatnonzero(np.append(True, home[1:] != home[:-1]))
+    for i, j in zip(begin.tolist(), [*begin[1:].tolist(), len(home)]):
+        rows.append((int(home[i]), number, b.contexts[i:j].tobytes(), here[i:j].tobytes(), eaters[i:j].tobytes() if known is None else b"", b"", 0, 0, 0))
+    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4, *[pa.int64()] * 3]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=[f.split()[0] for f in SWEEP.split(", ")])
+
+
+def _totals_of(table: pa.Table) -> pa.Table:
+    """The corpus's totals of the contexts of a part, for each bucket in the order in which it asked."""
+    number, asked, tables, customers = (table[c].to_pylist() for c in ("bucket", "a", "b", "c"))
+    n = [len(x) // 8 for x in asked]
+    every, which = np.unique(np.frombuffer(b"".join(asked), np.uint64), return_inverse=True)
+    at = np.cumsum([0, *n]).tolist()
+    sent = []
+    for column in (tables, customers):
+        data = np.frombuffer(b"".join(column), np.uint32)
+        sums = np.bincount(which, data, len(every)).astype(np.int64)[which] if len(data) else data
+        sent.append([sums[i:j].tobytes() if len(data) else b"" for i, j in zip(at, at[1:])])
+    return pa.table([pa.array(number, pa.int32()), table["k"].cast(pa.int32()).combine_chunks(), pa.array(sent[0], pa.binary()), pa.array(sent[1], pa.binary())], names=["bucket", "k", "tables", "customers"])
 
 
 def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 5, held: int = 1, seed: int = 1, bucket_bytes: int = 2 << 20) -> DataFrame:
@@ -395,79 +447,108 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", fo
     docs = docs.select(F.col(text).alias("text"), (fold_of(F.col(key), folds) != held).alias("train"), F.col(key).cast("bigint").alias("doc_id"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(64, -(-size // bucket_bytes))
+    parts = max(8, buckets // 16)
     hot = frequent(docs)
 
     def gather(table: pa.Table) -> pa.Table:
         """One row a bucket, with its counts of counts; the lists of documents as they are."""
         number = table["bucket"][0].as_py()
-        names = ["words", "word", "context", "customers", "dish", "batch", "row", "count"]
+        names = ["words", "word", "context", "customers", "dish", "batch", "row", "count", "ids"]
         if number >= buckets:
             lists = {"words": table["words"], "word": table["runs"], "context": table["contexts"], "customers": table["train"]}
             nothing, zeros = pa.nulls(table.num_rows, pa.binary()), pa.array(np.zeros(table.num_rows, np.int64))
             return pa.table([table["bucket"], table["batch"], *(lists.get(n, nothing).cast(pa.binary()) for n in names), *[zeros] * 7], names=["bucket", "batch_id", *names, "tokens", "vocabulary", "dishes", "ones", "twos", "word_ones", "word_twos"])
-        b = gathered(table.to_pylist())
+        b = gathered(table.to_pylist(), parts)
         by_word = np.bincount(b.word, b.customers, len(b.words))
         whole = ~np.isin(b.words, hot)
         stats = [b.customers.sum(), (by_word[whole] > 0).sum(), (b.customers > 0).sum(), (b.customers == 1).sum(), (b.customers == 2).sum(), (by_word[whole] == 1).sum(), (by_word[whole] == 2).sum()]
-        blobs = [b.words, b.word.astype(np.uint32), b.context.astype(np.uint16), b.customers, np.bincount(b.dish, minlength=len(b.word)).astype(np.uint32), *(x[np.argsort(b.dish, kind="stable")] for x in (b.batch, b.row, b.count))]
+        blobs = [b.words, b.word.astype(np.uint32), b.context.astype(np.uint32), b.customers.astype(np.uint32), np.bincount(b.dish, minlength=len(b.word)).astype(np.uint32), *(x[np.argsort(b.dish, kind="stable")] for x in (b.batch, b.row, b.count)), b.contexts]
         return pa.table([pa.array([number], pa.int32()), pa.array([0], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in blobs), *(pa.array([int(x)], pa.int64()) for x in stats)], names=["bucket", "batch_id", *names, "tokens", "vocabulary", "dishes", "ones", "twos", "word_ones", "word_twos"])
 
-    gathered_schema = "bucket int, batch_id long, words binary, word binary, context binary, customers binary, dish binary, batch binary, row binary, count binary, tokens long, vocabulary long, dishes long, ones long, twos long, word_ones long, word_twos long"
+    gathered_schema = "bucket int, batch_id long, words binary, word binary, context binary, customers binary, dish binary, batch binary, row binary, count binary, ids binary, tokens long, vocabulary long, dishes long, ones long, twos long, word_ones long, word_twos long"
     stored = written(deal(docs, hot, buckets).groupBy("bucket").applyInArrow(gather, gathered_schema), "buckets", folder)
     totals = stored.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "vocabulary", "ones", "twos", "word_ones", "word_twos")]).first()
     discount = lambda a, b: float(np.clip(a / (a + 2 * b), 0.05, 0.95)) if a else 0.5
     settings = Settings(discount(totals["ones"], totals["twos"]), discount(totals["word_ones"], totals["word_twos"]), totals["vocabulary"] + len(hot), totals["tokens"], hot, 1.0 / buckets, seed)
-    columns = ["bucket", "words", "word", "context", "customers", "dish", "batch", "row", "count"]
-    work = stored.where(F.col("bucket") < buckets).select(*columns)
+    unknown = 0.5 / (settings.tokens + 0.5 * (settings.vocabulary + 1))
+    dishes, places = ["bucket", "words", "word", "context", "customers", "ids"], ["dish", "batch", "row", "count"]
+    work = stored.where(F.col("bucket") < buckets).select(*dishes, *places)
 
     def load(batch: pa.RecordBatch, i: int) -> tuple[int, Bucket]:
-        raw = [batch.column(c)[i].as_py() for c in range(len(columns))]
-        kinds = [np.uint64, np.uint32, np.uint16, np.int64, np.uint32, np.int64, np.uint16, np.uint16]
-        words, word, context, customers, runs, batches, row, count = (np.frombuffer(r, k) for r, k in zip(raw[1:], kinds))
-        return raw[0], Bucket(words, word.astype(np.int64), context.astype(np.int64), customers, np.repeat(np.arange(len(runs)), runs), batches, row, count)
-
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(sample, what, id, value): tables (0) and customers (1) of contexts, customers (2) and tables (3) of the parent; for split words customers (4), tables (5) and tokens (6)."""
-        everywhere = np.arange(CONTEXTS)
+        raw = {c: batch.column(c)[i].as_py() for c in batch.schema.names if c in dishes or c in places}
+        get = lambda c, kind: np.frombuffer(raw.get(c, b""), kind)
+        runs = get("dish", np.uint32)
+        rest = np.repeat(np.arange(len(runs)), runs), get("batch", np.int64), get("row", np.uint16), get("count", np.uint16)
+        return raw["bucket"], Bucket(get("words", np.uint64), get("word", np.uint32).astype(np.int64), get("context", np.uint32).astype(np.int64), get("customers", np.uint32).astype(np.int64), *rest, get("ids", np.uint64))
+
+    def state(batch: pa.RecordBatch, i: int, b: Bucket, now: Totals) -> tuple[np.ndarray, ...]:
+        """Tables of dishes, parent tables and probabilities of words, sums of predictions, and tables and customers of contexts, as the last sweep left them."""
+        a, words, sums, known, inbox = (batch.column(c)[i].as_py() for c in ("a", "b", "c", "d", "inbox"))
+        tables, parent_tables = np.frombuffer(a, np.uint32).astype(np.int64), np.frombuffer(words, np.uint32).astype(np.int64)
+        context_tables = np.frombuffer(b"".join(r["tables"] for r in inbox), np.int64)
+        known = np.frombuffer(known or b"".join(r["customers"] for r in inbox), np.int64)
+        customers = np.bincount(b.word, tables, len(b.words)).astype(np.int64)
+        is_hot = np.isin(b.words, hot)
+        at = np.searchsorted(hot, b.words[is_hot])
+        customers[is_hot], parent_tables[is_hot] = now.hot_customers[at], now.hot_tables[at]
+        return tables, parent_tables, parent_probabilities(customers, parent_tables, now, settings), np.frombuffer(sums), context_tables, known
+
+    def prediction(b: Bucket, tables: np.ndarray, parent: np.ndarray, context_tables: np.ndarray, known: np.ndarray) -> np.ndarray:
+        back = STRENGTH + settings.discount * context_tables[b.context]
+        return (b.customers - settings.discount * tables + back * parent[b.word]) / (STRENGTH + known[b.context])
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            contexts, customers_of = np.zeros((SAMPLES, CONTEXTS), np.int64), np.zeros(CONTEXTS, np.int64)
-            parents = np.zeros((2, SAMPLES), np.int64)
-            out = []
-            for i in range(batch.num_rows):  # added up over the buckets of a batch
+            for i in range(batch.num_rows):
                 number, b = load(batch, i)
-                whole = ~np.isin(b.words, hot)
-                held_here = np.flatnonzero(~whole)
-                names = b.words[held_here].view(np.int64)
-                customers_of += np.bincount(b.context, b.customers, CONTEXTS).astype(np.int64)
-                for m, (tables, customers, parent_tables) in enumerate(sample(b, settings, number)):
-                    contexts[m] += np.bincount(b.context, tables, CONTEXTS).astype(np.int64)
-                    parents[:, m] += (customers.sum(), parent_tables[whole].sum())
-                    if len(names):
-                        tokens = np.bincount(b.word, b.customers, len(b.words))[held_here]
-                        out += [(m, 4, names, customers[held_here]), (m, 5, names, parent_tables[held_here]), (m, 6, names, tokens)]
-            for m in range(SAMPLES):
-                out += [(m, 0, everywhere, contexts[m]), (m, 2, [0], [parents[0, m]]), (m, 3, [0], [parents[1, m]])]
-            out.append((0, 1, everywhere, customers_of))
-            n = [len(o[2]) for o in out]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat([o[0] for o in out], n), pa.int32()), pa.array(np.repeat([o[1] for o in out], n), pa.int32()), pa.array(np.concatenate([np.asarray(o[2], np.int64) for o in out])), pa.array(np.concatenate([np.asarray(o[3]) for o in out]).astype(np.int64))], names=["m", "what", "id", "value"])
-
-    sums = work.mapInArrow(total, "m int, what int, id long, value long").groupBy("m", "what", "id").agg(F.sum("value").alias("value"))
-    got = sums.where("value <> 0").collect()  # at most SAMPLES times (2 CONTEXTS + 3 HOT + 2) rows
-    context_tables, context_customers = np.zeros((SAMPLES, CONTEXTS)), np.zeros(CONTEXTS)
-    parent_sums = np.zeros((2, SAMPLES))
-    split_values = np.zeros((3, SAMPLES, len(hot)))
-    for m, what, name, value in got:
-        if what == 0:
-            context_tables[m, name] = value
-        elif what == 1:
-            context_customers[name] = value
-        elif what in (2, 3):
-            parent_sums[what - 2, m] = value
-        else:
-            split_values[what - 4, m, np.searchsorted(hot, np.array([name]).view(np.uint64))[0]] = value
-    # a split word's parent tables are those of its parts, so they count as they are
-    parent_sums[1] += split_values[1].sum(axis=1)
-    unknown = 0.5 / (settings.tokens + 0.5 * (settings.vocabulary + 1))
+                tables = np.minimum(b.customers, 1)
+                yield _told(number, b, tables, np.minimum(np.bincount(b.word, tables, len(b.words)).astype(np.int64), 1), np.zeros(len(tables)), None, settings, parts)
+
+    def next_sweep(sweep: int, now: Totals, is_sample: bool):
+        """is_sample: the last sweep's seating is one of the samples."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    number, b = load(batch, i)
+                    rng = np.random.Generator(np.random.PCG64([settings.seed, sweep, number]))
+                    tables, parent_tables, parent, sums, context_tables, known = state(batch, i, b, now)
+                    if is_sample:
+                        sums = sums + prediction(b, tables, parent, context_tables, known)
+                    tables = swept(b, tables, parent, context_tables[b.context], settings, rng)
+                    customers = np.bincount(b.word, tables, len(b.words)).astype(np.int64)
+                    parent_tables = parent_counts(customers, np.minimum(parent_tables, customers), now.tables, settings, rng)  # those of hot words are drawn for the whole corpus
+                    yield _told(number, b, tables, parent_tables, sums, known, settings, parts)
+
+        return run
+
+    hot_tokens = np.zeros(len(hot), np.int64)
+
+    def totals_after(told: DataFrame, sweep: int, before: Totals | None) -> Totals:
+        """Sums over all buckets, at most HOT + 1 rows; the parent tables of hot words are drawn here."""
+        x, y = 0, 0
+        customers = np.zeros(len(hot), np.int64)
+        for k, name, u, v in told.where("k < 0").groupBy("k", "id").agg(F.sum("x"), F.sum("y")).collect():
+            if k == -1:
+                x, y = u, v
+            else:
+                i = np.searchsorted(hot, np.array([name]).view(np.uint64))[0]
+                customers[i], hot_tokens[i] = u, v
+        tables = np.minimum(customers, 1) if before is None else parent_counts(customers, np.minimum(before.hot_tables, customers), before.tables, settings, np.random.Generator(np.random.PCG64([settings.seed, sweep])))
+        return Totals(x, y + int(tables.sum()), customers, tables)
+
+    def met(told: DataFrame, columns: list[str]) -> DataFrame:
+        """Buckets with their last state and the corpus's totals of their contexts."""
+        replies = told.where("k >= 0").select("k", "bucket", "a", "b", "c").groupBy("k").applyInArrow(_totals_of, "bucket int, k int, tables binary, customers binary")
+        inbox = replies.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("k", "tables", "customers"))).alias("inbox"))
+        return work.select(*columns).join(told.where("k = -1").select("bucket", "a", "b", "c", "d"), "bucket").join(inbox, "bucket")
+
+    told = written(work.select(*dishes).mapInArrow(first, SWEEP), "sweep0", folder)
+    now = totals_after(told, 0, None)
+    samples = {BURN + i * BETWEEN for i in range(SAMPLES)}
+    for sweep in range(1, max(samples) + 1):
+        told = written(met(told, dishes).mapInArrow(next_sweep(sweep, now, sweep - 1 in samples), SWEEP), f"sweep{sweep}", folder)
+        now = totals_after(told, sweep, now)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -475,19 +556,11 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", fo
             number = -1
             for i in range(batch.num_rows):
                 number, b = load(batch, i)
+                tables, _, parent, sums, context_tables, known = state(batch, i, b, now)
+                p = sums + prediction(b, tables, parent, context_tables, known)
                 tokens = np.bincount(b.word, b.customers, len(b.words))
                 is_hot = np.isin(b.words, hot)
-                at = np.searchsorted(hot, b.words[is_hot])
-                tokens[is_hot] = split_values[2, 0, at] if len(hot) else 0
-                p = np.zeros(len(b.word))
-                for m, (tables, customers, parent_tables) in enumerate(sample(b, settings, number)):
-                    customers, parent_tables = customers.astype(np.float64), parent_tables.astype(np.float64)
-                    customers[is_hot], parent_tables[is_hot] = split_values[0, m, at], split_values[1, m, at]
-                    below = (PARENT_STRENGTH + settings.parent_discount * parent_sums[1, m]) / (settings.vocabulary + 1)
-                    parent = (customers - settings.parent_discount * parent_tables + below) / (PARENT_STRENGTH + parent_sums[0, m])
-                    own = b.customers - settings.discount * tables
-                    back = STRENGTH + settings.discount * context_tables[m][b.context]
-                    p += (own + back * parent[b.word]) / (STRENGTH + context_customers[b.context])
+                tokens[is_hot] = hot_tokens[np.searchsorted(hot, b.words[is_hot])]
                 log_p = np.log10(p / SAMPLES)
                 log_base = np.log10(np.maximum(unknown, (tokens + 0.5) / (settings.tokens + 0.5 * (settings.vocabulary + 1))))
                 w, n = b.word[b.dish], b.count.astype(np.float64)
@@ -499,7 +572,7 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", fo
             if held:
                 yield _sent(number, _added(held))
 
-    partial = work.mapInArrow(score, "bucket int, batch_id long, rows binary, known binary, base binary, score binary")
+    partial = met(told, [*dishes, *places]).mapInArrow(score, "bucket int, batch_id long, rows binary, known binary, base binary, score binary")
     lists = stored.where(F.col("bucket") >= buckets).selectExpr("bucket", "batch_id", "words AS rows", "word AS known", "context AS base", "customers AS score")
 
     def finish(table: pa.Table) -> pa.Table:
