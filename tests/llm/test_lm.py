@@ -123,6 +123,27 @@ def test_scores_do_not_depend_on_the_number_of_buckets(spark):
     assert abs(few / many - 1) < 0.0005
 
 
+def test_every_previous_word_is_a_context():
+    text = " ".join(f"word{i}" for i in range(20_000)).encode()
+    _, context, _ = P.tokens_of(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    assert len(np.unique(context)) == 20_001 and context[0] == P.START
+
+
+def test_places_of_a_piece_keep_word_context_and_row(spark):
+    rows = [(i, prose(i, 50), "en", "a") for i in range(40)] + [(41, prose(41, 20_000), "en", "a")]
+    docs = make(spark, rows).selectExpr("text", "doc_id <> 3 AS train", "doc_id").coalesce(1)
+    got, want = Counter(), Counter()
+    for r in P.deal(docs, np.empty(0, np.uint64), 4).where("bucket < 4").collect():
+        words = np.repeat(np.frombuffer(r["words"], np.uint64), np.frombuffer(r["runs"], np.uint32))
+        for w, c, n, k in zip(words.tolist(), np.frombuffer(r["contexts"], np.uint64).tolist(), np.frombuffer(r["counts"], np.uint16).tolist(), np.frombuffer(r["rows"], np.uint16).tolist()):
+            got[w, c, k] += n
+    for k, (_, t, *_) in enumerate(rows):
+        raw = np.frombuffer(t.encode(), np.uint8)
+        word, context, _ = P.tokens_of(raw, np.array([0, len(raw)]))
+        want.update((w, c, k) for w, c in zip(word.tolist(), context.tolist()))
+    assert got == want
+
+
 def test_split_words_change_nothing_exact(spark, monkeypatch):
     rows = [(i, prose(i, 60), "en", "a") for i in range(30)]
     check(P.score_documents(make(spark, rows)), rows)  # with so few tokens every word is frequent

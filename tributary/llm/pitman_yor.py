@@ -1,6 +1,6 @@
 """LM scoring with a hierarchical Pitman-Yor model.
 
-Restaurants: one for each class of the previous word (``CONTEXTS`` hashed classes, the start of a text among them), all with the same parent, the unigram restaurant, whose
+Restaurants: one for each previous word (by its 64-bit hash; the start of a text is one more), all with the same parent, the unigram restaurant, whose
 base is uniform over the known words and one unknown word. A word's customers in a context sit at tables; each table is a customer of the parent. Seating is
 sampled by Gibbs: a sweep seats all customers of every dish anew, as the number of their tables is all that scores need and is drawn from its exact conditional
 (``table_counts``); the parent is seated the same way after each sweep. Predictive probabilities are averaged over ``SAMPLES`` seatings.
@@ -19,6 +19,7 @@ every probability is that of the unknown word; empty tables give empty results;
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,7 +31,6 @@ from pyspark.sql import functions as F
 
 from .common import arrow_bytes, documents, fold_of, mix64, row_ranges, word_hashes, work_dir, written
 
-CONTEXTS = 4096
 SAMPLES = 3
 BURN, BETWEEN, PARENT_STEPS = 6, 3, 4
 HOT, SPLIT = 1000, 32
@@ -50,8 +50,8 @@ def tokens_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     is_end = np.zeros(len(row), bool)
     is_end[ends] = True
     out[is_end], out[~is_end] = END, words
-    context = np.empty(len(row), np.uint16)
-    context[1:] = 1 + mix64(out[:-1] + np.uint64(77)) % np.uint64(CONTEXTS - 1)
+    context = np.empty(len(row), np.uint64)
+    context[1:] = mix64(out[:-1] + np.uint64(77))
     context[ends[:-1] + 1] = START
     context[:1] = START
     return out, context, row
@@ -97,22 +97,25 @@ def deal(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
                 word, context, row = tokens_of(raw, offsets)
                 train = np.packbits(batch.column(1).slice(x, y - x).to_numpy(zero_copy_only=False).astype(bool)).tobytes()
                 every, which = np.unique(word, return_inverse=True)
-                packed = (which.astype(np.uint64) << np.uint64(28)) | (context.astype(np.uint64) << np.uint64(16)) | row.astype(np.uint64)
+                befores, before = np.unique(context, return_inverse=True)
+                at_row = np.uint64(16 if y - x > 1 else 0)  # a piece of several rows has fewer than 2^24 words; a longer row is alone
+                half = (np.uint64(64) - at_row) // np.uint64(2)
+                packed = (((which.astype(np.uint64) << half) | before.astype(np.uint64)) << at_row) | row.astype(np.uint64)
                 packed, n = np.unique(packed, return_counts=True)
                 if n.max() > 65535:  # counts have 16 bits; larger ones come in parts
                     parts = -(-n // 65535)
                     packed, last = np.repeat(packed, parts), n - (parts - 1) * 65535
                     n = np.full(len(packed), 65535)
                     n[np.cumsum(parts) - 1] = last
-                del word, context, which
-                w = (packed >> np.uint64(28)).astype(np.int64)
-                c = ((packed >> np.uint64(16)) & np.uint64(0xFFF)).astype(np.uint16)
-                r = (packed & np.uint64(0xFFFF)).astype(np.uint16)
+                del word, context, which, before
+                w = (packed >> (half + at_row)).astype(np.int64)
+                c = befores[((packed >> at_row) & ((np.uint64(1) << half) - np.uint64(1))).astype(np.int64)]
+                r = (packed & ((np.uint64(1) << at_row) - np.uint64(1))).astype(np.uint16)
                 where = every[w]
                 home = where.copy()
                 if len(hot):
                     split = np.isin(every, hot)[w]
-                    home[split] = mix64(where[split] + c[split] % SPLIT + np.uint64(1))
+                    home[split] = mix64(where[split] + c[split] % np.uint64(SPLIT) + np.uint64(1))
                 bucket = ((home >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 found, first = np.unique(bucket[order], return_index=True)
@@ -158,7 +161,7 @@ def homes(contexts: np.ndarray, parts: int) -> np.ndarray:
 def gathered(rows: list[dict], parts: int) -> Bucket:
     rows = sorted(rows, key=lambda r: r["batch"])
     word = np.concatenate([np.repeat(np.frombuffer(r["words"], np.uint64), np.frombuffer(r["runs"], np.uint32)) for r in rows])
-    pieces = [np.frombuffer(r["contexts"], np.uint16) for r in rows]
+    pieces = [np.frombuffer(r["contexts"], np.uint64) for r in rows]
     context = np.concatenate(pieces)
     row = np.concatenate([np.frombuffer(r["rows"], np.uint16) for r in rows])
     count = np.concatenate([np.frombuffer(r["counts"], np.uint16) for r in rows])
@@ -172,7 +175,7 @@ def gathered(rows: list[dict], parts: int) -> Bucket:
     key = (which.astype(np.int64) << 32) | place[np.searchsorted(contexts, context)]
     dishes, dish = np.unique(key, return_inverse=True)
     customers = np.bincount(dish, count * train.astype(np.float64), len(dishes)).astype(np.int64)
-    return Bucket(words, dishes >> 32, dishes & 0xFFFFFFFF, customers, dish, batch, row, count, contexts[by].astype(np.uint64))
+    return Bucket(words, dishes >> 32, dishes & 0xFFFFFFFF, customers, dish, batch, row, count, contexts[by])
 
 
 class Seating:
@@ -288,12 +291,12 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
 
 def _log_sum_is(n: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
     """log P(X1 + ... + Xt = n) of Sibuya variables, which is log(C(n, t; d) t! / n!): the coefficient of z^n in (1 - (1 - z)^d)^t, by a parabola through the saddle."""
-    low, high = np.full(n.shape, -700.0), np.full(n.shape, -1e-12)
-    for _ in range(50):
+    low, high = np.log(np.minimum(0.5, 8 / n)), np.full(n.shape, -1e-12)
+    for _ in range(26):  # any contour near the saddle gives the same value
         at = (low + high) / 2
         left = np.log(t * d) + (d - 1) * at + np.log(-np.expm1(at)) > np.log(n + 1) + np.log(-np.expm1(d * at))
         low, high = np.where(left, at, low), np.where(left, high, at)
-    w0 = np.maximum(np.exp((low + high) / 2), np.minimum(0.5, 8 / n))
+    w0 = np.exp((low + high) / 2)
     reach = np.sqrt(20 / ((1 - d) * (n + 1) * w0))
     r = 1 + 1j * (np.arange(NODES) + 0.5) / NODES * reach[..., None]
     w = w0[..., None] * r * r
@@ -311,19 +314,19 @@ def table_counts(n: np.ndarray, others: np.ndarray, log_p: np.ndarray, strength:
     out = np.minimum(n, 1).astype(np.int64)
     a = strength / discount + others
     order = np.argsort(n, kind="stable")
-    sizes, first = np.unique(n[order], return_index=True)
-    for size, i, j in zip(sizes.tolist(), first.tolist(), [*first[1:].tolist(), len(n)]):
-        if not 1 < size <= EXACT:
-            continue
-        weights = _log_counts(discount)[size, 1 : size + 1]
-        for k in range(i, j, max(1, (1 << 18) // size)):
-            some = order[k : min(j, k + max(1, (1 << 18) // size))]
-            log_w = np.cumsum(np.log(a[some, None] + np.arange(size)) + log_p[some, None], axis=1) + weights
-            total = np.cumsum(np.exp(log_w - log_w.max(axis=1, keepdims=True)), axis=1)
-            out[some] = 1 + np.minimum((total < rng.random(len(some))[:, None] * total[:, -1:]).sum(axis=1), size - 1)
+    size = n[order]
+    i, end = np.searchsorted(size, (2, EXACT + 1)).tolist()
+    while i < end:  # dishes of like sizes at once; weights above a dish's own size are 0
+        j = min(int(np.searchsorted(size, size[i] * 5 // 4, "right")), end)
+        j = min(j, i + max(1, (1 << 18) // int(size[j - 1])))
+        some, most = order[i:j], int(size[j - 1])
+        log_w = np.cumsum(np.log(a[some, None] + np.arange(most)) + log_p[some, None], axis=1) + _log_counts(discount)[size[i:j], 1 : most + 1]
+        total = np.cumsum(np.exp(log_w - log_w.max(axis=1, keepdims=True)), axis=1)
+        out[some] = 1 + np.minimum((total < rng.random(len(some))[:, None] * total[:, -1:]).sum(axis=1), n[some] - 1)
+        i = j
     large = np.flatnonzero(n > EXACT)
-    for k in range(0, len(large), 256):
-        some = large[k : k + 256]
+    for k in range(0, len(large), 64):
+        some = large[k : k + 64]
         out[some] = _large_counts(n[some].astype(float), a[some], log_p[some], discount, rng)
     return out
 
@@ -334,11 +337,13 @@ def _large_counts(n: np.ndarray, a: np.ndarray, log_p: np.ndarray, d: float, rng
         m = np.broadcast_to(n[up], t.shape)
         return _log_sum_is(m, t, d) - _log_gamma(t + 1) + _log_gamma(a[up] + t) + t * log_p[up]
 
-    low, high = np.ones(len(n)), n.copy()  # the weights rise to one top and fall
-    while (low < high).any():
-        at = np.floor((low + high) / 2)
-        rises = (log_weight(np.minimum(at + 1, n)) > log_weight(at)) & (low < high)
-        low, high = np.where(rises, at + 1, low), np.where(rises, high, at)
+    low, high, each = np.ones(len(n)), n.copy(), np.arange(len(n))
+    while (low < high).any():  # the weights rise to one top and fall, so the top is beside the best of some points
+        t = np.floor(low[:, None] + (high - low)[:, None] * np.arange(17) / 16)
+        best = np.argmax(log_weight(t), axis=1)
+        left, right = t[each, np.maximum(best - 1, 0)], t[each, np.minimum(best + 1, 16)]
+        done = high - low <= 16
+        low, high = np.where(done, t[each, best], left), np.where(done, t[each, best], right)
     h = np.minimum(np.maximum(1, np.floor(np.sqrt(low) / 2)), np.minimum(low - 1, n - low))
     fall = 2 * log_weight(low) - log_weight(low - h) - log_weight(low + h)
     step = np.where(h > 0, np.maximum(1, np.floor(h / np.sqrt(np.maximum(fall, 1e-12)) / 6)), 1)
@@ -349,7 +354,7 @@ def _large_counts(n: np.ndarray, a: np.ndarray, log_p: np.ndarray, d: float, rng
     total = np.cumsum(np.exp(log_w - log_w.max(axis=1, keepdims=True)), axis=1)
     pick = np.minimum((total < rng.random(len(n))[:, None] * total[:, -1:]).sum(axis=1), 64)
     near = np.floor(rng.random(len(n)) * step) - np.floor(step / 2)  # a step is a sixth of the deviation
-    return np.clip(t[np.arange(len(n)), pick] + near, 1, n).astype(np.int64)
+    return np.clip(t[each, pick] + near, 1, n).astype(np.int64)
 
 
 @dataclass
@@ -440,6 +445,14 @@ def _totals_of(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(number, pa.int32()), table["k"].cast(pa.int32()).combine_chunks(), pa.array(sent[0], pa.binary()), pa.array(sent[1], pa.binary())], names=["bucket", "k", "tables", "customers"])
 
 
+def forget(spark: SparkSession, path: str) -> None:
+    """Deletes a written table that no later step reads, and lets Spark drop the shuffles of tables that are gone."""
+    gc.collect()
+    spark._jvm.System.gc()
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 5, held: int = 1, seed: int = 1, bucket_bytes: int = 2 << 20) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row of docs."""
     spark = docs.sparkSession
@@ -549,6 +562,7 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", fo
     for sweep in range(1, max(samples) + 1):
         told = written(met(told, dishes).mapInArrow(next_sweep(sweep, now, sweep - 1 in samples), SWEEP), f"sweep{sweep}", folder)
         now = totals_after(told, sweep, now)
+        forget(spark, f"{folder}/sweep{sweep - 1}")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
