@@ -110,6 +110,19 @@ def test_orset_add_wins_and_readd(spark):
     assert rows(views.orset_members(adds, removes)) == [("r", "s", "t1", 1)]
 
 
+def test_orset_observed_makes_no_pairs_within_a_group(spark):
+    schema = "replica_id string, record_id string, field string, element string, pt long, c long, node string, seq long"
+    data = [("A", "r", "s", f"t{i % 2}", 1000 + i, i % 3, "a", i) for i in range(400)] + [("B", "r", "s", "t0", 5000, 0, "b", 1), ("A", "q", "s", "t0", 5001, 0, "b", 1)]
+    adds = spark.createDataFrame([x for x in data if x[-1] % 4], schema)
+    requests = spark.createDataFrame([x for x in data if x[-1] % 4 == 0], schema)
+    got = views.orset_observed(adds, requests)
+    asks = [x for x in data if x[-1] % 4 == 0]
+    want = {(x[1], x[2], *x[4:7]) for x in data if x[-1] % 4 and any(r[:4] == x[:4] and x[-1] < r[-1] for r in asks)}
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    pairs = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "max(seq" in pairs  # the requests are one row a group and element before the join
+
+
 def test_status_masks_equal_pairwise_join(spark):
     rng = random.Random(4)
     data = [(str(g), "st_a", rng.choice(DIAMOND.values)) for g in range(150) for _ in range(rng.randint(1, 4))]

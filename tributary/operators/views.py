@@ -71,7 +71,7 @@ def orset_observed(adds: DataFrame, requests: DataFrame) -> DataFrame:
     A removal names an element, but removes only tags that were observed; this turns the request into tags.
     """
     on = ["replica_id", *GROUP, "element"]
-    asked = requests.select(*on, F.col("seq").alias("asked_at"))
+    asked = requests.groupBy(*on).agg(F.max("seq").alias("asked_at"))  # the last request has seen what any other has, so no pairs are made
     return adds.join(asked, on).where(F.col("seq") < F.col("asked_at")).select(*REMOVE_COLUMNS).distinct()
 
 
