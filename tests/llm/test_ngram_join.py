@@ -71,6 +71,15 @@ def test_one_of_each_stays(spark, odd):
     assert kept == sorted(set(want), key=repr)
 
 
+def test_one_row_of_each_component_stays_with_null_and_shared_ids(spark):
+    a, b, c = prose(301, 80), prose(302, 80), prose(303, 80)
+    rows = [(None, a), (None, a + " tail"), (None, b), (7, b + " tail"), (8, c), (8, prose(304, 80)), (9, c + " tail"), (None, None), (None, " "), (3, prose(305, 80)), (3, prose(305, 80) + " end")]
+    kept = N.keep_one_of_each(spark, make(spark, [(*r, "en", "s") for r in rows]))
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert len(got) == 7 and (7, rows[3][1]) in got and (8, c) in got and rows[5] in got and (None, None) in got and (None, " ") in got
+    assert sum(g in rows[:2] for g in got) == 1 and sum(g in rows[9:] for g in got) == 1
+
+
 def test_tree_join_equals_all_pairs():
     rng = np.random.default_rng(1)
     for trial in range(40):

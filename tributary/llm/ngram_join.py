@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_bytes, documents, mix64, row_ranges, word_hashes, work_dir, written
@@ -89,7 +89,7 @@ def dealt(tokens: np.ndarray, buckets: int, *others: np.ndarray) -> Iterator[tup
 
 
 def _rows(names: list[str], rows: list[tuple]) -> pa.RecordBatch:
-    kinds = {"bucket": pa.int32(), "n": pa.int64(), "doc_id": pa.int64(), "c": pa.int64(), "d": pa.int64(), "shared": pa.int64(), "a": pa.int64(), "b": pa.int64()}
+    kinds = {"bucket": pa.int32(), "n": pa.int64(), "doc_id": pa.int64(), "digest": pa.int64(), "c": pa.int64(), "d": pa.int64(), "shared": pa.int64(), "a": pa.int64(), "b": pa.int64()}
     return pa.RecordBatch.from_arrays([pa.array([r[i] if not isinstance(r[i], np.ndarray) else r[i].tobytes() for r in rows], kinds.get(x, pa.binary())) for i, x in enumerate(names)], names=names)
 
 
@@ -98,19 +98,19 @@ def _joined(table: pa.Table, name: str, kind) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, buckets: int) -> DataFrame:
-    """Rows with bucket null: (doc_id, n, class c and d) of each document; others: tokens of prefixes in a bucket and the class of each."""
-    names = ["bucket", "doc_id", "n", "c", "d", "tokens", "classes"]
+    """Rows with bucket null: (doc_id, digest, n, class c and d) of each document (doc_id, text, digest); others: tokens of prefixes in a bucket and the class of each."""
+    names = ["bucket", "doc_id", "digest", "n", "c", "d", "tokens", "classes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = arrow_bytes(batch.column(1))
-            ids, rows, tokens, classes = batch.column(0).to_pylist(), [], [], []
+            ids, digests, rows, tokens, classes = batch.column(0).to_pylist(), batch.column(2).to_pylist(), [], [], []
             seen = set()
             for a, b in row_ranges(offsets):
                 for r, s in enumerate(shingles(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), a):
                     c, d = class_of(s)
                     n = len(s)
-                    rows.append((None, ids[r], n, c, d, None, None))
+                    rows.append((None, ids[r], digests[r], n, c, d, None, None))
                     if n and (c, d) not in seen:
                         seen.add((c, d))
                         tokens.append(s[: min(n, n - overlap_needed(n) + int(spare(n)))])
@@ -118,10 +118,10 @@ def sets_of(docs: DataFrame, buckets: int) -> DataFrame:
             if tokens:
                 for b, t, c in dealt(np.concatenate(tokens), buckets, np.concatenate(classes)):
                     every, which = np.unique(c, return_inverse=True)
-                    rows.append((b, None, None, None, None, t, _pack(every, which)))
+                    rows.append((b, None, None, None, None, None, t, _pack(every, which)))
             yield _rows(names, rows)
 
-    return docs.mapInArrow(run, "bucket int, doc_id long, n long, c long, d long, tokens binary, classes binary")
+    return docs.mapInArrow(run, "bucket int, doc_id long, digest long, n long, c long, d long, tokens binary, classes binary")
 
 
 def _pack(every: np.ndarray, which: np.ndarray) -> bytes:
@@ -352,13 +352,19 @@ def block_links(sets: DataFrame, blocks: DataFrame, block_tokens: int) -> DataFr
 
 def join_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", bucket_bytes: int = 8 << 20, block_tokens: int = 3_000_000) -> DataFrame:
     """(doc_id, n_shingles, component_id): one row for each row of docs."""
+    out = _grouped(docs, key, text, bucket_bytes, block_tokens)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def _grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", bucket_bytes: int = 8 << 20, block_tokens: int = 3_000_000) -> DataFrame:
+    """(doc_id, digest of the text, n, root, component_id): one row for each row of docs; rows with n-grams are of one component if they have one root."""
     spark = docs.sparkSession
     folder = work_dir(spark)
-    docs = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    docs = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"), _digest(text).alias("digest"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(32, -(-size // bucket_bytes))
     found = written(sets_of(docs, buckets), "sets", folder)
-    rows = found.where("bucket IS NULL").select("doc_id", "n", "c", "d")
+    rows = found.where("bucket IS NULL").select("doc_id", "digest", "n", "c", "d")
     classes = rows.where("n > 0").groupBy("c", "d", "n").agg(F.min("doc_id").alias("least"))
     shared = found.where("bucket IS NOT NULL").select("bucket", "tokens", "classes").groupBy("bucket").applyInArrow(_shared, "c long, shared long").groupBy("c").agg(F.sum("shared").alias("shared"))
     needed = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * NUMERATOR / DENOMINATOR) * LEAST))
@@ -372,9 +378,12 @@ def join_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", bucket
     roots = components(links).selectExpr("node AS c", "root")
     least = classes.join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
     ids = least.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = least.join(ids, "root").select("c", "d", "component_id")
-    out = rows.join(named, ["c", "d"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = least.join(ids, "root").select("c", "d", "root", "component_id")
+    return rows.join(named, ["c", "d"], "left").select("doc_id", "digest", "n", "root", "component_id")
+
+
+def _digest(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(text).isNull())
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -383,6 +392,9 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs with one document of each component: the one with the least id. Rows with that id and one text are one document."""
-    groups = join_groups(docs).where("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(groups.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id", "text"])
+    """docs with one row of each component: that with the least id (an id before none), of several texts with that id the one with the least digest. Texts without words are not copies of others."""
+    rows = _grouped(docs)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("best")
+    kept = rows.where("n > 0").groupBy("root").agg(best).select("best.doc_id", "best.digest")
+    kept = kept.unionByName(rows.where("n = 0").select("doc_id", "digest")).distinct().selectExpr("doc_id AS kept_id", "digest AS kept_digest")
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (_digest("text") == F.col("kept_digest")), "left_semi").dropDuplicates(["doc_id", "text"])
