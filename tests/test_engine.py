@@ -175,6 +175,14 @@ def test_vectors(spark):
     assert rows(vectors.contiguous(n, ["node"])) == [("a", 2, 4), ("b", 0, 2)]
 
 
+def test_chains_of_any_length_are_resolved(spark):
+    chain = [(f"i{k:03}", f"i{k + 1:03}") for k in range(150)] + [("p", "q"), ("q", "p"), ("into", "p"), ("self", "self")]
+    pointers = spark.createDataFrame(chain, "record_id string, target string")
+    got = {r["record_id"]: (r["survivor"], r["hops"]) for r in identity.resolve(pointers).collect()}
+    assert got == {f"i{k:03}": ("i150", 150 - k) for k in range(150)} | dict.fromkeys(("p", "q", "into", "self"), (None, None))
+    assert rows(identity.cycles(pointers)) == [("into",), ("p",), ("q",), ("self",)]
+
+
 def test_audits_can_fail(spark):
     log = spark.createDataFrame([("A", "r", "m_a", 1, "d1", "w", 10, 0, "a", 1), ("A", "r", "m_a", 2, "d2", "w", 9, 0, "a", 2), ("B", "r", "m_a", 3, "d3", "w", 9, 0, "b", 1)], "replica_id string, record_id string, field string, value long, taken_at string, recorded_by string, pt long, c long, node string, log_seq long")
     none = spark.createDataFrame([], "replica_id string, pt long, c long, node string")

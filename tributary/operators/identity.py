@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,34 +16,50 @@ def forwarding_of(decisions: DataFrame) -> DataFrame:
     return views.register_current(decisions).select("record_id", F.col("vtext").alias("target"))
 
 
-def resolve(pointers: DataFrame, most_hops: int = 32) -> DataFrame:
-    """(record_id, survivor, hops) of every id that forwards, transitively. Ids on a cycle have no survivor (null).
+def resolve(pointers: DataFrame) -> DataFrame:
+    """(record_id, survivor, hops) of every id that forwards, transitively. Ids on a cycle or leading into one have no survivor (null).
 
-    A recursive query by hops, so a chain of any ids is a few joins and stored rows are never rewritten. A chain that has not ended
-    after most_hops is on a cycle or leads into one.
+    Pointer doubling: after round k each open walk has made 2^k hops, so a chain of n merges takes log2(n) joins. A walk that is open after more hops
+    than there are ids is on a cycle. Each round is checkpointed to files, and stored rows are never rewritten.
     """
-    spark = pointers.sparkSession
-    name = f"pointers_{abs(hash((id(pointers), most_hops)))}"
-    pointers.select("record_id", "target").distinct().createOrReplaceTempView(name)
-    return spark.sql(f"""
-        WITH RECURSIVE walk(record_id, at, hops) AS (
-          SELECT record_id, target, 1 FROM {name}
-          UNION ALL
-          SELECT w.record_id, p.target, w.hops + 1 FROM walk w JOIN {name} p ON w.at = p.record_id WHERE w.hops < {most_hops}
-        ),
-        ends AS (SELECT w.record_id, w.at, w.hops FROM walk w LEFT ANTI JOIN {name} p ON w.at = p.record_id)
-        SELECT s.record_id, min(e.at) AS survivor, CAST(min(e.hops) AS INT) AS hops
-        FROM (SELECT DISTINCT record_id FROM {name}) s LEFT JOIN ends e ON s.record_id = e.record_id GROUP BY s.record_id""")
-
-
-def cycles(pointers: DataFrame, most_hops: int = 32) -> DataFrame:
+    pointers = _kept(pointers.select("record_id", "target").where("record_id IS NOT NULL").distinct())
+    ids = pointers.select("record_id").distinct()
+    n = ids.count()
+    known = ids.withColumnRenamed("record_id", "known")
+    at = F.col("at") == F.col("known")
+    step = pointers.select("record_id", F.col("target").alias("at"), F.lit(1).cast("long").alias("hops"))
+    ended = step.join(known, at, "left_anti")
+    step = _kept(step.join(known, at, "left_semi"))
+    done, hops = _kept(ended), 1
+    while hops <= n and step.limit(1).count():
+        # the second half of a walk is one of the walks of this round, ended or open
+        every = done.unionByName(step).select(F.col("record_id").alias("known"), F.col("at").alias("end"), F.col("hops").alias("more"))
+        both = step.join(every, at).select("record_id", F.col("end").alias("at"), (F.col("hops") + F.col("more")).alias("hops")).groupBy("record_id", "at").agg(F.min("hops").alias("hops"))
+        both = _kept(both)
+        done = _kept(done.unionByName(both.join(known, at, "left_anti")).groupBy("record_id", "at").agg(F.min("hops").alias("hops")))
+        step = _kept(both.join(known, at, "left_semi"))
+        hops *= 2
+    ends = done.groupBy("record_id").agg(F.min("at").alias("survivor"), F.min("hops").cast("int").alias("hops"))
+    return ids.join(ends, "record_id", "left").select("record_id", "survivor", "hops")
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """df written below spark.checkpoint.dir and read again."""
+    spark = df.sparkSession
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tributary-")
+    path = f"{base.rstrip('/')}/identity-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def cycles(pointers: DataFrame) -> DataFrame:
     """Ids that reach no survivor: decisions to refuse."""
-    return resolve(pointers, most_hops).where("survivor IS NULL").select("record_id")
+    return resolve(pointers).where("survivor IS NULL").select("record_id")
 
 
-def resolved(atoms: DataFrame, pointers: DataFrame, most_hops: int = 32) -> DataFrame:
+def resolved(atoms: DataFrame, pointers: DataFrame) -> DataFrame:
     """A view of atoms under their survivors' ids; the ordinary merge then joins the records and loses nothing."""
-    to = resolve(pointers, most_hops).where("survivor IS NOT NULL").select("record_id", "survivor")
+    to = resolve(pointers).where("survivor IS NOT NULL").select("record_id", "survivor")
     return atoms.join(to, "record_id", "left").withColumn("record_id", F.coalesce("survivor", "record_id")).drop("survivor")
 
 
