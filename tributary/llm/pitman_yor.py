@@ -1,20 +1,28 @@
 """LM scoring with a hierarchical Pitman-Yor model.
 
 Restaurants: one for each previous word (by its 64-bit hash; the start of a text is one more), all with the same parent, the unigram restaurant, whose
-base is uniform over the known words and one unknown word. A word's customers in a context sit at tables; each table is a customer of the parent. Seating is
-sampled by Gibbs: a sweep seats all customers of every dish anew, as the number of their tables is all that scores need and is drawn from its exact conditional
-(``table_counts``); the parent is seated the same way after each sweep. Predictive probabilities are averaged over ``SAMPLES`` seatings.
+base is uniform over the known words and one unknown word. A word's customers in a context (a dish) sit at tables; each table is a customer of the parent.
+The seating is sampled by Gibbs. Scores need of a dish only the number of its tables, so a sweep draws that number anew for all customers of every dish:
 
-Everything about a word (its dishes in all contexts, its parent customers, its places in documents) is in the bucket of its hash. A sweep draws the tables of a bucket given the
-totals of the restaurants in the whole corpus after the sweep before: each bucket writes its tables by context, parts add them up over buckets, and the sums go back to the buckets
-that have the context. So nothing depends on the number of buckets but which random numbers are drawn. A word with more than 1/HOT of the training tokens is dealt into SPLIT buckets by context; its
-parent customers are added up over these and its parent tables drawn once (there are at most HOT such words).
+* Given a restaurant's tables T, x ~ Gamma(strength / discount + T). Given x, its dishes are independent: P(t) is in proportion to C(n, t; discount) (x p)^t, with n customers
+  and the word's probability p in the parent, so all dishes are drawn at once and exactly (``table_counts``).
+* The parent's tables are drawn the same way, and then its probabilities: the words' shares are a Dirichlet with the customers less the discounted tables, what is left is spread
+  evenly over the base.
 
-Passes: frequent words; counts and places dealt into buckets (one shuffle, pre-aggregated by document, written); one written table for each sweep; scores, whose sums by
-document go back by batch. Executors hold one bucket or part at a time; buckets follow the size of the input. Each pass is a function of the written tables and the seed.
+Predictions are the mean probabilities given the seating, averaged over ``SAMPLES`` seatings; ``perplexity`` is 10 to minus the score by token.
+
+Everything about a context (its dishes, and the documents' places that follow it) is in the bucket of its hash. A context with more tokens than a quarter of a bucket is dealt by word into several;
+their tables are added up. The words' and such contexts' totals are at home in parts. A sweep is two written tables: the parts' (sums over buckets, parent tables,
+probabilities, and replies to the buckets that have the word) and the buckets'. Dishes with one customer have one table for good and take no part in sweeps.
+Random numbers are functions of the seed, the sweep and the dish, so scores depend neither on the number of buckets nor on partitions (but for the last digits of sums).
+
+Passes: sizes of contexts in two counts (classes of hashes, then the words of large classes); counts and places dealt into buckets (one shuffle, pre-aggregated by pieces of text, written);
+two written tables a sweep; scores, whose sums by document go back by batch. Executors hold one bucket or part at a time; their numbers follow the size of the input. The driver holds the list
+of split contexts, at most 4 for each bucket.
 
 Cases: a null text is empty (its end is its one token); a null id counts as the empty text in the fold; repeated rows are scored each; without training tokens
-every probability is that of the unknown word; empty tables give empty results; extra columns are ignored.
+every probability is that of the unknown word; empty tables give empty results; a very long text is tokenized whole and its places are dealt like all others; there are no ties to break,
+as every word and context counts; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,13 +40,19 @@ from pyspark.sql import functions as F
 from .common import arrow_bytes, documents, fold_of, mix64, row_ranges, word_hashes, work_dir, written
 
 SAMPLES = 3
-BURN, BETWEEN, PARENT_STEPS = 6, 3, 4
-HOT, SPLIT = 1000, 32
+BURN, BETWEEN = 6, 3
 STRENGTH, PARENT_STRENGTH = 1.0, 1.0
+#: Buckets whose sums by document are added up before they are sent.
+TOGETHER = 4
 END = np.uint64(0x1D8E4E27C47D124F)
 START = 0
 
 
+def context_of(words: np.ndarray) -> np.ndarray:
+    """The restaurant that a word opens for the next one."""
+    return mix64(words + np.uint64(77))
+
+
 def tokens_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word, context, row) of every token, the end of each row included."""
     words, at = word_hashes(raw, offsets)
@@ -51,7 +65,7 @@ def tokens_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     is_end[ends] = True
     out[is_end], out[~is_end] = END, words
     context = np.empty(len(row), np.uint64)
-    context[1:] = mix64(out[:-1] + np.uint64(77))
+    context[1:] = context_of(out[:-1])
     context[ends[:-1] + 1] = START
     context[:1] = START
     return out, context, row
@@ -65,203 +79,79 @@ def _pieces(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, np.n
             yield x, y, raw[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x]
 
 
-def frequent(docs: DataFrame) -> np.ndarray:
-    """Hashes of the words with more than 1/HOT of the training tokens: at most HOT of them."""
+def large_contexts(docs: DataFrame, buckets: int, folder: str) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts with more than 1 / (4 buckets) of all tokens, sorted, and the number of pieces into which each is dealt. Exact: words are counted whose class of hashes is that large."""
+    classes = 1 << max(10, min(20, (buckets * 256 - 1).bit_length()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, raw, offsets in _pieces(batch, 0):
-                words, n = np.unique(tokens_of(raw, offsets)[0], return_counts=True)
-                big = n * 2 * HOT > n.sum()
-                w = np.append(words[big], np.uint64(0)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(np.append(n[big], n.sum()))], names=["word", "n"])
-
-    sums = docs.where("train").select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    total = sums.where("word = 0").first()
-    if not total:
-        return np.empty(0, np.uint64)
-    rows = sums.where((F.col("word") != 0) & (F.col("n") * HOT > total["n"])).collect()
-    return np.sort(np.array([r["word"] for r in rows], np.int64).view(np.uint64))
-
-
-DEALT = "bucket int, batch long, words binary, runs binary, contexts binary, rows binary, counts binary, train binary"
-
-
-def deal(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
-    """Places of words by bucket, from (text, train, doc_id); rows of buckets from ``buckets`` on list the documents of a batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batch_id = TaskContext.get().partitionId() << 32
+    def by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(classes + 1, np.int64)  # the start of every text is under the last key
         for batch in batches:
             for x, y, raw, offsets in _pieces(batch, 0):
-                word, context, row = tokens_of(raw, offsets)
-                train = np.packbits(batch.column(1).slice(x, y - x).to_numpy(zero_copy_only=False).astype(bool)).tobytes()
-                every, which = np.unique(word, return_inverse=True)
-                befores, before = np.unique(context, return_inverse=True)
-                at_row = np.uint64(16 if y - x > 1 else 0)  # a piece of several rows has fewer than 2^24 words; a longer row is alone
-                half = (np.uint64(64) - at_row) // np.uint64(2)
-                packed = (((which.astype(np.uint64) << half) | before.astype(np.uint64)) << at_row) | row.astype(np.uint64)
-                packed, n = np.unique(packed, return_counts=True)
-                if n.max() > 65535:  # counts have 16 bits; larger ones come in parts
-                    parts = -(-n // 65535)
-                    packed, last = np.repeat(packed, parts), n - (parts - 1) * 65535
-                    n = np.full(len(packed), 65535)
-                    n[np.cumsum(parts) - 1] = last
-                del word, context, which, before
-                w = (packed >> (half + at_row)).astype(np.int64)
-                c = befores[((packed >> at_row) & ((np.uint64(1) << half) - np.uint64(1))).astype(np.int64)]
-                r = (packed & ((np.uint64(1) << at_row) - np.uint64(1))).astype(np.uint16)
-                where = every[w]
-                home = where.copy()
-                if len(hot):
-                    split = np.isin(every, hot)[w]
-                    home[split] = mix64(where[split] + c[split] % np.uint64(SPLIT) + np.uint64(1))
-                bucket = ((home >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                found, first = np.unique(bucket[order], return_index=True)
-                out = []
-                for b, i, j in zip(found.tolist(), first.tolist(), [*first[1:].tolist(), len(order)]):
-                    take = order[i:j]
-                    ww = w[take]
-                    begin = np.flatnonzero(np.append(True, ww[1:] != ww[:-1]))
-                    runs = np.diff(np.append(begin, len(ww))).astype(np.uint32)
-                    out.append((b, batch_id, every[ww[begin]].tobytes(), runs.tobytes(), c[take].tobytes(), r[take].tobytes(), n[take].astype(np.uint16).tobytes(), train))
-                ids = batch.column(2).slice(x, y - x)
-                plain = ids.fill_null(0).to_numpy().astype(np.int64).tobytes()
-                known = np.packbits(ids.is_valid().to_numpy(zero_copy_only=False)).tobytes()
-                tokens = np.bincount(row, minlength=y - x).astype(np.int64).tobytes()
-                out.append((buckets + batch_id % buckets, batch_id, plain, known, tokens, b"", b"", train))
-                kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
-                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names=[f.split()[0] for f in DEALT.split(", ")])
-                batch_id += 1
-
-    return docs.mapInArrow(run, DEALT)
+                n[:classes] += np.bincount((word_hashes(raw, offsets)[0] & np.uint64(classes - 1)).astype(np.int64), minlength=classes)
+                n[classes] += y - x
+        found = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n[found])], names=["key", "n"])
 
-
-@dataclass
-class Bucket:
-    """Words, dishes (word, context, customers) and places (dish, batch, row, count) of a bucket. contexts: the ids of contexts, by home and id."""
-
-    words: np.ndarray
-    word: np.ndarray
-    context: np.ndarray
-    customers: np.ndarray
-    dish: np.ndarray
-    batch: np.ndarray
-    row: np.ndarray
-    count: np.ndarray
-    contexts: np.ndarray | None = None
-
-
-def homes(contexts: np.ndarray, parts: int) -> np.ndarray:
-    """The part in which the totals of each context are added up."""
-    return (mix64(contexts.astype(np.uint64) + np.uint64(3)) % np.uint64(parts)).astype(np.int64)
-
-
-def gathered(rows: list[dict], parts: int) -> Bucket:
-    rows = sorted(rows, key=lambda r: r["batch"])
-    word = np.concatenate([np.repeat(np.frombuffer(r["words"], np.uint64), np.frombuffer(r["runs"], np.uint32)) for r in rows])
-    pieces = [np.frombuffer(r["contexts"], np.uint64) for r in rows]
-    context = np.concatenate(pieces)
-    row = np.concatenate([np.frombuffer(r["rows"], np.uint16) for r in rows])
-    count = np.concatenate([np.frombuffer(r["counts"], np.uint16) for r in rows])
-    batch = np.repeat(np.array([r["batch"] for r in rows], np.int64), [len(p) for p in pieces])
-    train = np.concatenate([np.unpackbits(np.frombuffer(r["train"], np.uint8))[np.frombuffer(r["rows"], np.uint16)] for r in rows])
-    words, which = np.unique(word, return_inverse=True)
-    contexts = np.unique(context)
-    by = np.lexsort((contexts, homes(contexts, parts)))
-    place = np.empty(len(by), np.int64)
-    place[by] = np.arange(len(by))
-    key = (which.astype(np.int64) << 32) | place[np.searchsorted(contexts, context)]
-    dishes, dish = np.unique(key, return_inverse=True)
-    customers = np.bincount(dish, count * train.astype(np.float64), len(dishes)).astype(np.int64)
-    return Bucket(words, dishes >> 32, dishes & 0xFFFFFFFF, customers, dish, batch, row, count, contexts[by])
-
-
-class Seating:
-    """Customers of dishes at tables, in flat arrays: the slow way to table counts, one customer at a time. mass: what a new table weighs for each dish."""
-
-    def __init__(self, customers: np.ndarray, mass: np.ndarray, discount: float, rng: np.random.Generator):
-        self.n, self.discount, self.rng = customers, discount, rng
-        total = int(customers.sum())
-        kind = np.int32 if total < 1 << 31 else np.int64
-        self.first = (np.cumsum(customers) - customers).astype(kind)
-        self.dish = np.repeat(np.arange(len(customers), dtype=kind), customers)
-        self.table = np.arange(total, dtype=kind)  # the customer who opened it names a table
-        self.size = np.zeros(total, kind)
-        self.tables = np.minimum(customers, 1)
-        place = self.table - self.first[self.dish]
-        self.size[self.first[customers > 0]] = 1
-        most, done = int(customers.max(initial=0)), 1
-        while done < most:  # in rounds that double: newcomers see those of earlier rounds
-            new = np.flatnonzero((place >= done) & (place < 2 * done))
-            d = self.dish[new]
-            opens = rng.random(len(new)) * (done - discount * self.tables[d] + mass[d]) < mass[d]
-            joins = new[~opens]
-            self.table[joins] = self._seat(self.dish[joins], np.full(len(joins), done))
-            np.add.at(self.size, self.table[new], 1)
-            self.tables += np.bincount(d[opens], minlength=len(customers))
-            done *= 2
-        del self.dish
-
-    def _seat(self, dish: np.ndarray, among: np.ndarray) -> np.ndarray:
-        """A table of each dish with probability as its size less the discount, among its first customers."""
-        out = np.empty(len(dish), np.int64)
-        todo = np.arange(len(dish))
-        while len(todo):
-            d = dish[todo]
-            table = self.table[self.first[d] + (self.rng.random(len(todo)) * among[todo]).astype(np.int64)]
-            good = (self.size[table] > 0) & (self.rng.random(len(todo)) * np.maximum(self.size[table], 1) >= self.discount)
-            out[todo[good]] = table[good]
-            todo = todo[~good]
-        return out
-
-    def step(self, mass: np.ndarray) -> None:
-        """One customer of every dish with two or more leaves and is seated anew, given all others."""
-        d = np.flatnonzero(self.n > 1)
-        if not len(d):
-            return
-        who = self.first[d] + (self.rng.random(len(d)) * self.n[d]).astype(np.int64)
-        old = self.table[who]
-        self.size[old] -= 1
-        self.tables[d] -= self.size[old] == 0
-        rest = self.n[d] - 1 - self.discount * self.tables[d]
-        opens = self.rng.random(len(d)) * (rest + mass[d]) < mass[d]
-        stay = ~opens
-        # a table that is free of customers names a new one: the leaver's own if it just emptied, else one that no one names
-        taken = self._choose(d[stay], who[stay])
-        self.table[who[stay]] = taken
-        self.size[taken] += 1
-        fresh = self._free(who[opens], old[opens], d[opens])
-        self.table[who[opens]] = fresh
-        self.size[fresh] = 1
-        self.tables[d[opens]] += 1
-
-    def _choose(self, dish: np.ndarray, leaver: np.ndarray) -> np.ndarray:
-        """As _seat, among all customers but the leaver."""
-        out = np.empty(len(dish), np.int64)
-        todo = np.arange(len(dish))
-        while len(todo):
-            d = dish[todo]
-            other = self.first[d] + (self.rng.random(len(todo)) * (self.n[d] - 1)).astype(np.int64)
-            other += other >= leaver[todo]
-            table = self.table[other]
-            good = self.rng.random(len(todo)) * self.size[table] >= self.discount
-            out[todo[good]] = table[good]
-            todo = todo[~good]
-        return out
-
-    def _free(self, who: np.ndarray, old: np.ndarray, dish: np.ndarray) -> np.ndarray:
-        """A name of no used table for each dish: a dish has as many names as customers, so one is free when one customer stands."""
-        out = np.where(self.size[old] == 0, old, np.where(self.size[who] == 0, who, -1))
-        todo = np.flatnonzero(out < 0)
-        while len(todo):
-            d = dish[todo]
-            name = self.first[d] + (self.rng.random(len(todo)) * self.n[d]).astype(np.int64)
-            good = self.size[name] == 0
-            out[todo[good]] = name[good]
-            todo = todo[~good]
-        return out
+    def of_large(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, raw, offsets in _pieces(batch, 0):
+                words = word_hashes(raw, offsets)[0]
+                key, n = np.unique(words[large[(words & np.uint64(classes - 1)).astype(np.int64)]], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], names=["key", "n"])
+
+    counted = lambda run: docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    sums = written(counted(by_class), "classes", folder)
+    total, starts = sums.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("key") == classes, F.col("n"))), F.lit(0))).first()
+    least = max(1, total // (4 * buckets))
+    large = np.zeros(classes, bool)
+    large[[r["key"] for r in sums.where((F.col("n") > least) & (F.col("key") < classes)).collect()]] = True
+
+    rows = counted(of_large).where(F.col("n") > least).collect() if large.any() else []
+    found = context_of(np.array([r["key"] for r in rows], np.int64).view(np.uint64))
+    n = np.array([r["n"] for r in rows], np.int64)
+    if starts > least:
+        found, n = np.append(found, np.uint64(START)), np.append(n, starts)
+    by = np.argsort(found)
+    return found[by], -(-n[by] // least)
+
+
+def packed(x: np.ndarray) -> bytes:
+    """An array as bytes, compressed, with its length before."""
+    raw = x.tobytes()
+    return len(raw).to_bytes(8, "little") + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
+
+
+def unpacked(data: bytes | None, kind: type) -> np.ndarray:
+    size = int.from_bytes(data[:8], "little") if data else 0
+    return np.frombuffer(pa.decompress(data[8:], size, codec="zstd", asbytes=True), kind) if size else np.empty(0, kind)
+
+
+def uniform(keys: np.ndarray, *salt: int) -> np.ndarray:
+    """A number in (0, 1) for each key, by the salt."""
+    at = np.zeros(1, np.uint64)
+    for x in salt:
+        at = mix64(at + np.uint64(x & 0xFFFFFFFFFFFFFFFF) + np.uint64(0x9E3779B97F4A7C15))
+    return ((mix64(mix64(keys) + at) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+
+
+def gamma(shape: np.ndarray, keys: np.ndarray, *salt: int) -> np.ndarray:
+    """A Gamma variable for each key by squeeze and rejection on a cubed normal; shapes below 1 are raised by 1 and scaled down."""
+    shape = np.asarray(shape, np.float64)
+    d = np.where(shape < 1, shape + 1, shape) - 1 / 3
+    out = np.empty(len(d))
+    todo, turn = np.arange(len(d)), 0
+    while len(todo):
+        k = keys[todo]
+        a, b, c = (uniform(k, *salt, 3 * turn + i) for i in range(3))
+        normal = np.sqrt(-2 * np.log(a)) * np.cos(2 * np.pi * b)
+        v = (1 + normal / np.sqrt(9 * d[todo])) ** 3
+        log_v = np.log(np.maximum(v, 1e-300))
+        good = (v > 0) & (np.log(c) < normal**2 / 2 + d[todo] * (1 - v + log_v))
+        out[todo[good]] = (d[todo] * v)[good]
+        todo, turn = todo[~good], turn + 1
+    small = np.flatnonzero(shape < 1)
+    out[small] *= uniform(keys[small], *salt, -1) ** (1 / shape[small])
+    return out
 
 
 #: Up to this many customers all table counts are weighed by an exact table; above, NODES points of a contour give the same weight.
@@ -306,13 +196,9 @@ def _log_sum_is(n: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
     return np.where(t >= n, n * np.log(d), top + np.log(np.maximum(total, 1e-300)))
 
 
-def table_counts(n: np.ndarray, others: np.ndarray, log_p: np.ndarray, strength: float, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """The number of tables of each dish, given its n customers, the tables of all other dishes of its restaurant and the dish's probability in the parent.
-
-    All n are seated anew at once: P(t) is in proportion to C(n, t; d) p^t times the product of (strength / d + others + i) for i < t.
-    """
+def table_counts(n: np.ndarray, log_xp: np.ndarray, discount: float, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The number of tables of each dish with n customers: P(t) is in proportion to C(n, t; d) exp(t log_xp). u, v: a number in (0, 1) for each dish; v matters above EXACT."""
     out = np.minimum(n, 1).astype(np.int64)
-    a = strength / discount + others
     order = np.argsort(n, kind="stable")
     size = n[order]
     i, end = np.searchsorted(size, (2, EXACT + 1)).tolist()
@@ -320,22 +206,22 @@ def table_counts(n: np.ndarray, others: np.ndarray, log_p: np.ndarray, strength:
         j = min(int(np.searchsorted(size, size[i] * 5 // 4, "right")), end)
         j = min(j, i + max(1, (1 << 18) // int(size[j - 1])))
         some, most = order[i:j], int(size[j - 1])
-        log_w = np.cumsum(np.log(a[some, None] + np.arange(most)) + log_p[some, None], axis=1) + _log_counts(discount)[size[i:j], 1 : most + 1]
-        total = np.cumsum(np.exp(log_w - log_w.max(axis=1, keepdims=True)), axis=1)
-        out[some] = 1 + np.minimum((total < rng.random(len(some))[:, None] * total[:, -1:]).sum(axis=1), n[some] - 1)
+        log_w = log_xp[some, None] * np.arange(1, most + 1) + _log_counts(discount)[size[i:j], 1 : most + 1]
+        log_w -= log_w.max(axis=1, keepdims=True)
+        total = np.cumsum(np.exp(log_w, out=log_w), axis=1)
+        out[some] = 1 + np.minimum((total < u[some, None] * total[:, -1:]).sum(axis=1), n[some] - 1)
         i = j
     large = np.flatnonzero(n > EXACT)
     for k in range(0, len(large), 64):
         some = large[k : k + 64]
-        out[some] = _large_counts(n[some].astype(float), a[some], log_p[some], discount, rng)
+        out[some] = _large_counts(n[some].astype(float), log_xp[some], discount, u[some], v[some])
     return out
 
 
-def _large_counts(n: np.ndarray, a: np.ndarray, log_p: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
+def _large_counts(n: np.ndarray, log_xp: np.ndarray, d: float, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     def log_weight(t: np.ndarray) -> np.ndarray:
         up = (slice(None), *[None] * (t.ndim - 1))
-        m = np.broadcast_to(n[up], t.shape)
-        return _log_sum_is(m, t, d) - _log_gamma(t + 1) + _log_gamma(a[up] + t) + t * log_p[up]
+        return _log_sum_is(np.broadcast_to(n[up], t.shape), t, d) - _log_gamma(t + 1) + t * log_xp[up]
 
     low, high, each = np.ones(len(n)), n.copy(), np.arange(len(n))
     while (low < high).any():  # the weights rise to one top and fall, so the top is beside the best of some points
@@ -352,8 +238,8 @@ def _large_counts(n: np.ndarray, a: np.ndarray, log_p: np.ndarray, d: float, rng
     inside = (t >= 1) & (t <= n[:, None])
     log_w = np.where(inside, log_weight(np.clip(t, 1, n[:, None])), -np.inf)
     total = np.cumsum(np.exp(log_w - log_w.max(axis=1, keepdims=True)), axis=1)
-    pick = np.minimum((total < rng.random(len(n))[:, None] * total[:, -1:]).sum(axis=1), 64)
-    near = np.floor(rng.random(len(n)) * step) - np.floor(step / 2)  # a step is a sixth of the deviation
+    pick = np.minimum((total < u[:, None] * total[:, -1:]).sum(axis=1), 64)
+    near = np.floor(v * step) - np.floor(step / 2)  # a step is a sixth of the deviation
     return np.clip(t[each, pick] + near, 1, n).astype(np.int64)
 
 
@@ -363,86 +249,384 @@ class Settings:
     parent_discount: float
     vocabulary: int
     tokens: int
-    hot: np.ndarray
-    share: float  # of the vocabulary in a bucket; nothing depends on it
     seed: int
 
 
 @dataclass
 class Totals:
-    """What a sweep knows of the whole corpus besides the totals of contexts: the parent's customers and tables, and both of each hot word."""
+    """What a step knows of the whole corpus: the parent's customers and tables, the words' shares together and the share of the base."""
 
     customers: int
     tables: int
-    hot_customers: np.ndarray
-    hot_tables: np.ndarray
+    shares: float
+    rest: float
+
+
+#: Salts of random numbers: tables of dishes, x of contexts, tables of words, shares, x of the parent, share of the base.
+DISH, CONTEXT, WORD, SHARE, PARENT, BASE = range(6)
+ONE = np.zeros(1, np.uint64)
+
+
+def x_of(contexts: np.ndarray, tables: np.ndarray, s: Settings, sweep: int) -> np.ndarray:
+    return gamma(STRENGTH / s.discount + tables, contexts, s.seed, sweep, CONTEXT)
+
 
+def dish_tables(context: np.ndarray, word: np.ndarray, customers: np.ndarray, x: np.ndarray, p: np.ndarray, s: Settings, sweep: int) -> np.ndarray:
+    """Tables of dishes of (context, word) hashes, drawn anew given x of their contexts and the words' probabilities in the parent."""
+    key = mix64(context) + word
+    return table_counts(customers, np.log(x * p), s.discount, uniform(key, s.seed, sweep, DISH), uniform(key, s.seed, sweep, DISH, 1))
 
-def parent_probabilities(customers: np.ndarray, tables: np.ndarray, now: Totals, s: Settings) -> np.ndarray:
+
+def word_tables(words: np.ndarray, customers: np.ndarray, x: float, s: Settings, sweep: int) -> np.ndarray:
+    """Tables of words in the parent, drawn anew given the parent's x."""
+    log_xp = np.full(len(words), np.log(x / (s.vocabulary + 1)))
+    return table_counts(customers, log_xp, s.parent_discount, uniform(words, s.seed, sweep, WORD), uniform(words, s.seed, sweep, WORD, 1))
+
+
+def shares_of(words: np.ndarray, customers: np.ndarray, tables: np.ndarray, s: Settings, sweep: int) -> np.ndarray:
+    """The words' shares in the parent but for a common factor; 0 for unknown words."""
+    some = customers > 0
+    out = np.zeros(len(words))
+    out[some] = gamma(customers[some] - s.parent_discount * tables[some], words[some], s.seed, sweep, SHARE)
+    return out
+
+
+def parent_x(tables: int, s: Settings, sweep: int) -> float:
+    return float(gamma(np.array([PARENT_STRENGTH / s.parent_discount + tables]), ONE, s.seed, sweep, PARENT)[0])
+
+
+def base_share(tables: int, s: Settings, sweep: int) -> float:
+    return float(gamma(np.array([PARENT_STRENGTH + s.parent_discount * tables]), ONE, s.seed, sweep, BASE)[0])
+
+
+def drawn(shares: np.ndarray, now: Totals, s: Settings) -> np.ndarray:
+    """Probabilities of words in the parent as drawn."""
+    return (shares + now.rest / (s.vocabulary + 1)) / (now.shares + now.rest)
+
+
+def expected(customers: np.ndarray, tables: np.ndarray, now: Totals, s: Settings) -> np.ndarray:
+    """Mean probabilities of words in the parent, given the seating."""
     below = (PARENT_STRENGTH + s.parent_discount * now.tables) / (s.vocabulary + 1)
     return (customers - s.parent_discount * tables + below) / (PARENT_STRENGTH + now.customers)
 
 
-def parent_counts(customers: np.ndarray, tables: np.ndarray, total: int, s: Settings, rng: np.random.Generator) -> np.ndarray:
-    """Tables of words in the parent, drawn anew."""
-    return table_counts(customers, np.maximum(0, total - tables), np.full(len(customers), -np.log(s.vocabulary + 1)), PARENT_STRENGTH, s.parent_discount, rng)
-
-
-def swept(b: Bucket, tables: np.ndarray, parent: np.ndarray, context_tables: np.ndarray, s: Settings, rng: np.random.Generator) -> np.ndarray:
-    """Tables of dishes, drawn anew given the corpus's tables of each dish's context and the words' parent probabilities."""
-    return table_counts(b.customers, np.maximum(0, context_tables - tables), np.log(parent)[b.word], STRENGTH, s.discount, rng)
-
-
-def sample(bucket: Bucket, s: Settings, number: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(tables of each dish, parent customers and parent tables of each word) for each sample, of a bucket that holds the whole corpus."""
-    rng = np.random.Generator(np.random.PCG64([s.seed, number]))
-    words, nothing = len(bucket.words), np.empty(0, np.int64)
-    tables = np.minimum(bucket.customers, 1)
-    customers = np.bincount(bucket.word, tables, words).astype(np.int64)
-    parent_tables = np.minimum(customers, 1)
-    for i in range(SAMPLES):
-        for _ in range(BETWEEN if i else BURN):
-            parent = parent_probabilities(customers, parent_tables, Totals(customers.sum(), parent_tables.sum(), nothing, nothing), s)
-            tables = swept(bucket, tables, parent, np.bincount(bucket.context, tables)[bucket.context], s, rng)
-            customers = np.bincount(bucket.word, tables, words).astype(np.int64)
-            parent_tables = parent_counts(customers, np.minimum(parent_tables, customers), parent_tables.sum(), s, rng)
-        yield tables, customers, parent_tables
-
-
-#: Rows of a sweep. k = -1: a bucket's tables of dishes (a), of words in the parent (b), sums of predictions (c) and customers of its contexts (d), with its parent customers (x) and tables (y);
-#: k = -2: a hot word's (id) parent customers (x) and tokens (y) in a bucket; others: contexts (a) at home in part k, with the bucket's tables (b) and, at first, customers (c).
-SWEEP = "k int, bucket int, a binary, b binary, c binary, d binary, id long, x long, y long"
-
-
-def _told(number: int, b: Bucket, tables: np.ndarray, parent_tables: np.ndarray, sums: np.ndarray, known: np.ndarray | None, s: Settings, parts: int) -> pa.RecordBatch:
-    """The rows of a bucket. known: the customers of its contexts; None in the first round, which asks for them."""
-    customers = np.bincount(b.word, tables, len(b.words)).astype(np.int64)
-    is_hot = np.isin(b.words, s.hot)
-    tokens = np.bincount(b.word, b.customers, len(b.words)).astype(np.int64)
-    rows = [(-1, number, tables.astype(np.uint32).tobytes(), parent_tables.astype(np.uint32).tobytes(), sums.tobytes(), b"" if known is None else known.tobytes(), 0, int(customers.sum()), int(parent_tables[~is_hot].sum()))]
-    rows += [(-2, number, b"", b"", b"", b"", int(b.words[i : i + 1].view(np.int64)[0]), int(customers[i]), int(tokens[i])) for i in np.flatnonzero(is_hot)]
-    here = np.bincount(b.context, tables, len(b.contexts)).astype(np.uint32)
-    eaters = np.bincount(b.context, b.customers, len(b.contexts)).astype(np.uint32)
-    home = homes(b.contexts, parts)
-    begin = np.flatnonzero(np.append(True, home[1:] != home[:-1]))
-    for i, j in zip(begin.tolist(), [*begin[1:].tolist(), len(home)]):
-        rows.append((int(home[i]), number, b.contexts[i:j].tobytes(), here[i:j].tobytes(), eaters[i:j].tobytes() if known is None else b"", b"", 0, 0, 0))
-    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4, *[pa.int64()] * 3]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=[f.split()[0] for f in SWEEP.split(", ")])
-
-
-def _totals_of(table: pa.Table) -> pa.Table:
-    """The corpus's totals of the contexts of a part, for each bucket in the order in which it asked."""
-    number, asked, tables, customers = (table[c].to_pylist() for c in ("bucket", "a", "b", "c"))
-    n = [len(x) // 8 for x in asked]
-    every, which = np.unique(np.frombuffer(b"".join(asked), np.uint64), return_inverse=True)
-    at = np.cumsum([0, *n]).tolist()
-    sent = []
-    for column in (tables, customers):
-        data = np.frombuffer(b"".join(column), np.uint32)
-        sums = np.bincount(which, data, len(every)).astype(np.int64)[which] if len(data) else data
-        sent.append([sums[i:j].tobytes() if len(data) else b"" for i, j in zip(at, at[1:])])
-    return pa.table([pa.array(number, pa.int32()), table["k"].cast(pa.int32()).combine_chunks(), pa.array(sent[0], pa.binary()), pa.array(sent[1], pa.binary())], names=["bucket", "k", "tables", "customers"])
+def prediction(customers: np.ndarray, tables: np.ndarray, all_customers: np.ndarray, all_tables: np.ndarray, p: np.ndarray, s: Settings) -> np.ndarray:
+    """Probability of a dish given its own and its context's customers and tables."""
+    return (customers - s.discount * tables + (STRENGTH + s.discount * all_tables) * p) / (STRENGTH + all_customers)
+
+
+def homes(ids: np.ndarray, parts: int) -> np.ndarray:
+    """The part in which the totals of each word or split context are added up."""
+    return (mix64(ids + np.uint64(3)) % np.uint64(parts)).astype(np.int64)
+
+
+def by_home(ids: np.ndarray, parts: int) -> np.ndarray:
+    """The order of distinct ids by home and id."""
+    return np.lexsort((ids, homes(ids, parts)))
+
+
+def cuts(sorted_keys: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of equal keys."""
+    begin = np.flatnonzero(np.append(True, sorted_keys[1:] != sorted_keys[:-1])) if len(sorted_keys) else np.empty(0, np.int64)
+    return list(zip(begin.tolist(), [*begin[1:].tolist(), len(sorted_keys)]))
+
+
+def rows_of(schema: str, rows: list[dict]) -> pa.Table:
+    """A table of a Spark schema of int, long, double and binary columns; what a row does not have is null."""
+    kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
+    return pa.table({name: pa.array([r.get(name) for r in rows], kinds[kind]) for name, kind in (c.split() for c in schema.split(", "))})
+
+
+DEALT = "bucket int, batch long, contexts binary, runs binary, words binary, rows binary, counts binary, train binary"
+
+
+def deal(docs: DataFrame, large: np.ndarray, pieces: np.ndarray, buckets: int) -> DataFrame:
+    """Places of words by bucket, from (text, train, doc_id); rows of buckets from ``buckets`` on list the documents of a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batch_id = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for x, y, raw, offsets in _pieces(batch, 0):
+                word, context, row = tokens_of(raw, offsets)
+                train = packed(np.packbits(batch.column(1).slice(x, y - x).to_numpy(zero_copy_only=False).astype(bool)))
+                every, which = np.unique(word, return_inverse=True)
+                befores, before = np.unique(context, return_inverse=True)
+                at_row = np.uint64(16 if y - x > 1 else 0)  # a piece of several rows has fewer than 2^24 words; a longer row is alone
+                half = (np.uint64(64) - at_row) // np.uint64(2)
+                key = (((before.astype(np.uint64) << half) | which.astype(np.uint64)) << at_row) | row.astype(np.uint64)
+                del word, context, which, before
+                key, n = np.unique(key, return_counts=True)
+                if n.max() > 65535:  # counts have 16 bits; larger ones come in parts
+                    parts = -(-n // 65535)
+                    key, last = np.repeat(key, parts), n - (parts - 1) * 65535
+                    n = np.full(len(key), 65535)
+                    n[np.cumsum(parts) - 1] = last
+                c = (key >> (half + at_row)).astype(np.int64)
+                w = every[((key >> at_row) & ((np.uint64(1) << half) - np.uint64(1))).astype(np.int64)]
+                r = (key & ((np.uint64(1) << at_row) - np.uint64(1))).astype(np.uint16)
+                home = befores[c]
+                if len(large):
+                    at = np.minimum(np.searchsorted(large, befores), len(large) - 1)
+                    into = np.where(large[at] == befores, pieces[at], 1)[c]
+                    split = into > 1
+                    home[split] = mix64(home[split] + mix64(w[split]) % into[split].astype(np.uint64) + np.uint64(1))
+                bucket = ((mix64(home) >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                out = []
+                for i, j in cuts(bucket[order]):
+                    take = order[i:j]
+                    run_of = cuts(c[take])
+                    runs = np.array([b - a for a, b in run_of], np.uint32)
+                    contexts = befores[c[take[[a for a, _ in run_of]]]]
+                    out.append((int(bucket[take[0]]), batch_id, contexts.tobytes(), packed(runs), w[take].tobytes(), packed(r[take]), packed(n[take].astype(np.uint16)), train))
+                ids = batch.column(2).slice(x, y - x)
+                known = np.packbits(ids.is_valid().to_numpy(zero_copy_only=False))
+                tokens = np.bincount(row, minlength=y - x).astype(np.int64)
+                out.append((buckets + batch_id % buckets, batch_id, packed(ids.fill_null(0).to_numpy().astype(np.int64)), packed(known), packed(tokens), b"", b"", train))
+                kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
+                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names=[f.split()[0] for f in DEALT.split(", ")])
+                batch_id += 1
+
+    return docs.mapInArrow(run, DEALT)
+
+
+#: Rows of a bucket or part, by what they are.
+LISTS, PLACES, STATE, ASK, SUMS, REPLY, TOTAL = range(7)
+#: What is gathered once. LISTS: documents of a batch (a ids, b whether known, c tokens, d whether in training). PLACES of a bucket: a to d dishes (context, word, customers, split contexts' places),
+#: e and f batches and places' batches, g to i places' dishes, rows and counts, w contexts' customers. STATE: what sweeps need, in a (see ``Active``). ASK of a bucket at part k: a words with
+#: customers' dishes of one customer (b) and tokens (c), d split contexts with such dishes (e) and customers (f).
+GATHERED = "what int, bucket int, k int, batch_id long, a binary, b binary, c binary, d binary, e binary, f binary, g binary, h binary, i binary, w binary, dishes long, ones long, twos long"
+
+
+@dataclass
+class Active:
+    """The dishes with two or more customers in a bucket: context, word (places in the lists) and customers; words; contexts with their dishes of one customer, and which are split."""
+
+    context: np.ndarray
+    word: np.ndarray
+    customers: np.ndarray
+    words: np.ndarray
+    contexts: np.ndarray
+    singles: np.ndarray
+    split: np.ndarray
+
+    KINDS = (np.uint32, np.uint32, np.uint32, np.uint64, np.uint64, np.uint32, np.uint8)
+
+    def to_bytes(self) -> bytes:
+        blobs = [packed(x.astype(k)) for x, k in zip((self.context, self.word, self.customers, self.words, self.contexts, self.singles, self.split), self.KINDS)]
+        return b"".join(len(b).to_bytes(8, "little") + b for b in blobs)
+
+    @staticmethod
+    def of(data: bytes) -> Active:
+        found, at = [], 0
+        for kind in Active.KINDS:
+            size = int.from_bytes(data[at : at + 8], "little")
+            found.append(unpacked(data[at + 8 : at + 8 + size], kind))
+            at += 8 + size
+        return Active(*(x.astype(np.int64) if i < 3 else x for i, x in enumerate(found)))
+
+
+def gathered(table: pa.Table, buckets: int, parts: int, large: np.ndarray) -> pa.Table:
+    """The rows of one bucket of ``deal``."""
+    number = table["bucket"][0].as_py()
+    rows = sorted(table.to_pylist(), key=lambda r: r["batch"])
+    if number >= buckets:
+        return rows_of(GATHERED, [{"what": LISTS, "bucket": number, "batch_id": r["batch"], "a": r["contexts"], "b": r["runs"], "c": r["words"], "d": r["train"]} for r in rows])
+    context = np.concatenate([np.repeat(np.frombuffer(r["contexts"], np.uint64), unpacked(r["runs"], np.uint32)) for r in rows])
+    word = np.concatenate([np.frombuffer(r["words"], np.uint64) for r in rows])
+    own = [unpacked(r["rows"], np.uint16) for r in rows]
+    count = np.concatenate([unpacked(r["counts"], np.uint16) for r in rows])
+    train = np.concatenate([np.unpackbits(unpacked(r["train"], np.uint8))[x] for r, x in zip(rows, own)])
+    batch = np.repeat(np.arange(len(rows), dtype=np.uint32), [len(x) for x in own])
+    ids = np.array([r["batch"] for r in rows], np.int64)
+    del rows, table
+    row = np.concatenate(own)
+    contexts, context = np.unique(context, return_inverse=True)
+    words, word = np.unique(word, return_inverse=True)
+    order = by_home(words, parts)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    words = words[order]
+    dishes, dish = np.unique((context << 32) | rank[word], return_inverse=True)
+    context, word = dishes >> 32, dishes & 0xFFFFFFFF
+    customers = np.bincount(dish, count * train.astype(np.float64), len(dishes)).astype(np.int64)
+    eaters = np.bincount(context, customers, len(contexts)).astype(np.int64)
+    one, more = customers == 1, customers > 1
+    singles = np.bincount(context[one], minlength=len(contexts))
+    is_split = np.isin(contexts, large)
+    asks = _asked(number, {"a": words, "b": np.bincount(word[one], minlength=len(words)).astype(np.uint32), "c": np.bincount(word, customers, len(words)).astype(np.uint32)}, parts)
+    at = by_home(contexts[is_split], parts)
+    theirs = _asked(number, {"d": contexts[is_split][at], "e": singles[is_split][at].astype(np.uint32), "f": eaters[is_split][at].astype(np.uint32)}, parts)
+    for k, row_of in theirs.items():
+        asks[k] = asks.get(k, {}) | row_of
+    places = {"a": context.astype(np.uint32), "b": word.astype(np.uint32), "c": customers.astype(np.uint32), "d": np.flatnonzero(is_split)[at].astype(np.uint32), "e": ids, "f": batch, "g": dish.astype(np.uint32), "h": row, "i": count, "w": eaters.astype(np.uint32)}
+    used, own_word = np.unique(word[more], return_inverse=True)
+    seen, own_context = np.unique(np.append(context[more], np.flatnonzero(is_split)), return_inverse=True)
+    active = Active(own_context[: more.sum()], own_word, customers[more], words[used], contexts[seen], singles[seen], is_split[seen])
+    stats = {"dishes": int((customers > 0).sum()), "ones": int(one.sum()), "twos": int((customers == 2).sum())}
+    out = [{"what": PLACES, "bucket": number, **{k: packed(x) for k, x in places.items()}, **stats}, {"what": STATE, "bucket": number, "a": active.to_bytes()}]
+    return rows_of(GATHERED, [*out, *({"what": ASK, "bucket": number, "k": k} | r for k, r in sorted(asks.items()))])
+
+
+def _asked(number: int, columns: dict[str, np.ndarray], parts: int) -> dict[int, dict]:
+    """By part, the columns of the ids (the first column, by home) that are at home there."""
+    first = next(iter(columns.values()))
+    home = homes(first, parts)
+    return {int(home[i]): {c: packed(x[i:j]) for c, x in columns.items()} for i, j in cuts(home)}
+
+
+#: Rows of a bucket's step. STATE: a active dishes, b their tables, c the tables of samples so far. SUMS for part k: a words, b their tables here, d split contexts, e their tables here.
+BUCKET_STEP = "what int, bucket int, k int, a binary, b binary, c binary, d binary, e binary"
+#: Rows of a part's step. STATE: a words, b dishes of one customer, c tokens, d tables, e to h split contexts, their dishes of one customer, customers and tables; i and j what samples had of words (customers, tables)
+#: and contexts (tables). REPLY to a bucket: a shares of words, b x of split contexts. TOTAL: parent customers x, tables y, shares z, known words n, tokens m, words of one dish and of two.
+PART_STEP = "what int, bucket int, k int, a binary, b binary, c binary, d binary, e binary, f binary, g binary, h binary, i binary, j binary, x long, y long, z double, n long, m long, ones long, twos long"
+#: The last reply: by sample, customers and tables of words (a), tokens of words (b), tables of split contexts (c) and their customers (d).
+LAST_REPLY = "bucket int, k int, a binary, b binary, c binary, d binary"
+
+
+def bucket_rows(number: int, a: Active, tables: np.ndarray, saved: bytes, parts: int, data: bytes) -> pa.Table:
+    words = np.bincount(a.word, tables, len(a.words)).astype(np.uint32)
+    sums = _asked(number, {"a": a.words, "b": words}, parts)
+    here = (a.singles + np.bincount(a.context, tables, len(a.contexts))).astype(np.uint32)
+    split = np.flatnonzero(a.split)
+    split = split[by_home(a.contexts[split], parts)]
+    for k, row in _asked(number, {"d": a.contexts[split], "e": here[split]}, parts).items():
+        sums[k] = sums.get(k, {}) | row
+    out = [{"what": STATE, "bucket": number, "a": data, "b": packed(tables.astype(np.uint32)), "c": saved}]
+    return rows_of(BUCKET_STEP, [*out, *({"what": SUMS, "bucket": number, "k": k} | r for k, r in sorted(sums.items()))])
+
+
+def first_tables(state: pa.Table, parts: int) -> pa.Table:
+    """Every dish at one table."""
+    (row,) = state.to_pylist()
+    a = Active.of(row["a"])
+    return bucket_rows(row["bucket"], a, np.ones(len(a.customers), np.int64), b"", parts, row["a"])
+
+
+def bucket_step(state: pa.Table, replies: pa.Table, now: Totals, s: Settings, sweep: int, is_sample: bool, parts: int) -> pa.Table:
+    """A sweep over a bucket's dishes, given the parts' replies."""
+    (row,) = state.to_pylist()
+    a, replies = Active.of(row["a"]), sorted(replies.to_pylist(), key=lambda r: r["k"])
+    tables = unpacked(row["b"], np.uint32).astype(np.int64)
+    x = np.empty(len(a.contexts))
+    here = a.singles + np.bincount(a.context, tables, len(a.contexts)).astype(np.int64)
+    whole, split = a.split == 0, np.flatnonzero(a.split)
+    x[whole] = x_of(a.contexts[whole], here[whole], s, sweep)
+    x[split[by_home(a.contexts[split], parts)]] = np.concatenate([np.empty(0), *(unpacked(r["b"], np.float64) for r in replies)])
+    p = drawn(np.concatenate([np.empty(0), *(unpacked(r["a"], np.float64) for r in replies)]), now, s)
+    tables = dish_tables(a.contexts[a.context], a.words[a.word], a.customers, x[a.context], p[a.word], s, sweep)
+    saved = (row["c"] or b"") + (_chunk(tables.astype(np.uint32)) if is_sample else b"")
+    return bucket_rows(row["bucket"], a, tables, saved, parts, row["a"])
+
+
+def _chunk(x: np.ndarray) -> bytes:
+    data = packed(x)
+    return len(data).to_bytes(8, "little") + data
+
+
+def _chunks(data: bytes | None, kind: type) -> list[np.ndarray]:
+    out, at = [], 0
+    while data and at < len(data):
+        size = int.from_bytes(data[at : at + 8], "little")
+        out.append(unpacked(data[at + 8 : at + 8 + size], kind))
+        at += 8 + size
+    return out
+
+
+def _summed(rows: list[dict], ids: str, columns: dict[str, type]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Distinct ids of all rows and the sums of columns."""
+    asked = [unpacked(r[ids], np.uint64) for r in rows]
+    every, which = np.unique(np.concatenate([np.empty(0, np.uint64), *asked]), return_inverse=True)
+    return every, [np.bincount(which, np.concatenate([np.empty(0), *(unpacked(r[c], kind) for r in rows)]), len(every)).astype(np.int64) for c, kind in columns.items()]
+
+
+def first_part(asks: pa.Table) -> pa.Table:
+    """The words and split contexts at home in a part; no word has a table yet."""
+    k = asks["k"][0].as_py()
+    rows = asks.to_pylist()
+    words, (singles, tokens) = _summed(rows, "a", {"b": np.uint32, "c": np.uint32})
+    contexts, (theirs, eaters) = _summed(rows, "d", {"e": np.uint32, "f": np.uint32})
+    state = {"what": STATE, "k": k, "a": words, "b": singles, "c": tokens, "d": np.zeros(len(words), np.int64), "e": contexts, "f": theirs, "g": eaters, "h": np.zeros(len(contexts), np.int64)}
+    total = {"what": TOTAL, "k": k, "x": 0, "y": 0, "z": 0.0, "n": int((tokens > 0).sum()), "m": int(tokens.sum())}
+    return rows_of(PART_STEP, [{c: packed(x) if isinstance(x, np.ndarray) else x for c, x in state.items()}, total])
+
+
+def part_step(state: pa.Table, sums: pa.Table, x: float, s: Settings, sweep: int, save: bool) -> pa.Table:
+    """Adds up the buckets' tables, draws the parent's tables and shares of the words and x of the split contexts, and replies to the buckets."""
+    (row,) = state.to_pylist()
+    sums = sorted(sums.to_pylist(), key=lambda r: r["bucket"])
+    words, contexts = unpacked(row["a"], np.uint64), unpacked(row["e"], np.uint64)
+    customers, eaters = unpacked(row["b"], np.int64).copy(), np.zeros(len(contexts), np.int64)
+    asked, theirs = [], []
+    for r in sums:  # ids are distinct in a row
+        asked.append(np.searchsorted(words, unpacked(r["a"], np.uint64)))
+        theirs.append(np.searchsorted(contexts, unpacked(r["d"], np.uint64)))
+        customers[asked[-1]] += unpacked(r["b"], np.uint32)
+        eaters[theirs[-1]] += unpacked(r["e"], np.uint32)
+    tables = word_tables(words, customers, x, s, sweep)
+    shares = shares_of(words, customers, tables, s, sweep)
+    theirs_x = x_of(contexts, eaters, s, sweep)
+    out = row | {"d": packed(tables), "h": packed(eaters)}
+    if save:
+        out |= {"i": (row["i"] or b"") + _chunk(customers.astype(np.uint32)) + _chunk(tables.astype(np.uint32)), "j": (row["j"] or b"") + _chunk(eaters)}
+    total = {"what": TOTAL, "k": row["k"], "x": int(customers.sum()), "y": int(tables.sum()), "z": float(shares.sum()), "ones": int((customers == 1).sum()), "twos": int((customers == 2).sum())}
+    replies = [{"what": REPLY, "bucket": r["bucket"], "k": row["k"], "a": packed(shares[i]), "b": packed(theirs_x[j])} for r, i, j in zip(sums, asked, theirs)]
+    return rows_of(PART_STEP, [out, total, *replies])
+
+
+def last_replies(state: pa.Table, asks: pa.Table) -> pa.Table:
+    """To every bucket, what the samples had of its words and split contexts."""
+    (row,) = state.to_pylist()
+    words, contexts, tokens, eaters = (unpacked(row[c], k) for c, k in (("a", np.uint64), ("e", np.uint64), ("c", np.int64), ("g", np.int64)))
+    of_words, of_contexts = _chunks(row["i"], np.uint32), _chunks(row["j"], np.int64)
+    out = []
+    for r in asks.to_pylist():
+        i, j = np.searchsorted(words, unpacked(r["a"], np.uint64)), np.searchsorted(contexts, unpacked(r["d"], np.uint64))
+        out.append({"bucket": r["bucket"], "k": r["k"], "a": b"".join(_chunk(x[i]) for x in of_words), "b": packed(tokens[i].astype(np.uint32)), "c": b"".join(_chunk(x[j]) for x in of_contexts), "d": packed(eaters[j])})
+    return rows_of(LAST_REPLY, out)
+
+
+SENT = "bucket int, batch_id long, rows binary, known binary, base binary, score binary"
+
+
+def scored(table: pa.Table, replies: pa.Table, samples: list[Totals], s: Settings) -> pa.Table:
+    """Sums by document over some buckets. table: PLACES of buckets with the samples' tables of their active dishes (s)."""
+    held: list[list[np.ndarray]] = []
+    unknown = 0.5 / (s.tokens + 0.5 * (s.vocabulary + 1))
+    for i in np.argsort(table["bucket"].to_numpy()).tolist():
+        row = table.slice(i, 1).to_pylist()[0]
+        own = sorted((r for r in replies.filter(pa.compute.equal(replies["bucket"], row["bucket"])).to_pylist()), key=lambda r: r["k"])
+        context, word, customers, split = (unpacked(row[c], np.uint32).astype(np.int64) for c in "abcd")
+        eaters = unpacked(row["w"], np.uint32).astype(np.int64)
+        eaters[split] = np.concatenate([np.empty(0, np.int64), *(unpacked(r["d"], np.int64) for r in own)])
+        tokens = np.concatenate([np.empty(0, np.uint32), *(unpacked(r["b"], np.uint32) for r in own)])
+        of_words, of_contexts = [_chunks(r["a"], np.uint32) for r in own], [_chunks(r["c"], np.int64) for r in own]
+        more, p = customers > 1, np.zeros(len(customers))
+        for k, (now, active) in enumerate(zip(samples, _chunks(row["s"], np.uint32))):
+            tables = np.minimum(customers, 1)
+            tables[more] = active
+            all_tables = np.bincount(context, tables, len(eaters)).astype(np.int64)
+            all_tables[split] = np.concatenate([np.empty(0, np.int64), *(x[k] for x in of_contexts)])
+            parent = expected(np.concatenate([x[2 * k] for x in of_words]).astype(np.int64), np.concatenate([x[2 * k + 1] for x in of_words]).astype(np.int64), now, s)
+            p += prediction(customers, tables, eaters[context], all_tables[context], parent[word], s)
+        log_p, log_base = np.log10(p / len(samples)), np.log10(np.maximum(unknown, (tokens + 0.5) / (s.tokens + 0.5 * (s.vocabulary + 1))))
+        dish, n = unpacked(row["g"], np.uint32), unpacked(row["i"], np.uint16).astype(np.float64)
+        w = word[dish]
+        held.append([unpacked(row["e"], np.int64)[unpacked(row["f"], np.uint32)], unpacked(row["h"], np.uint16), n * (tokens[w] > 0), n * log_base[w], n * log_p[dish]])
+        held = [_added(held)]
+    batch, own, known, base, full = held[0]
+    blobs = [own, known.astype(np.uint32), base, full]
+    first = table["bucket"][0].as_py()
+    return rows_of(SENT, [{"bucket": first, "batch_id": int(batch[i])} | {c: packed(x[i:j]) for c, x in zip(("rows", "known", "base", "score"), blobs)} for i, j in cuts(batch)])
+
+
+def _added(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """Sums of all parts by (batch, row)."""
+    batch, row = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+    batches, which = np.unique(batch, return_inverse=True)
+    keys, where = np.unique((which.astype(np.int64) << 16) | row, return_inverse=True)
+    sums = [np.bincount(where, np.concatenate([p[i] for p in parts]), len(keys)) for i in (2, 3, 4)]
+    return [batches[keys >> 16], (keys & 0xFFFF).astype(np.uint16), *sums]
 
 
 def forget(spark: SparkSession, path: str) -> None:
@@ -453,178 +637,80 @@ def forget(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 5, held: int = 1, seed: int = 1, bucket_bytes: int = 2 << 20) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row of docs."""
+def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 5, held: int = 1, seed: int = 1, bucket_bytes: int = 8 << 20) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity) of each row of docs."""
     spark = docs.sparkSession
     folder = work_dir(spark)
     docs = docs.select(F.col(text).alias("text"), (fold_of(F.col(key), folds) != held).alias("train"), F.col(key).cast("bigint").alias("doc_id"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(64, -(-size // bucket_bytes))
-    parts = max(8, buckets // 16)
-    hot = frequent(docs)
-
-    def gather(table: pa.Table) -> pa.Table:
-        """One row a bucket, with its counts of counts; the lists of documents as they are."""
-        number = table["bucket"][0].as_py()
-        names = ["words", "word", "context", "customers", "dish", "batch", "row", "count", "ids"]
-        if number >= buckets:
-            lists = {"words": table["words"], "word": table["runs"], "context": table["contexts"], "customers": table["train"]}
-            nothing, zeros = pa.nulls(table.num_rows, pa.binary()), pa.array(np.zeros(table.num_rows, np.int64))
-            return pa.table([table["bucket"], table["batch"], *(lists.get(n, nothing).cast(pa.binary()) for n in names), *[zeros] * 7], names=["bucket", "batch_id", *names, "tokens", "vocabulary", "dishes", "ones", "twos", "word_ones", "word_twos"])
-        b = gathered(table.to_pylist(), parts)
-        by_word = np.bincount(b.word, b.customers, len(b.words))
-        whole = ~np.isin(b.words, hot)
-        stats = [b.customers.sum(), (by_word[whole] > 0).sum(), (b.customers > 0).sum(), (b.customers == 1).sum(), (b.customers == 2).sum(), (by_word[whole] == 1).sum(), (by_word[whole] == 2).sum()]
-        blobs = [b.words, b.word.astype(np.uint32), b.context.astype(np.uint32), b.customers.astype(np.uint32), np.bincount(b.dish, minlength=len(b.word)).astype(np.uint32), *(x[np.argsort(b.dish, kind="stable")] for x in (b.batch, b.row, b.count)), b.contexts]
-        return pa.table([pa.array([number], pa.int32()), pa.array([0], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in blobs), *(pa.array([int(x)], pa.int64()) for x in stats)], names=["bucket", "batch_id", *names, "tokens", "vocabulary", "dishes", "ones", "twos", "word_ones", "word_twos"])
-
-    gathered_schema = "bucket int, batch_id long, words binary, word binary, context binary, customers binary, dish binary, batch binary, row binary, count binary, ids binary, tokens long, vocabulary long, dishes long, ones long, twos long, word_ones long, word_twos long"
-    stored = written(deal(docs, hot, buckets).groupBy("bucket").applyInArrow(gather, gathered_schema), "buckets", folder)
-    totals = stored.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "vocabulary", "ones", "twos", "word_ones", "word_twos")]).first()
+    buckets = max(8, -(-size // bucket_bytes))
+    parts = max(8, buckets // 8)
+    large, pieces = large_contexts(docs, buckets, folder)
+
+    stored = written(deal(docs, large, pieces, buckets).groupBy("bucket").applyInArrow(lambda table: gathered(table, buckets, parts, large), GATHERED), "buckets", folder)
+    asks = stored.where(F.col("what") == ASK).select("bucket", "k", "a", "b", "c", "d", "e", "f")
+    home = written(asks.groupBy("k").applyInArrow(first_part, PART_STEP), "part0", folder)
+    known = home.where(F.col("what") == TOTAL).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("m"), F.lit(0)).alias("m")).first()
+    counts = stored.where(F.col("what") == PLACES).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("dishes", "ones", "twos"))).first()
     discount = lambda a, b: float(np.clip(a / (a + 2 * b), 0.05, 0.95)) if a else 0.5
-    settings = Settings(discount(totals["ones"], totals["twos"]), discount(totals["word_ones"], totals["word_twos"]), totals["vocabulary"] + len(hot), totals["tokens"], hot, 1.0 / buckets, seed)
-    unknown = 0.5 / (settings.tokens + 0.5 * (settings.vocabulary + 1))
-    dishes, places = ["bucket", "words", "word", "context", "customers", "ids"], ["dish", "batch", "row", "count"]
-    work = stored.where(F.col("bucket") < buckets).select(*dishes, *places)
-
-    def load(batch: pa.RecordBatch, i: int) -> tuple[int, Bucket]:
-        raw = {c: batch.column(c)[i].as_py() for c in batch.schema.names if c in dishes or c in places}
-        get = lambda c, kind: np.frombuffer(raw.get(c, b""), kind)
-        runs = get("dish", np.uint32)
-        rest = np.repeat(np.arange(len(runs)), runs), get("batch", np.int64), get("row", np.uint16), get("count", np.uint16)
-        return raw["bucket"], Bucket(get("words", np.uint64), get("word", np.uint32).astype(np.int64), get("context", np.uint32).astype(np.int64), get("customers", np.uint32).astype(np.int64), *rest, get("ids", np.uint64))
-
-    def state(batch: pa.RecordBatch, i: int, b: Bucket, now: Totals) -> tuple[np.ndarray, ...]:
-        """Tables of dishes, parent tables and probabilities of words, sums of predictions, and tables and customers of contexts, as the last sweep left them."""
-        a, words, sums, known, inbox = (batch.column(c)[i].as_py() for c in ("a", "b", "c", "d", "inbox"))
-        tables, parent_tables = np.frombuffer(a, np.uint32).astype(np.int64), np.frombuffer(words, np.uint32).astype(np.int64)
-        context_tables = np.frombuffer(b"".join(r["tables"] for r in inbox), np.int64)
-        known = np.frombuffer(known or b"".join(r["customers"] for r in inbox), np.int64)
-        customers = np.bincount(b.word, tables, len(b.words)).astype(np.int64)
-        is_hot = np.isin(b.words, hot)
-        at = np.searchsorted(hot, b.words[is_hot])
-        customers[is_hot], parent_tables[is_hot] = now.hot_customers[at], now.hot_tables[at]
-        return tables, parent_tables, parent_probabilities(customers, parent_tables, now, settings), np.frombuffer(sums), context_tables, known
-
-    def prediction(b: Bucket, tables: np.ndarray, parent: np.ndarray, context_tables: np.ndarray, known: np.ndarray) -> np.ndarray:
-        back = STRENGTH + settings.discount * context_tables[b.context]
-        return (b.customers - settings.discount * tables + back * parent[b.word]) / (STRENGTH + known[b.context])
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                number, b = load(batch, i)
-                tables = np.minimum(b.customers, 1)
-                yield _told(number, b, tables, np.minimum(np.bincount(b.word, tables, len(b.words)).astype(np.int64), 1), np.zeros(len(tables)), None, settings, parts)
-
-    def next_sweep(sweep: int, now: Totals, is_sample: bool):
-        """is_sample: the last sweep's seating is one of the samples."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    number, b = load(batch, i)
-                    rng = np.random.Generator(np.random.PCG64([settings.seed, sweep, number]))
-                    tables, parent_tables, parent, sums, context_tables, known = state(batch, i, b, now)
-                    if is_sample:
-                        sums = sums + prediction(b, tables, parent, context_tables, known)
-                    tables = swept(b, tables, parent, context_tables[b.context], settings, rng)
-                    customers = np.bincount(b.word, tables, len(b.words)).astype(np.int64)
-                    parent_tables = parent_counts(customers, np.minimum(parent_tables, customers), now.tables, settings, rng)  # those of hot words are drawn for the whole corpus
-                    yield _told(number, b, tables, parent_tables, sums, known, settings, parts)
-
-        return run
-
-    hot_tokens = np.zeros(len(hot), np.int64)
-
-    def totals_after(told: DataFrame, sweep: int, before: Totals | None) -> Totals:
-        """Sums over all buckets, at most HOT + 1 rows; the parent tables of hot words are drawn here."""
-        x, y = 0, 0
-        customers = np.zeros(len(hot), np.int64)
-        for k, name, u, v in told.where("k < 0").groupBy("k", "id").agg(F.sum("x"), F.sum("y")).collect():
-            if k == -1:
-                x, y = u, v
-            else:
-                i = np.searchsorted(hot, np.array([name]).view(np.uint64))[0]
-                customers[i], hot_tokens[i] = u, v
-        tables = np.minimum(customers, 1) if before is None else parent_counts(customers, np.minimum(before.hot_tables, customers), before.tables, settings, np.random.Generator(np.random.PCG64([settings.seed, sweep])))
-        return Totals(x, y + int(tables.sum()), customers, tables)
-
-    def met(told: DataFrame, columns: list[str]) -> DataFrame:
-        """Buckets with their last state and the corpus's totals of their contexts."""
-        replies = told.where("k >= 0").select("k", "bucket", "a", "b", "c").groupBy("k").applyInArrow(_totals_of, "bucket int, k int, tables binary, customers binary")
-        inbox = replies.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("k", "tables", "customers"))).alias("inbox"))
-        return work.select(*columns).join(told.where("k = -1").select("bucket", "a", "b", "c", "d"), "bucket").join(inbox, "bucket")
-
-    told = written(work.select(*dishes).mapInArrow(first, SWEEP), "sweep0", folder)
-    now = totals_after(told, 0, None)
-    samples = {BURN + i * BETWEEN for i in range(SAMPLES)}
-    for sweep in range(1, max(samples) + 1):
-        told = written(met(told, dishes).mapInArrow(next_sweep(sweep, now, sweep - 1 in samples), SWEEP), f"sweep{sweep}", folder)
-        now = totals_after(told, sweep, now)
-        forget(spark, f"{folder}/sweep{sweep - 1}")
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held: list[list[np.ndarray]] = []  # sums by (batch, row) of some buckets, added up before they are sent
-            number = -1
-            for i in range(batch.num_rows):
-                number, b = load(batch, i)
-                tables, _, parent, sums, context_tables, known = state(batch, i, b, now)
-                p = sums + prediction(b, tables, parent, context_tables, known)
-                tokens = np.bincount(b.word, b.customers, len(b.words))
-                is_hot = np.isin(b.words, hot)
-                tokens[is_hot] = hot_tokens[np.searchsorted(hot, b.words[is_hot])]
-                log_p = np.log10(p / SAMPLES)
-                log_base = np.log10(np.maximum(unknown, (tokens + 0.5) / (settings.tokens + 0.5 * (settings.vocabulary + 1))))
-                w, n = b.word[b.dish], b.count.astype(np.float64)
-                held.append([b.batch, b.row, n * (tokens[w] > 0), n * log_base[w], n * log_p[b.dish]])
-                if sum(len(h[0]) for h in held) > 400_000:
-                    held = [_added(held)]
-                    if len(held[0][0]) > 200_000:
-                        yield _sent(number, held.pop())
-            if held:
-                yield _sent(number, _added(held))
-
-    partial = met(told, [*dishes, *places]).mapInArrow(score, "bucket int, batch_id long, rows binary, known binary, base binary, score binary")
-    lists = stored.where(F.col("bucket") >= buckets).selectExpr("bucket", "batch_id", "words AS rows", "word AS known", "context AS base", "customers AS score")
+    settings = Settings(discount(counts["ones"], counts["twos"]), 0.5, known["n"], known["m"], seed)
+    told = written(stored.where(F.col("what") == STATE).select("bucket", "a").groupBy("bucket").applyInArrow(lambda state: first_tables(state, parts), BUCKET_STEP), "bucket0", folder)
+
+    def parts_after(home: DataFrame, told: DataFrame, sweep: int, before: Totals, save: bool) -> tuple[DataFrame, Totals]:
+        x = parent_x(before.tables, settings, sweep)
+        sums = told.where(F.col("what") == SUMS).select("bucket", "k", "a", "b", "d", "e")
+        state = home.where(F.col("what") == STATE)
+        home = written(state.groupBy("k").cogroup(sums.groupBy("k")).applyInArrow(lambda a, b: part_step(a, b, x, settings, sweep, save), PART_STEP), f"part{sweep}", folder)
+        rows = home.where(F.col("what") == TOTAL).select("k", "x", "y", "z").orderBy("k").collect()  # one small row a part
+        tables = sum(r["y"] for r in rows)
+        return home, Totals(sum(r["x"] for r in rows), tables, float(sum(r["z"] for r in rows)), base_share(tables, settings, sweep))
+
+    def swept(now: Totals, sweep: int):
+        return lambda state, replies: bucket_step(state, replies, now, settings, sweep, sweep in taken, parts)
+
+    now = Totals(0, known["n"], 0.0, 0.0)
+    taken = {BURN + i * BETWEEN for i in range(SAMPLES)}
+    samples = []
+    for sweep in range(1, max(taken) + 2):
+        home, now = parts_after(home, told, sweep, now, sweep - 1 in taken)
+        forget(spark, f"{folder}/part{sweep - 1}")
+        if sweep == 1:  # with one table a dish, the parent's customers are the contexts of words
+            both = home.where(F.col("what") == TOTAL).agg(F.sum("ones"), F.sum("twos")).first()
+            settings.parent_discount = discount(both[0] or 0, both[1] or 0)
+        if sweep - 1 in taken:
+            samples.append(now)
+        if sweep > max(taken):
+            break
+        replies = home.where(F.col("what") == REPLY).select("bucket", "k", "a", "b")
+        state = told.where(F.col("what") == STATE).select("bucket", "a", "b", "c")
+        told = written(state.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(swept(now, sweep), BUCKET_STEP), f"bucket{sweep}", folder)
+        forget(spark, f"{folder}/bucket{sweep - 1}")
+
+    last = home.where(F.col("what") == STATE).select("k", "a", "c", "e", "g", "i", "j").groupBy("k").cogroup(asks.select("bucket", "k", "a", "d").groupBy("k")).applyInArrow(last_replies, LAST_REPLY)
+    together = (F.col("bucket") / TOGETHER).cast("int").alias("together")
+    places = stored.where(F.col("what") == PLACES).select("bucket", *"abcdefghiw").join(told.where(F.col("what") == STATE).selectExpr("bucket", "c AS s"), "bucket").select(together, "*")
+    answered = last.select(together, "*").groupBy("together")
+    partial = places.groupBy("together").cogroup(answered).applyInArrow(lambda a, b: scored(a, b, samples, settings), SENT)
+    lists = stored.where(F.col("what") == LISTS).selectExpr("bucket", "batch_id", "a AS rows", "b AS known", "c AS base", "d AS score")
 
     def finish(table: pa.Table) -> pa.Table:
-        parts = sorted(table.to_pylist(), key=lambda r: r["bucket"])
-        head = parts.pop()  # the list of documents has the largest number
-        ids = np.frombuffer(head["rows"], np.int64)
+        rows = sorted(table.to_pylist(), key=lambda r: r["bucket"])
+        head = rows.pop()  # the list of documents has the largest number
+        ids, tokens = unpacked(head["rows"], np.int64), unpacked(head["base"], np.int64)
         n = len(ids)
-        valid = np.unpackbits(np.frombuffer(head["known"], np.uint8))[:n].astype(bool)
-        train = np.unpackbits(np.frombuffer(head["score"], np.uint8))[:n].astype(bool)
+        valid, train = (np.unpackbits(unpacked(head[c], np.uint8))[:n].astype(bool) for c in ("known", "score"))
         known, base, full = np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
-        for r in parts:
-            at = np.frombuffer(r["rows"], np.uint16)
-            known[at] += np.frombuffer(r["known"], np.uint32)
-            base[at] += np.frombuffer(r["base"])
-            full[at] += np.frombuffer(r["score"], np.float32)
-        return pa.table({"doc_id": pa.array(ids, mask=~valid), "held_out": ~train, "n_tokens": np.frombuffer(head["base"], np.int64), "n_known": known, "train_tokens": np.full(n, settings.tokens, np.int64), "base_score": base, "score": full})
-
-    return partial.unionByName(lists).groupBy("batch_id").applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-
-
-def _added(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
-    """Sums of all parts by (batch, row)."""
-    batch, row = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-    batches, which = np.unique(batch, return_inverse=True)
-    keys, where = np.unique((which.astype(np.int64) << 16) | row, return_inverse=True)
-    sums = [np.bincount(where, np.concatenate([p[i] for p in parts]), len(keys)) for i in (2, 3, 4)]
-    return [batches[keys >> 16], (keys & 0xFFFF).astype(np.uint16), *sums]
-
+        for r in rows:
+            at = unpacked(r["rows"], np.uint16)
+            known[at] += unpacked(r["known"], np.uint32)
+            base[at] += unpacked(r["base"], np.float64)
+            full[at] += unpacked(r["score"], np.float64)
+        perplexity = 10 ** np.minimum(-full / tokens, 300)
+        return pa.table({"doc_id": pa.array(ids, mask=~valid), "held_out": ~train, "n_tokens": tokens, "n_known": known, "train_tokens": np.full(n, settings.tokens, np.int64), "base_score": base, "score": full, "perplexity": perplexity})
 
-def _sent(number: int, sums: list[np.ndarray]) -> pa.RecordBatch:
-    """One row for each batch."""
-    batch, row, known, base, full = sums
-    begin = np.flatnonzero(np.append(True, batch[1:] != batch[:-1]))
-    cuts = list(zip(begin.tolist(), [*begin[1:].tolist(), len(batch)]))
-    blobs = [[x[i:j].tobytes() for i, j in cuts] for x in (row, known.astype(np.uint32), base, full.astype(np.float32))]
-    return pa.RecordBatch.from_arrays([pa.array([number] * len(cuts), pa.int32()), pa.array(batch[begin], pa.int64()), *(pa.array(x, pa.binary()) for x in blobs)], names=["bucket", "batch_id", "rows", "known", "base", "score"])
+    return partial.unionByName(lists).groupBy("batch_id").applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log probabilities of every document."""
+    """Log probabilities and perplexities of every document."""
     return score_documents(documents(spark, sf_dir, "doc_id", "text"))
