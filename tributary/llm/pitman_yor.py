@@ -43,7 +43,7 @@ SAMPLES = 3
 BURN, BETWEEN = 6, 3
 STRENGTH, PARENT_STRENGTH = 1.0, 1.0
 #: Buckets whose sums by document are added up before they are sent.
-TOGETHER = 4
+TOGETHER = 8
 END = np.uint64(0x1D8E4E27C47D124F)
 START = 0
 
@@ -126,6 +126,11 @@ def unpacked(data: bytes | None, kind: type) -> np.ndarray:
     return np.frombuffer(pa.decompress(data[8:], size, codec="zstd", asbytes=True), kind) if size else np.empty(0, kind)
 
 
+def steps(x: np.ndarray) -> np.ndarray:
+    """The differences of nearly sorted numbers below 2^32, which compress well; their running sum, modulo 2^32, gives them back."""
+    return np.diff(x.astype(np.uint32), prepend=np.uint32(0))
+
+
 def uniform(keys: np.ndarray, *salt: int) -> np.ndarray:
     """A number in (0, 1) for each key, by the salt."""
     at = np.zeros(1, np.uint64)
@@ -186,13 +191,19 @@ def _log_sum_is(n: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
         at = (low + high) / 2
         left = np.log(t * d) + (d - 1) * at + np.log(-np.expm1(at)) > np.log(n + 1) + np.log(-np.expm1(d * at))
         low, high = np.where(left, at, low), np.where(left, high, at)
-    w0 = np.exp((low + high) / 2)
+    log_w0 = (low + high) / 2
+    w0 = np.exp(log_w0)
     reach = np.sqrt(20 / ((1 - d) * (n + 1) * w0))
-    r = 1 + 1j * (np.arange(NODES) + 0.5) / NODES * reach[..., None]
-    w = w0[..., None] * r * r
-    f = t[..., None] * np.log1p(-(w**d)) - (n[..., None] + 1) * np.log1p(-w)
-    top = f.real.max(-1)
-    total = (np.exp(f - top[..., None]) * r).real.sum(-1) * reach / NODES * 2 / np.pi * w0
+    y = (np.arange(NODES) + 0.5) / NODES * reach[..., None]  # w = w0 (1 + iy)^2 is 1 - z; in real numbers, which are faster
+    square, angle = y * y, 2 * d * np.arctan(y)
+    g = np.exp(d * (log_w0[..., None] + np.log1p(square)))
+    a, b = 1 - g * np.cos(angle), g * np.sin(angle)  # 1 - w^d = a - ib
+    c, e = 1 - w0[..., None] * (1 - square), 2 * w0[..., None] * y  # 1 - w = c - ie
+    t_, n_ = t[..., None], n[..., None] + 1
+    height = (t_ * np.log(a * a + b * b) - n_ * np.log(c * c + e * e)) / 2
+    turn = n_ * np.arctan2(e, c) - t_ * np.arctan2(b, a)
+    top = height.max(-1)
+    total = (np.exp(height - top[..., None]) * (np.cos(turn) - y * np.sin(turn))).sum(-1) * reach / NODES * 2 / np.pi * w0
     return np.where(t >= n, n * np.log(d), top + np.log(np.maximum(total, 1e-300)))
 
 
@@ -316,13 +327,8 @@ def prediction(customers: np.ndarray, tables: np.ndarray, all_customers: np.ndar
 
 
 def homes(ids: np.ndarray, parts: int) -> np.ndarray:
-    """The part in which the totals of each word or split context are added up."""
-    return (mix64(ids + np.uint64(3)) % np.uint64(parts)).astype(np.int64)
-
-
-def by_home(ids: np.ndarray, parts: int) -> np.ndarray:
-    """The order of distinct ids by home and id."""
-    return np.lexsort((ids, homes(ids, parts)))
+    """The part in which the totals of each word or split context are added up: a range of ids, which are hashes, so sorted ids are sorted by home."""
+    return (((ids >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
 
 
 def cuts(sorted_keys: np.ndarray) -> list[tuple[int, int]]:
@@ -410,10 +416,11 @@ class Active:
     singles: np.ndarray
     split: np.ndarray
 
+    #: Of the lists above; contexts' places go by their differences.
     KINDS = (np.uint32, np.uint32, np.uint32, np.uint64, np.uint64, np.uint32, np.uint8)
 
     def to_bytes(self) -> bytes:
-        blobs = [packed(x.astype(k)) for x, k in zip((self.context, self.word, self.customers, self.words, self.contexts, self.singles, self.split), self.KINDS)]
+        blobs = [packed(x.astype(k)) for x, k in zip((steps(self.context), self.word, self.customers, self.words, self.contexts, self.singles, self.split), self.KINDS)]
         return b"".join(len(b).to_bytes(8, "little") + b for b in blobs)
 
     @staticmethod
@@ -423,6 +430,7 @@ class Active:
             size = int.from_bytes(data[at : at + 8], "little")
             found.append(unpacked(data[at + 8 : at + 8 + size], kind))
             at += 8 + size
+        found[0] = np.cumsum(found[0], dtype=np.uint32)
         return Active(*(x.astype(np.int64) if i < 3 else x for i, x in enumerate(found)))
 
 
@@ -443,11 +451,7 @@ def gathered(table: pa.Table, buckets: int, parts: int, large: np.ndarray) -> pa
     row = np.concatenate(own)
     contexts, context = np.unique(context, return_inverse=True)
     words, word = np.unique(word, return_inverse=True)
-    order = by_home(words, parts)
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    words = words[order]
-    dishes, dish = np.unique((context << 32) | rank[word], return_inverse=True)
+    dishes, dish = np.unique((context << 32) | word, return_inverse=True)
     context, word = dishes >> 32, dishes & 0xFFFFFFFF
     customers = np.bincount(dish, count * train.astype(np.float64), len(dishes)).astype(np.int64)
     eaters = np.bincount(context, customers, len(contexts)).astype(np.int64)
@@ -455,11 +459,10 @@ def gathered(table: pa.Table, buckets: int, parts: int, large: np.ndarray) -> pa
     singles = np.bincount(context[one], minlength=len(contexts))
     is_split = np.isin(contexts, large)
     asks = _asked(number, {"a": words, "b": np.bincount(word[one], minlength=len(words)).astype(np.uint32), "c": np.bincount(word, customers, len(words)).astype(np.uint32)}, parts)
-    at = by_home(contexts[is_split], parts)
-    theirs = _asked(number, {"d": contexts[is_split][at], "e": singles[is_split][at].astype(np.uint32), "f": eaters[is_split][at].astype(np.uint32)}, parts)
+    theirs = _asked(number, {"d": contexts[is_split], "e": singles[is_split].astype(np.uint32), "f": eaters[is_split].astype(np.uint32)}, parts)
     for k, row_of in theirs.items():
         asks[k] = asks.get(k, {}) | row_of
-    places = {"a": context.astype(np.uint32), "b": word.astype(np.uint32), "c": customers.astype(np.uint32), "d": np.flatnonzero(is_split)[at].astype(np.uint32), "e": ids, "f": batch, "g": dish.astype(np.uint32), "h": row, "i": count, "w": eaters.astype(np.uint32)}
+    places = {"a": steps(context), "b": word.astype(np.uint32), "c": customers.astype(np.uint32), "d": np.flatnonzero(is_split).astype(np.uint32), "e": ids, "f": batch, "g": steps(dish), "h": row, "i": count, "w": eaters.astype(np.uint32)}
     used, own_word = np.unique(word[more], return_inverse=True)
     seen, own_context = np.unique(np.append(context[more], np.flatnonzero(is_split)), return_inverse=True)
     active = Active(own_context[: more.sum()], own_word, customers[more], words[used], contexts[seen], singles[seen], is_split[seen])
@@ -489,7 +492,6 @@ def bucket_rows(number: int, a: Active, tables: np.ndarray, saved: bytes, parts:
     sums = _asked(number, {"a": a.words, "b": words}, parts)
     here = (a.singles + np.bincount(a.context, tables, len(a.contexts))).astype(np.uint32)
     split = np.flatnonzero(a.split)
-    split = split[by_home(a.contexts[split], parts)]
     for k, row in _asked(number, {"d": a.contexts[split], "e": here[split]}, parts).items():
         sums[k] = sums.get(k, {}) | row
     out = [{"what": STATE, "bucket": number, "a": data, "b": packed(tables.astype(np.uint32)), "c": saved}]
@@ -512,7 +514,7 @@ def bucket_step(state: pa.Table, replies: pa.Table, now: Totals, s: Settings, sw
     here = a.singles + np.bincount(a.context, tables, len(a.contexts)).astype(np.int64)
     whole, split = a.split == 0, np.flatnonzero(a.split)
     x[whole] = x_of(a.contexts[whole], here[whole], s, sweep)
-    x[split[by_home(a.contexts[split], parts)]] = np.concatenate([np.empty(0), *(unpacked(r["b"], np.float64) for r in replies)])
+    x[split] = np.concatenate([np.empty(0), *(unpacked(r["b"], np.float64) for r in replies)])
     p = drawn(np.concatenate([np.empty(0), *(unpacked(r["a"], np.float64) for r in replies)]), now, s)
     tables = dish_tables(a.contexts[a.context], a.words[a.word], a.customers, x[a.context], p[a.word], s, sweep)
     saved = (row["c"] or b"") + (_chunk(tables.astype(np.uint32)) if is_sample else b"")
@@ -590,19 +592,20 @@ SENT = "bucket int, batch_id long, rows binary, known binary, base binary, score
 
 
 def scored(table: pa.Table, replies: pa.Table, samples: list[Totals], s: Settings) -> pa.Table:
-    """Sums by document over some buckets. table: PLACES of buckets with the samples' tables of their active dishes (s)."""
+    """Sums by document over some buckets. table: PLACES of buckets; replies: LAST_REPLY, and with k = -1 the samples' tables of a bucket's active dishes (a)."""
     held: list[list[np.ndarray]] = []
     unknown = 0.5 / (s.tokens + 0.5 * (s.vocabulary + 1))
     for i in np.argsort(table["bucket"].to_numpy()).tolist():
         row = table.slice(i, 1).to_pylist()[0]
-        own = sorted((r for r in replies.filter(pa.compute.equal(replies["bucket"], row["bucket"])).to_pylist()), key=lambda r: r["k"])
+        state, *own = sorted(replies.filter(pa.compute.equal(replies["bucket"], row["bucket"])).to_pylist(), key=lambda r: r["k"])
         context, word, customers, split = (unpacked(row[c], np.uint32).astype(np.int64) for c in "abcd")
+        context = np.cumsum(context) % (1 << 32)
         eaters = unpacked(row["w"], np.uint32).astype(np.int64)
         eaters[split] = np.concatenate([np.empty(0, np.int64), *(unpacked(r["d"], np.int64) for r in own)])
         tokens = np.concatenate([np.empty(0, np.uint32), *(unpacked(r["b"], np.uint32) for r in own)])
         of_words, of_contexts = [_chunks(r["a"], np.uint32) for r in own], [_chunks(r["c"], np.int64) for r in own]
         more, p = customers > 1, np.zeros(len(customers))
-        for k, (now, active) in enumerate(zip(samples, _chunks(row["s"], np.uint32))):
+        for k, (now, active) in enumerate(zip(samples, _chunks(state["a"], np.uint32))):
             tables = np.minimum(customers, 1)
             tables[more] = active
             all_tables = np.bincount(context, tables, len(eaters)).astype(np.int64)
@@ -610,7 +613,7 @@ def scored(table: pa.Table, replies: pa.Table, samples: list[Totals], s: Setting
             parent = expected(np.concatenate([x[2 * k] for x in of_words]).astype(np.int64), np.concatenate([x[2 * k + 1] for x in of_words]).astype(np.int64), now, s)
             p += prediction(customers, tables, eaters[context], all_tables[context], parent[word], s)
         log_p, log_base = np.log10(p / len(samples)), np.log10(np.maximum(unknown, (tokens + 0.5) / (s.tokens + 0.5 * (s.vocabulary + 1))))
-        dish, n = unpacked(row["g"], np.uint32), unpacked(row["i"], np.uint16).astype(np.float64)
+        dish, n = np.cumsum(unpacked(row["g"], np.uint32), dtype=np.uint32), unpacked(row["i"], np.uint16).astype(np.float64)
         w = word[dish]
         held.append([unpacked(row["e"], np.int64)[unpacked(row["f"], np.uint32)], unpacked(row["h"], np.uint16), n * (tokens[w] > 0), n * log_base[w], n * log_p[dish]])
         held = [_added(held)]
@@ -637,17 +640,20 @@ def forget(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 5, held: int = 1, seed: int = 1, bucket_bytes: int = 8 << 20) -> DataFrame:
+def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 5, held: int = 1, seed: int = 1, bucket_bytes: int = 4 << 20) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity) of each row of docs."""
     spark = docs.sparkSession
     folder = work_dir(spark)
     docs = docs.select(F.col(text).alias("text"), (fold_of(F.col(key), folds) != held).alias("train"), F.col(key).cast("bigint").alias("doc_id"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, -(-size // bucket_bytes))
-    parts = max(8, buckets // 8)
+    parts = max(8, buckets // 16)
     large, pieces = large_contexts(docs, buckets, folder)
 
-    stored = written(deal(docs, large, pieces, buckets).groupBy("bucket").applyInArrow(lambda table: gathered(table, buckets, parts, large), GATHERED), "buckets", folder)
+    dealt = deal(docs, large, pieces, buckets).groupBy("bucket").applyInArrow(lambda table: gathered(table, buckets, parts, large), GATHERED)
+    dealt.write.option("compression", "zstd").partitionBy("what").parquet(f"{folder}/buckets")  # each kind can go when it is no longer read
+    stored = spark.read.schema(dealt.schema).parquet(f"{folder}/buckets")
+    del dealt
     asks = stored.where(F.col("what") == ASK).select("bucket", "k", "a", "b", "c", "d", "e", "f")
     home = written(asks.groupBy("k").applyInArrow(first_part, PART_STEP), "part0", folder)
     known = home.where(F.col("what") == TOTAL).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("m"), F.lit(0)).alias("m")).first()
@@ -655,6 +661,7 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", fo
     discount = lambda a, b: float(np.clip(a / (a + 2 * b), 0.05, 0.95)) if a else 0.5
     settings = Settings(discount(counts["ones"], counts["twos"]), 0.5, known["n"], known["m"], seed)
     told = written(stored.where(F.col("what") == STATE).select("bucket", "a").groupBy("bucket").applyInArrow(lambda state: first_tables(state, parts), BUCKET_STEP), "bucket0", folder)
+    forget(spark, f"{folder}/buckets/what={STATE}")
 
     def parts_after(home: DataFrame, told: DataFrame, sweep: int, before: Totals, save: bool) -> tuple[DataFrame, Totals]:
         x = parent_x(before.tables, settings, sweep)
@@ -687,10 +694,14 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", fo
         forget(spark, f"{folder}/bucket{sweep - 1}")
 
     last = home.where(F.col("what") == STATE).select("k", "a", "c", "e", "g", "i", "j").groupBy("k").cogroup(asks.select("bucket", "k", "a", "d").groupBy("k")).applyInArrow(last_replies, LAST_REPLY)
+    last = written(last, "replies", folder)
+    forget(spark, f"{folder}/buckets/what={ASK}")
+    forget(spark, f"{folder}/part{max(taken) + 1}")
     together = (F.col("bucket") / TOGETHER).cast("int").alias("together")
-    places = stored.where(F.col("what") == PLACES).select("bucket", *"abcdefghiw").join(told.where(F.col("what") == STATE).selectExpr("bucket", "c AS s"), "bucket").select(together, "*")
-    answered = last.select(together, "*").groupBy("together")
-    partial = places.groupBy("together").cogroup(answered).applyInArrow(lambda a, b: scored(a, b, samples, settings), SENT)
+    places = stored.where(F.col("what") == PLACES).select(together, "bucket", *"abcdefghiw")
+    states = told.where(F.col("what") == STATE).selectExpr("bucket", "-1 AS k", "c AS a", *[f"CAST(NULL AS binary) AS {c}" for c in "bcd"])
+    answered = last.unionByName(states).select(together, "*")
+    partial = places.groupBy("together").cogroup(answered.groupBy("together")).applyInArrow(lambda a, b: scored(a, b, samples, settings), SENT)
     lists = stored.where(F.col("what") == LISTS).selectExpr("bucket", "batch_id", "a AS rows", "b AS known", "c AS base", "d AS score")
 
     def finish(table: pa.Table) -> pa.Table:
