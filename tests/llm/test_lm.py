@@ -246,8 +246,9 @@ def test_places_of_a_piece_keep_word_context_and_row(spark):
     got, want = Counter(), Counter()
     none = np.empty(0, np.int64)
     for r in P.deal(docs, none.astype(np.uint64), none, 4).where("bucket < 4").collect():
-        contexts = np.repeat(np.frombuffer(r["contexts"], np.uint64), P.unpacked(r["runs"], np.uint32))
-        for w, c, n, k in zip(np.frombuffer(r["words"], np.uint64).tolist(), contexts.tolist(), P.unpacked(r["counts"], np.uint16).tolist(), P.unpacked(r["rows"], np.uint16).tolist()):
+        contexts = np.repeat(P.unpacked_ids(r["contexts"]), P.unpacked(r["runs"], np.uint32))
+        words = P.unpacked_ids(r["words"])[P.unpacked(r["which"], np.uint32)]
+        for w, c, n, k in zip(words.tolist(), contexts.tolist(), P.unpacked(r["counts"], np.uint16).tolist(), P.unpacked(r["rows"], np.uint16).tolist()):
             got[w, c, k] += n
     for k, (_, t, *_) in enumerate(rows):
         raw = np.frombuffer(t.encode(), np.uint8)

@@ -44,6 +44,8 @@ BURN, BETWEEN = 6, 3
 STRENGTH, PARENT_STRENGTH = 1.0, 1.0
 #: Buckets whose sums by document are added up before they are sent.
 TOGETHER = 8
+#: Bytes of text that are dealt at once.
+PIECE = 6 << 20
 END = np.uint64(0x1D8E4E27C47D124F)
 START = 0
 
@@ -73,7 +75,7 @@ def tokens_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def _pieces(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     raw, offsets = arrow_bytes(batch.column(column))
-    for a, b in row_ranges(offsets, 4 << 20):
+    for a, b in row_ranges(offsets, PIECE):
         for x in range(a, b, 1 << 16):
             y = min(b, x + (1 << 16))
             yield x, y, raw[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x]
@@ -84,13 +86,18 @@ def large_contexts(docs: DataFrame, buckets: int, folder: str) -> tuple[np.ndarr
     classes = 1 << max(10, min(20, (buckets * 256 - 1).bit_length()))
 
     def by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(classes + 1, np.int64)  # the start of every text is under the last key
+        n, rows = np.zeros(classes, np.int64), 0
         for batch in batches:
-            for x, y, raw, offsets in _pieces(batch, 0):
-                n[:classes] += np.bincount((word_hashes(raw, offsets)[0] & np.uint64(classes - 1)).astype(np.int64), minlength=classes)
-                n[classes] += y - x
-        found = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n[found])], names=["key", "n"])
+            rows += batch.num_rows
+            for _, _, raw, offsets in _pieces(batch, 0):
+                n += np.bincount((word_hashes(raw, offsets)[0] & np.uint64(classes - 1)).astype(np.int64), minlength=classes)
+        blobs = [packed(part) for part in np.split(n, 64)]  # as many rows from every task, whatever the number of classes
+        yield pa.RecordBatch.from_arrays([pa.array(range(64), pa.int32()), pa.array(blobs, pa.binary()), pa.array([rows] + [0] * 63), pa.array([int(n.sum())] + [0] * 63)], names=["part", "n", "rows", "words"])
+
+    def large_ones(table: pa.Table) -> pa.Table:
+        n = np.sum([unpacked(x, np.int64) for x in table["n"].to_pylist()], axis=0)
+        found = np.flatnonzero(n > least)
+        return pa.table({"key": pa.array(found + table["part"][0].as_py() * (classes // 64), pa.int64())})
 
     def of_large(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,14 +106,14 @@ def large_contexts(docs: DataFrame, buckets: int, folder: str) -> tuple[np.ndarr
                 key, n = np.unique(words[large[(words & np.uint64(classes - 1)).astype(np.int64)]], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], names=["key", "n"])
 
-    counted = lambda run: docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    sums = written(counted(by_class), "classes", folder)
-    total, starts = sums.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("key") == classes, F.col("n"))), F.lit(0))).first()
-    least = max(1, total // (4 * buckets))
+    texts = docs.select("text")
+    sums = written(texts.mapInArrow(by_class, "part int, n binary, rows long, words long"), "classes", folder)
+    starts, words = sums.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
+    least = max(1, (starts + words) // (4 * buckets))
     large = np.zeros(classes, bool)
-    large[[r["key"] for r in sums.where((F.col("n") > least) & (F.col("key") < classes)).collect()]] = True
+    large[[r["key"] for r in sums.select("part", "n").groupBy("part").applyInArrow(large_ones, "key long").collect()]] = True  # at most 4 for each bucket
 
-    rows = counted(of_large).where(F.col("n") > least).collect() if large.any() else []
+    rows = texts.mapInArrow(of_large, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > least).collect() if large.any() else []
     found = context_of(np.array([r["key"] for r in rows], np.int64).view(np.uint64))
     n = np.array([r["n"] for r in rows], np.int64)
     if starts > least:
@@ -116,14 +123,26 @@ def large_contexts(docs: DataFrame, buckets: int, folder: str) -> tuple[np.ndarr
 
 
 def packed(x: np.ndarray) -> bytes:
-    """An array as bytes, compressed, with its length before."""
-    raw = x.tobytes()
+    """An array as bytes, all first bytes first and so on, compressed, with its length before."""
+    raw = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
     return len(raw).to_bytes(8, "little") + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
 
 
 def unpacked(data: bytes | None, kind: type) -> np.ndarray:
     size = int.from_bytes(data[:8], "little") if data else 0
-    return np.frombuffer(pa.decompress(data[8:], size, codec="zstd", asbytes=True), kind) if size else np.empty(0, kind)
+    if not size:
+        return np.empty(0, kind)
+    raw = np.frombuffer(pa.decompress(data[8:], size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def packed_ids(ids: np.ndarray) -> bytes:
+    """Sorted ids by their differences: what sorting tells of a hash need not be stored."""
+    return packed(np.diff(ids, prepend=np.uint64(0)))
+
+
+def unpacked_ids(data: bytes | None) -> np.ndarray:
+    return np.cumsum(unpacked(data, np.uint64), dtype=np.uint64)
 
 
 def steps(x: np.ndarray) -> np.ndarray:
@@ -343,7 +362,7 @@ def rows_of(schema: str, rows: list[dict]) -> pa.Table:
     return pa.table({name: pa.array([r.get(name) for r in rows], kinds[kind]) for name, kind in (c.split() for c in schema.split(", "))})
 
 
-DEALT = "bucket int, batch long, contexts binary, runs binary, words binary, rows binary, counts binary, train binary"
+DEALT = "bucket int, batch long, contexts binary, runs binary, words binary, which binary, rows binary, counts binary, train binary"
 
 
 def deal(docs: DataFrame, large: np.ndarray, pieces: np.ndarray, buckets: int) -> DataFrame:
@@ -368,14 +387,14 @@ def deal(docs: DataFrame, large: np.ndarray, pieces: np.ndarray, buckets: int) -
                     n = np.full(len(key), 65535)
                     n[np.cumsum(parts) - 1] = last
                 c = (key >> (half + at_row)).astype(np.int64)
-                w = every[((key >> at_row) & ((np.uint64(1) << half) - np.uint64(1))).astype(np.int64)]
+                w = ((key >> at_row) & ((np.uint64(1) << half) - np.uint64(1))).astype(np.int64)
                 r = (key & ((np.uint64(1) << at_row) - np.uint64(1))).astype(np.uint16)
                 home = befores[c]
                 if len(large):
                     at = np.minimum(np.searchsorted(large, befores), len(large) - 1)
                     into = np.where(large[at] == befores, pieces[at], 1)[c]
                     split = into > 1
-                    home[split] = mix64(home[split] + mix64(w[split]) % into[split].astype(np.uint64) + np.uint64(1))
+                    home[split] = mix64(home[split] + mix64(every[w[split]]) % into[split].astype(np.uint64) + np.uint64(1))
                 bucket = ((mix64(home) >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 out = []
@@ -384,12 +403,13 @@ def deal(docs: DataFrame, large: np.ndarray, pieces: np.ndarray, buckets: int) -
                     run_of = cuts(c[take])
                     runs = np.array([b - a for a, b in run_of], np.uint32)
                     contexts = befores[c[take[[a for a, _ in run_of]]]]
-                    out.append((int(bucket[take[0]]), batch_id, contexts.tobytes(), packed(runs), w[take].tobytes(), packed(r[take]), packed(n[take].astype(np.uint16)), train))
+                    own, place = np.unique(w[take], return_inverse=True)
+                    out.append((int(bucket[take[0]]), batch_id, packed_ids(contexts), packed(runs), packed_ids(every[own]), packed(place.astype(np.uint32)), packed(r[take]), packed(n[take].astype(np.uint16)), train))
                 ids = batch.column(2).slice(x, y - x)
                 known = np.packbits(ids.is_valid().to_numpy(zero_copy_only=False))
                 tokens = np.bincount(row, minlength=y - x).astype(np.int64)
-                out.append((buckets + batch_id % buckets, batch_id, packed(ids.fill_null(0).to_numpy().astype(np.int64)), packed(known), packed(tokens), b"", b"", train))
-                kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
+                out.append((buckets + batch_id % buckets, batch_id, packed(ids.fill_null(0).to_numpy().astype(np.int64)), packed(known), packed(tokens), b"", b"", b"", train))
+                kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 7]
                 yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names=[f.split()[0] for f in DEALT.split(", ")])
                 batch_id += 1
 
@@ -440,8 +460,8 @@ def gathered(table: pa.Table, buckets: int, parts: int, large: np.ndarray) -> pa
     rows = sorted(table.to_pylist(), key=lambda r: r["batch"])
     if number >= buckets:
         return rows_of(GATHERED, [{"what": LISTS, "bucket": number, "batch_id": r["batch"], "a": r["contexts"], "b": r["runs"], "c": r["words"], "d": r["train"]} for r in rows])
-    context = np.concatenate([np.repeat(np.frombuffer(r["contexts"], np.uint64), unpacked(r["runs"], np.uint32)) for r in rows])
-    word = np.concatenate([np.frombuffer(r["words"], np.uint64) for r in rows])
+    context = np.concatenate([np.repeat(unpacked_ids(r["contexts"]), unpacked(r["runs"], np.uint32)) for r in rows])
+    word = np.concatenate([unpacked_ids(r["words"])[unpacked(r["which"], np.uint32)] for r in rows])
     own = [unpacked(r["rows"], np.uint16) for r in rows]
     count = np.concatenate([unpacked(r["counts"], np.uint16) for r in rows])
     train = np.concatenate([np.unpackbits(unpacked(r["train"], np.uint8))[x] for r, x in zip(rows, own)])
@@ -475,7 +495,7 @@ def _asked(number: int, columns: dict[str, np.ndarray], parts: int) -> dict[int,
     """By part, the columns of the ids (the first column, by home) that are at home there."""
     first = next(iter(columns.values()))
     home = homes(first, parts)
-    return {int(home[i]): {c: packed(x[i:j]) for c, x in columns.items()} for i, j in cuts(home)}
+    return {int(home[i]): {c: (packed_ids if x is first else packed)(x[i:j]) for c, x in columns.items()} for i, j in cuts(home)}
 
 
 #: Rows of a bucket's step. STATE: a active dishes, b their tables, c the tables of samples so far. SUMS for part k: a words, b their tables here, d split contexts, e their tables here.
@@ -537,7 +557,7 @@ def _chunks(data: bytes | None, kind: type) -> list[np.ndarray]:
 
 def _summed(rows: list[dict], ids: str, columns: dict[str, type]) -> tuple[np.ndarray, list[np.ndarray]]:
     """Distinct ids of all rows and the sums of columns."""
-    asked = [unpacked(r[ids], np.uint64) for r in rows]
+    asked = [unpacked_ids(r[ids]) for r in rows]
     every, which = np.unique(np.concatenate([np.empty(0, np.uint64), *asked]), return_inverse=True)
     return every, [np.bincount(which, np.concatenate([np.empty(0), *(unpacked(r[c], kind) for r in rows)]), len(every)).astype(np.int64) for c, kind in columns.items()]
 
@@ -561,8 +581,8 @@ def part_step(state: pa.Table, sums: pa.Table, x: float, s: Settings, sweep: int
     customers, eaters = unpacked(row["b"], np.int64).copy(), np.zeros(len(contexts), np.int64)
     asked, theirs = [], []
     for r in sums:  # ids are distinct in a row
-        asked.append(np.searchsorted(words, unpacked(r["a"], np.uint64)))
-        theirs.append(np.searchsorted(contexts, unpacked(r["d"], np.uint64)))
+        asked.append(np.searchsorted(words, unpacked_ids(r["a"])))
+        theirs.append(np.searchsorted(contexts, unpacked_ids(r["d"])))
         customers[asked[-1]] += unpacked(r["b"], np.uint32)
         eaters[theirs[-1]] += unpacked(r["e"], np.uint32)
     tables = word_tables(words, customers, x, s, sweep)
@@ -583,7 +603,7 @@ def last_replies(state: pa.Table, asks: pa.Table) -> pa.Table:
     of_words, of_contexts = _chunks(row["i"], np.uint32), _chunks(row["j"], np.int64)
     out = []
     for r in asks.to_pylist():
-        i, j = np.searchsorted(words, unpacked(r["a"], np.uint64)), np.searchsorted(contexts, unpacked(r["d"], np.uint64))
+        i, j = np.searchsorted(words, unpacked_ids(r["a"])), np.searchsorted(contexts, unpacked_ids(r["d"]))
         out.append({"bucket": r["bucket"], "k": r["k"], "a": b"".join(_chunk(x[i]) for x in of_words), "b": packed(tokens[i].astype(np.uint32)), "c": b"".join(_chunk(x[j]) for x in of_contexts), "d": packed(eaters[j])})
     return rows_of(LAST_REPLY, out)
 
