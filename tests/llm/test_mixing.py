@@ -1,5 +1,5 @@
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from tributary.llm import mixing as M
 
@@ -77,6 +77,26 @@ def test_the_mixture_repeats_documents(spark):
     assert seen == {d: n for d, n in often.items() if n}
 
 
+NAMES = ("start", "rate", "bins", "offset", "s", "level", "bin", "rank", "t_", "k_", "n_", "n", "tie", "row", "copies", "size", "taken", "a", "b", "a.b", "x`y")
+
+
+def test_extra_columns_of_any_name_are_carried(spark):
+    rows = corpus()[:60]
+    plain, df = make(spark, rows), make(spark, rows, NAMES)
+    assert sorted(M.copies(df).select("doc_id", "taken").collect()) == sorted(M.copies(make(spark, rows, [f"other{i}" for i in range(len(NAMES))])).select("doc_id", "taken").collect())
+    assert all(r[c] == "mine" for r in M.copies(df).collect() for c in NAMES if c not in ("copies", "size", "taken"))
+    mixed = M.mix(df)
+    assert mixed.columns == df.columns and all(r[c] == "mine" for r in mixed.collect() for c in NAMES)
+    assert M.mix(plain).columns == plain.columns
+
+
+def test_rows_of_one_id_and_text_that_differ_elsewhere_all_count(spark):
+    rows = [(1, "a b c d", "en", "a"), (1, "a b c d", "de", "b"), (1, "a b c d", "fr", "b"), (1, "a b c d", "fr", "b")]
+    got = Counter(tuple(r) for r in M.mix(make(spark, rows)).select("lang", "source").collect())
+    want = plain_targets({"a": 4, "b": 12})
+    assert abs(4 * got["en", "a"] - want["a"]) < 4 and abs(4 * (got["de", "b"] + got["fr", "b"]) - want["b"]) < 4
+
+
 def test_only_empty_texts(spark):
     got = M.copies(make(spark, [(1, "", "en", "a"), (2, None, "en", "b")])).collect()
     assert [(r["size"], r["taken"]) for r in got] == [(0, 0), (0, 0)]

@@ -29,6 +29,16 @@ def fold_of(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def column(name: str) -> Column:
+    """A column by its very name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """df with its columns named c0, c1 and so on, so that no name matters; toDF with the old names undoes it."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def work_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir. Only where that is unset (tests) is a temporary folder chosen."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)

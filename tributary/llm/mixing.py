@@ -5,21 +5,23 @@ weight. Within a source the expected copies of its documents are summed up in a
 each integer that this sum, plus one random offset of the source, passes in it. Copies are therefore the expectation rounded up or down, and because the order
 goes by size, words taken come near the target as well.
 
-The running sum is two-level, so a source with a third of all rows is not one task: rows are dealt into bins (size class and a hash), counted,
+The running sum is two-level, so a source with a third of all rows is not one task: rows are dealt into bins (size class and, by the class's number of rows, a hash), counted,
 and the sum before each bin is added to the sum within it. All native; only ids and sizes are shuffled. The random offset comes from the
 seed and the source's name, so reruns agree.
 
 Cases: a null text has size 0; a null source is a source, sorted last; sources without words have target 0 and their documents are taken 0 times;
-equal ids are ordered by size and text hash and equal rows are interchangeable; empty tables stay empty; input columns named as outputs are replaced.
+rows are ordered by size and a hash of all their columns, so ties are rows equal in every column, which are interchangeable (each is taken as often as its place says; all of one such row share a bin);
+rows that differ in any column are told apart by that 64-bit hash; a very long text is one document, counted whole; empty tables stay empty; input columns named as outputs of ``copies`` are replaced,
+all others are carried under any name. The sources are ranked in one window of one small row a source.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import documents, words_in
+from .common import column, documents, words_in
 
 #: Weights of the sources in the order of their code points, null last, repeating.
 WEIGHTS = (3, 1, 2)
@@ -50,41 +52,56 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int =
     return stood.select("source", "source_size", target.alias("target"))
 
 
-def copies(df: DataFrame, source: str = "source", text: str = "text", key: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, percent: int = 150, limit: int = 2, seed: int = 4, bin_rows: int = 50_000) -> DataFrame:
-    """df without its text, and ``tie`` (a hash of id and text), size, source_size, target, copies and taken (copies times size)."""
-    added = ["size", "source_size", "target", "copies", "taken", "tie"]
-    rows = df.drop(*added).withColumn("size", words_in(F.col(text))).withColumn("tie", F.xxhash64(F.col(key).cast("string"), text)).drop(text)
-    found = rows.groupBy(F.col(source).alias("source")).agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows"))
-    aims = targets(found.select("source", "source_size"), weights, percent, limit).selectExpr("source AS s", "target")
-    plan = found.join(aims, F.col("source").eqNullSafe(F.col("s"))).select(
-        F.col("source").alias("s"),
+def _row_hash(df: DataFrame) -> Column:
+    """A hash of all columns of a row; maps by their JSON."""
+    parts = [F.to_json(F.struct(column(c))) if "map<" in kind or kind == "variant" else column(c) for c, kind in df.dtypes]
+    marks = [column(c).isNull() for c in df.columns]
+    return F.xxhash64(*parts, *marks)
+
+
+def _dealt(df: DataFrame, carried: list[str], source: str, text: str, weights: tuple[int, ...], percent: int, limit: int, seed: int, bin_rows: int) -> DataFrame:
+    """(row, tie, size, source_size, target, copies): row is a struct of the carried columns, so that none of their names matters here."""
+    rows = df.select(F.struct(*map(column, carried)).alias("row"), column(source).alias("source"), words_in(column(text)).alias("size"), _row_hash(df).alias("tie"))
+    rows = rows.withColumn("level", F.floor(F.log2(F.col("size") + 1) * 4))
+    cells = rows.groupBy("source", "level").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+    found = cells.groupBy("source").agg(F.sum("size").alias("source_size"))
+    aims = targets(found, weights, percent, limit)
+    same = F.col("a.source").eqNullSafe(F.col("b.source"))
+    plan = cells.alias("a").join(aims.alias("b"), same).select(
+        "a.source",
+        "level",
         "source_size",
         "target",
         F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("rate"),
-        F.ceil(F.col("source_rows") / F.lit(bin_rows)).alias("bins"),
-        (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce("source", F.lit("\0"))).cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)).alias("offset"),
+        F.ceil(F.col("n") / F.lit(bin_rows)).alias("bins"),
+        (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce("a.source", F.lit("\0"))).cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)).alias("offset"),
     )
-    level = F.floor(F.log2(F.col("size") + 1) * 4)
-    dealt = rows.join(plan, F.col(source).eqNullSafe(F.col("s"))).withColumn("level", level).withColumn("bin", F.pmod("tie", "bins"))
-    where = ["s", "level", "bin"]
-    before = F.sum("n").over(W.partitionBy("s").orderBy("level", "bin")) - F.col("n")
-    starts = dealt.groupBy(*where).agg(F.count("*").alias("n")).select(F.col("s").alias("s_"), F.col("level").alias("l_"), F.col("bin").alias("b_"), before.alias("start"))
+    dealt = rows.alias("a").join(plan.alias("b"), same & (F.col("a.level") == F.col("b.level"))).select("a.*", "source_size", "target", "rate", "offset", F.pmod("tie", "bins").alias("bin"))
+    where = ["source", "level", "bin"]
+    before = F.sum("n").over(W.partitionBy("source").orderBy("level", "bin")) - F.col("n")
+    starts = dealt.groupBy(*where).agg(F.count("*").alias("n")).select(*where, before.alias("start"))
     ranked = dealt.withColumn("rank", F.row_number().over(W.partitionBy(*where).orderBy("size", "tie")))
-    placed = ranked.join(starts, F.col("s").eqNullSafe(F.col("s_")) & (F.col("level") == F.col("l_")) & (F.col("bin") == F.col("b_")))
+    placed = ranked.alias("a").join(starts.alias("b"), same & (F.col("a.level") == F.col("b.level")) & (F.col("a.bin") == F.col("b.bin"))).select("a.*", "start")
     upto = (F.col("start") + F.col("rank")) * F.col("rate") + F.col("offset")
     upfrom = (F.col("start") + F.col("rank") - 1) * F.col("rate") + F.col("offset")
-    taken = F.least(F.floor(upto) - F.floor(upfrom), F.lit(limit)).cast("bigint")
-    out = placed.withColumn("copies", taken).withColumn("taken", F.col("copies") * F.col("size"))
-    return out.select(*[c for c in df.columns if c != text and c not in added], *added)
-
-
-def mix(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The mixture itself: every document of df as often as it is taken. Equal rows count as one document that has their copies."""
-    often = copies(df, key=key, text=text, **options).groupBy(F.col(key).alias("k_"), F.col("tie").alias("t_")).agg(F.sum("copies").cast("int").alias("n_")).where("n_ > 0")
-    tied = df.withColumn("t_", F.xxhash64(F.col(key).cast("string"), text))
-    one = tied.groupBy(F.col(key).alias("k_"), "t_").agg(F.first(F.struct(*df.columns)).alias("row"))
-    both = one.alias("d").join(often.alias("o"), F.col("d.k_").eqNullSafe(F.col("o.k_")) & (F.col("d.t_") == F.col("o.t_")))
-    return both.select(F.explode(F.array_repeat("d.row", F.col("n_"))).alias("row")).select("row.*")
+    return placed.select("row", "tie", "size", "source_size", "target", F.least(F.floor(upto) - F.floor(upfrom), F.lit(limit)).cast("bigint").alias("copies"))
+
+
+def copies(df: DataFrame, source: str = "source", text: str = "text", weights: tuple[int, ...] = WEIGHTS, percent: int = 150, limit: int = 2, seed: int = 4, bin_rows: int = 10_000) -> DataFrame:
+    """df without its text, and size, source_size, target, copies and taken (copies times size)."""
+    added = ["size", "source_size", "target", "copies", "taken"]
+    carried = [c for c in df.columns if c != text and c not in added]
+    out = _dealt(df, carried, source, text, weights, percent, limit, seed, bin_rows)
+    fields = [F.col("row").getField(c).alias(c) for c in carried]
+    return out.select(*fields, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mix(df: DataFrame, source: str = "source", text: str = "text", weights: tuple[int, ...] = WEIGHTS, percent: int = 150, limit: int = 2, seed: int = 4, bin_rows: int = 10_000) -> DataFrame:
+    """The mixture itself: every row of df as often as it is taken. Rows that are equal in all columns count as one that has their copies."""
+    often = _dealt(df, [], source, text, weights, percent, limit, seed, bin_rows).groupBy("tie").agg(F.sum("copies").cast("int").alias("n")).where("n > 0")
+    one = df.select(_row_hash(df).alias("tie"), F.struct(*map(column, df.columns)).alias("row")).groupBy("tie").agg(F.first("row").alias("row"))
+    both = one.join(often, "tie").select(F.explode(F.array_repeat("row", F.col("n"))).alias("row"))
+    return both.select(*[F.col("row").getField(c).alias(c) for c in df.columns])
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
