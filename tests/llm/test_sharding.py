@@ -1,6 +1,7 @@
 import zlib
 from collections import defaultdict
 
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from tributary.llm import sharding as H
@@ -51,7 +52,28 @@ def test_query_columns(spark, odd, monkeypatch):
     assert {r["law"] for r in got} == {"key"} and all(0 <= r["shard"] < 40 for r in got)
 
 
-def test_empty_and_clash(spark, empty, clash):
+def test_empty_and_clash(spark, empty):
     assert H.shuffle_to_shards(empty, 4).count() == 0
-    out = H.shuffle_to_shards(clash, 4)
-    assert out.columns.count("shard") == 1 and out.count() == clash.count()
+    names = ("start", "bucket", "place", "tie", "record", "key", "f0", "f3", "b", "n", "shard", "slot", "Shard.x", "x`y")
+    df = make(spark, ODD, names)
+    out = H.shuffle_to_shards(df, 4)
+    assert out.columns == [c for c in df.columns if c not in ("shard", "slot")] + ["shard", "slot"] and out.count() == len(ODD)
+    assert all(r[c] == "mine" for r in out.collect() for c in names if c not in ("shard", "slot"))
+
+
+def test_order_does_not_depend_on_arrival_where_only_other_columns_differ(spark):
+    rows = [(1, "same", f"l{i}", f"s{i % 3}") for i in range(60)]
+    key = lambda df: sorted((r["shard"], r["slot"], r["lang"]) for r in H.shuffle_to_shards(df, 2).collect())
+    assert key(make(spark, rows)) == key(make(spark, rows[::-1]).repartition(5))
+
+
+def test_shards_are_written_in_slot_order(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(H, "work_dir", lambda s: str(tmp_path))
+    rows = [(i, prose(i, 20), "en", "a") for i in range(300)]
+    H.shuffle_to_shards(make(spark, rows), 3, bucket_bytes=5_000)
+    folders = sorted(p.name for p in (tmp_path / "shards").glob("shard=*"))
+    assert folders == ["shard=0", "shard=1", "shard=2"]
+    for f in (tmp_path / "shards").glob("shard=*/*.parquet"):
+        table = pq.read_table(f, partitioning=None)
+        by = list(zip(table["bucket"].to_pylist(), table["place"].to_pylist()))
+        assert by == sorted(by)

@@ -4,12 +4,13 @@ Pass one scatters the records by seeded hashes into buckets that fit in memory;
 it. The shard of a record follows from its key and the number of shards alone: the shard whose seeded hash with the key is largest.
 One more shard therefore takes records only into itself. A shard is the run of its buckets, so places in it have no gaps.
 
-A bucket is chosen by key and text, so one key that holds many different records still spreads over its shard's buckets. The number of buckets follows
+A bucket is chosen by key and text, so one key that holds many different records still spreads over its shard's buckets; its records are brought into an order that is theirs alone (a hash of all columns). The number of buckets follows
 from the shard's bytes (``bucket_bytes``); no task holds more than one bucket in Python. Results depend on the records and the seed only, so a
 lost task is redone with the same result.
 
-Cases: a null key has a shard like any other value; a null text has 0 bytes; equal records stand next to each other before the shuffle and
-keep their number; empty tables give empty results; an input column named as an output is replaced.
+Cases: a null key has a shard like any other value; a null text has 0 bytes; ties are records equal in every column, which
+are interchangeable and keep their number (all of one such record are in one bucket); a very long text is one record, moved whole; empty tables give empty results; an input column named ``shard`` or ``slot`` is replaced,
+all others are carried under any name.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import documents, written
+from .common import column, documents, work_dir
+from .mixing import _row_hash
 
 #: What a record weighs besides its text.
 OVERHEAD = 16
@@ -51,28 +53,34 @@ def fisher_yates(n: int, seed: list[int]) -> np.ndarray:
 
 
 def shuffle_to_shards(df: DataFrame, shards: int = 40, key: str = "doc_id", text: str = "text", seed: int = 20, bucket_bytes: int = 12 << 20) -> DataFrame:
-    """All records of df, whole, with ``shard`` and ``slot``, written below the shared folder by bucket and reread."""
+    """All records of df, whole, with ``shard`` and ``slot``: a table below the shared folder with a folder for each shard and a file for each bucket, in slot order, reread."""
     spark = df.sparkSession
-    df = df.drop("shard", "slot", "bucket", "place").withColumn("shard", shard_of(F.col(key), shards, seed))
-    totals = {r["shard"]: r["b"] for r in df.groupBy("shard").agg(F.sum(record_size(F.col(text))).alias("b")).collect()}  # one row a shard
+    names = [c for c in df.columns if c not in ("shard", "slot")]
+    record = F.struct(*[column(c).alias(f"f{i}") for i, c in enumerate(names)])  # under names of our own, so that none clashes
+    rows = df.select(shard_of(column(key), shards, seed).alias("shard"), column(key).cast("string").alias("key"), column(text).alias("text"), _row_hash(df.select(*map(column, names))).alias("tie"), record.alias("record"))
+    totals = {r["shard"]: r["b"] for r in rows.groupBy("shard").agg(F.sum(record_size(F.col("text"))).alias("b")).collect()}  # one row a shard
     pieces = [max(1, -(-totals.get(s, 0) // bucket_bytes)) for s in range(shards)]
     count = F.element_at(F.array(*map(F.lit, pieces)), F.col("shard") + 1)
-    name = F.coalesce(F.col(key).cast("string"), F.lit("\0"))
-    scattered = df.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 1), name, F.col(text)), count.cast("bigint")).cast("int"))
+    place = F.xxhash64(F.lit(seed + 1), F.coalesce("key", F.lit("\0")), "text")
+    scattered = rows.select("shard", F.pmod(place, count.cast("bigint")).cast("int").alias("bucket"), "tie", "record")
     schema = T.StructType([*scattered.schema.fields, T.StructField("place", T.LongType())])
 
     def shuffled(table: pa.Table) -> pa.Table:
         shard, bucket = table["shard"][0].as_py(), table["bucket"][0].as_py()
-        names = pa.compute.fill_null(table[key].cast(pa.string()), "\0")
-        canonical = pa.compute.sort_indices(pa.table({"k": names, "t": table[text]}), sort_keys=[("k", "ascending"), ("t", "ascending")])
-        order = fisher_yates(table.num_rows, [seed, shard, bucket])
-        return table.take(pa.array(canonical.to_numpy()[order])).append_column("place", pa.array(np.arange(table.num_rows), pa.int64()))
-
-    stored = written(scattered.groupBy("shard", "bucket").applyInArrow(shuffled, schema), "shards")
+        canonical = np.argsort(table["tie"].to_numpy(), kind="stable")  # rows with one hash are equal
+        order = canonical[fisher_yates(table.num_rows, [seed, shard, bucket])]
+        return table.take(pa.array(order)).append_column("place", pa.array(np.arange(table.num_rows), pa.int64()))
+
+    done = scattered.groupBy("shard", "bucket").applyInArrow(shuffled, schema)
+    fields = [F.col("record").getField(f"f{i}").alias(f"f{i}") for i in range(len(names))]
+    path = f"{work_dir(spark)}/shards"
+    flat = done.select(*fields, "place", "bucket", "shard").sortWithinPartitions("shard", "bucket", "place")
+    flat.write.option("compression", "zstd").partitionBy("shard").parquet(path)
+    stored = spark.read.schema(flat.schema).parquet(path)
     sizes = stored.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = F.sum("n").over(W.partitionBy("shard").orderBy("bucket")) - F.col("n")
     starts = sizes.select("shard", "bucket", before.alias("start"))
-    return stored.join(starts, ["shard", "bucket"]).withColumn("slot", F.col("start") + F.col("place")).drop("bucket", "place", "start")
+    return stored.join(starts, ["shard", "bucket"]).select(*[F.col(f"f{i}").alias(c) for i, c in enumerate(names)], "shard", (F.col("start") + F.col("place")).alias("slot"))
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
