@@ -55,11 +55,52 @@ def test_ownership_tells_live_from_copied(spark, monkeypatch):
         assert {f"{S.NAMES[k]}:{s}:{e}" for s, k, e in base(t)} <= set(got[d])
 
 
-def test_empty_and_clash(spark, empty, clash, monkeypatch):
+def plain_spans(rows):
+    """All spans of each row of (id, text, lang, owner), by loops."""
+    found = []
+    for d, t, _, owner in rows:
+        text = t or ""
+        for kind, pattern, least, group in ((0, ASSIGN, 6, 2), (1, re.compile("AKIA[A-Z0-9]+"), 20, 0), (2, re.compile("[0-9a-f]{24,}"), 24, 0), (3, re.compile("[A-Za-z0-9+/_-]{32,}"), 32, 0)):
+            found += [(d, owner, kind, m.start(), m.end(), m.start(group), m[group]) for m in pattern.finditer(text) if len(m[group]) >= least]
+    owners, holders = {}, {}
+    for d, owner, *_, value in found:
+        owners.setdefault(value, set()).add(owner)
+        holders.setdefault(value, set()).add(d)
+    out = {d: set() for d, *_ in rows}
+    for d, _, kind, start, end, begin, value in found:
+        if kind < 3:
+            out[d].add((start, kind, end))
+        good = len(value) >= 12 and len(set(value)) >= 8 and re.search("[0-9]", value) and re.search("[A-Za-z]", value) and not re.search(S.EXAMPLES, value)
+        if good and len(owners[value]) <= S.MAX_OWNERS and len(holders[value]) <= S.MAX_REPOSITORIES:
+            out[d].add((begin, S.LIVE, end))
+    return {d: ",".join(f"{S.NAMES[k]}:{s}:{e}" for s, k, e in sorted(v)) for d, v in out.items()}
+
+
+def test_spans_equal_brute_force(spark, monkeypatch):
+    assert {r["doc_id"]: r["spans"] for r in run(spark, make(spark, CASES), monkeypatch)} == plain_spans(CASES)
+
+
+def test_what_many_repositories_hold_is_copied(spark, monkeypatch):
+    rows = [(i, "key AKIA" + "A1B2C3D4E5F6G7H8", "en", "own") for i in range(50)] + [(100 + i, f"{LIVE}", "en", "own") for i in range(S.MAX_REPOSITORIES)]
+    got = {r["doc_id"]: r for r in run(spark, make(spark, rows), monkeypatch)}
+    assert all("live" not in got[i]["spans"] and got[i]["most_repositories"] == 50 and got[i]["most_owners"] == 1 for i in range(50))
+    assert all("live" in got[100 + i]["spans"] and got[100 + i]["most_repositories"] == S.MAX_REPOSITORIES for i in range(S.MAX_REPOSITORIES))
+
+
+def test_no_table_holds_a_secret(spark):
+    found = S.candidates(make(spark, CASES))
+    assert "9fK2mQ7xLp0ZrT4v" not in repr(found.collect()) and {len(r["value"]) for r in found.collect()} == {64}
+
+
+def test_empty_clash_and_repeated_rows(spark, empty, monkeypatch):
     assert run(spark, empty, monkeypatch) == []
-    assert run(spark, clash.drop("key"), monkeypatch)
+    names = ("key", "x", "kind", "value", "owner", "repository", "rows", "random", "n", "before", "text_hash", "x`y")
+    got = run(spark, make(spark, ODD + CASES[:1] * 3, names), monkeypatch)
+    assert sorted((r["doc_id"] for r in got), key=repr) == sorted([r[0] for r in ODD] + [1] * 3, key=repr)
 
 
 def test_equals_brute_force_on_the_table(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     assert {(r["doc_id"], r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) for r in S.op7_secret_scan(spark, sf).collect()} == expected(rows)
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source").collect()]
+    assert {r["doc_id"]: r["spans"] for r in S.op7_secret_scan(spark, sf).collect()} == plain_spans(rows)
