@@ -1,7 +1,9 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pytest
 
 from tributary.llm import decontamination as D
 
@@ -52,7 +54,7 @@ def test_exact_and_edited_items_are_found(spark):
     for d, t, *_ in rows:
         for i, text in items:
             it = folded(text)
-            if distance(it, folded(t)) <= min(int(len(it) * D.RATE), (len(it) - D.Q) // D.Q):
+            if distance(it, folded(t)) <= int(len(it) * D.RATE):
                 want.add((d, i))
     got = D.find(make(spark, rows), spark.createDataFrame(items, ITEM)).collect()
     assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(want) >= 18
@@ -70,6 +72,52 @@ def test_blocks_of_the_benchmark_change_nothing(spark):
     assert D.clean(make(spark, rows), bench, block_bytes=700).count() == 0
 
 
+def brute(rows, items):
+    return {(d, i) for d, t, *_ in rows for i, text in items if distance(folded(text), folded(t)) <= int(len(folded(text)) * D.RATE)}
+
+
+def test_short_items_have_their_whole_budget(spark):
+    r = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    items = [(n, "".join(r.choice(letters) for _ in range(n))) for n in range(10, 44)]
+    rows = [(i * 10 + k, "".join(r.choice(letters) for _ in range(30)) + edit(text, k, 100 * i + k) + "".join(r.choice(letters) for _ in range(20)), "en", "a") for i, text in items for k in range(4)]
+    got = {(x["doc_id"], x["item_id"]) for x in D.find(make(spark, rows), spark.createDataFrame(items, ITEM)).collect()}
+    assert got == brute(rows, items) and (201, 20) in got and (231, 23) in got
+
+
+def test_items_with_one_wording_in_common(spark, monkeypatch):
+    """Every text shares most of every item; few hold one."""
+    monkeypatch.setattr(D, "AT_ONCE", 20_000)
+    monkeypatch.setattr(D, "ALIGNED", 300)
+    wording = "what is the answer to the following question about the history of the town on the river called "
+    items = [(i, wording + prose(i, 3)) for i in range(40)]
+    rows = [(i, prose(i, 4) + " " + wording + prose(i if i % 3 == 0 else 5000 + i, 3) + " " + prose(i + 9, 5), "en", "a") for i in range(60)]
+    rows.append((900, " ".join(text for _, text in items[:12]), "en", "a"))
+    rows.append((901, wording * 30, "en", "a"))
+    got = {(x["doc_id"], x["item_id"]) for x in D.find(make(spark, rows), spark.createDataFrame(items, ITEM)).collect()}
+    assert got == brute(rows, items) and len(got) > 20
+
+
+def test_many_items_and_texts_of_one_wording_in_bounded_memory():
+    wording = "what is the answer to the following question about the history of the town on the river called "
+    index = D.index([(i, wording + prose(i, 4)) for i in range(400)])
+    texts = [(prose(10_000 + i, 6) + " " + wording + prose(i if i % 50 == 0 else 20_000 + i, 4)).encode() for i in range(400)]
+    raw = np.frombuffer(b"".join(texts), np.uint8)
+    low, at = D.fold(raw, np.cumsum([0, *map(len, texts)]))
+    tracemalloc.start()
+    got = {(r, i) for r, i, *_ in D.matches(low, at, index)}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {(i, i) for i in range(0, 400, 50)} <= got and peak < 600e6
+    some = random.Random(1).sample([(r, i) for r in range(400) for i in range(400)], 150)
+    assert all(((r, i) in got) == (distance(index.texts[i].decode(), low[at[r] : at[r + 1]].tobytes().decode()) <= index.budgets[i]) for r, i in some)
+
+
+def test_a_q_beyond_the_bound_is_refused():
+    with pytest.raises(ValueError):
+        D.index([(1, "x" * 20)], q=12)
+
+
 def test_odd_rows_and_items(spark, odd, empty):
     items = [(1, None), (2, ""), (3, "ein"), (4, prose(10, 120)), (None, prose(6, 40)), (5, "...")]
     bench = spark.createDataFrame(items, ITEM)
