@@ -5,8 +5,11 @@ of any container of this family, decodes the sample tables (sizes, chunks, times
 range of every key frame. ``probe`` never touches the payload itself: all it reads are box headers and tables. Both run in
 Arrow batches on the executors, without a shuffle, so memory is bounded by one batch and any row can be redone alone.
 
+``probe`` knows plain and fragmented files (moof, traf, trun), compact sizes (stz2), and any number of tracks, of which it reports the first and their number. Boxes are walked with a stack of
+bounded depth, and every table is checked against its box and the file before it is read, so what a row takes in memory is bounded by its own length.
+
 Cases: a null value is the empty payload in ``encode`` (one frame of zeros); a null, truncated or foreign value gives a row with
-``error`` set and null features in ``probe``. Repeated rows give repeated equal results. Empty tables stay empty. Columns of the
+``error`` set and null features in ``probe``, whatever is wrong with it; a very long value is one container, of 64-bit boxes where needed; there are no ties. Repeated rows give repeated equal results. Empty tables stay empty. Columns of the
 input that have an output's name are replaced.
 """
 
@@ -23,7 +26,8 @@ from pyspark.sql import types as T
 from .common import documents
 
 FRAME, KEY_EVERY, FRAMES_PER_CHUNK, RATE = 64, 16, 64, 8000
-CONTAINERS = (b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta")
+CONTAINERS = (b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex", b"moof", b"traf")
+DEPTH = 16
 RANGE = T.StructType([T.StructField("offset", T.LongType()), T.StructField("length", T.LongType())])
 PROBED = T.StructType(
     [
@@ -34,6 +38,7 @@ PROBED = T.StructType(
         T.StructField("n_keyframes", T.LongType()),
         T.StructField("keyframes", T.ArrayType(RANGE)),
         T.StructField("chunks", T.ArrayType(RANGE)),
+        T.StructField("n_tracks", T.LongType()),
         T.StructField("error", T.StringType()),
     ]
 )
@@ -98,10 +103,13 @@ def container(data: bytes) -> bytes:
     return head + moov + _box(b"mdat", payload)
 
 
-def boxes(data: memoryview, at: int = 0, end: int | None = None) -> Iterator[tuple[bytes, int, int]]:
-    """(kind, body start, body end) of every box, containers before what they hold. Raises ValueError where a box leaves its parent."""
-    end = len(data) if end is None else end
-    while at < end:
+def boxes(data: memoryview) -> Iterator[tuple[bytes, int, int, int]]:
+    """(kind, box start, body start, body end) of every box, containers before what they hold. Raises ValueError where a box leaves its parent or is nested too deep."""
+    stack = [(0, len(data))]
+    while stack:
+        at, end = stack.pop()
+        if at >= end:
+            continue
         if end - at < 8:
             raise ValueError("truncated box header")
         size, kind = struct.unpack_from(">I4s", data, at)
@@ -114,40 +122,140 @@ def boxes(data: memoryview, at: int = 0, end: int | None = None) -> Iterator[tup
         stop = end if size == 0 else at + size
         if stop < body or stop > end:
             raise ValueError(f"box {kind!r} leaves its parent")
-        yield kind, body, stop
+        yield kind, at, body, stop
+        stack.append((stop, end))
         if kind in CONTAINERS:
-            yield from boxes(data, body, stop)
-        at = stop
+            if len(stack) > DEPTH:
+                raise ValueError("boxes nested too deep")
+            stack.append((body, stop))
+
+
+def _numbers(view: memoryview, at: int, end: int, count: int, kind: str) -> tuple:
+    """count numbers of a table that must fit in its box."""
+    if count * struct.calcsize(kind) > end - at:
+        raise ValueError("table leaves its box")
+    return struct.unpack_from(f">{count}{kind}", view, at)
+
+
+def _listed(view: memoryview, a: int, b: int, kind: str) -> tuple:
+    """The numbers of a table that begins with their count."""
+    (n,) = struct.unpack_from(">I", view, a + 4)
+    return _numbers(view, a + 8, b, n, kind)
+
+
+def _sizes(view: memoryview, a: int, b: int, compact: bool) -> tuple[int | tuple, int]:
+    """(one size or all of them, how many) of stsz or stz2."""
+    size, n = struct.unpack_from(">II", view, a + 4)
+    if not compact:
+        if size and size * n > len(view):
+            raise ValueError("samples beyond the end")
+        return (size, n) if size else (_numbers(view, a + 12, b, n, "I"), n)
+    bits = size & 0xFF
+    if bits == 4:
+        pairs = _numbers(view, a + 12, b, -(-n // 2), "B")
+        return tuple(x for p in pairs for x in (p >> 4, p & 15))[:n], n
+    if bits not in (8, 16):
+        raise ValueError("unknown width of sizes")
+    return _numbers(view, a + 12, b, n, "B" if bits == 8 else "H"), n
+
+
+def _run(view: memoryview, a: int, b: int, traf: dict, defaults: tuple[int, int, int]) -> dict:
+    """A run of fragment samples: byte range, sizes, durations' sum and which samples are key frames. defaults: duration, size, flags."""
+    flags, n = struct.unpack_from(">II", view, a)
+    flags &= 0xFFFFFF
+    at = a + 8
+    offset = first = None
+    if flags & 1:
+        (offset,) = struct.unpack_from(">i", view, at)
+        at += 4
+    if flags & 4:
+        (first,) = struct.unpack_from(">I", view, at)
+        at += 4
+    fields = [bool(flags & bit) for bit in (0x100, 0x200, 0x400, 0x800)]
+    if sum(fields):
+        rows = _numbers(view, at, b, n * sum(fields), "I")
+    else:
+        rows = ()
+        if n * max(1, defaults[1]) > len(view):
+            raise ValueError("samples beyond the end")
+    column = lambda i: rows[sum(fields[:i]) :: sum(fields)] if fields[i] else None
+    durations, sizes, marks = column(0), column(1), column(2)
+    sizes = sizes or (defaults[1],) * n
+    marks = list(marks or (defaults[2],) * n)
+    if first is not None and n and not fields[2]:
+        marks[0] = first
+    begin = traf["base"] + offset if offset is not None else traf["next"]
+    total = sum(sizes)
+    if begin < 0 or begin + total > len(view):
+        raise ValueError("chunk beyond the end")
+    traf["next"] = begin + total
+    keys, place = [], begin
+    for size, mark in zip(sizes, marks):
+        if not mark & 0x10000:
+            keys.append((place, size))
+        place += size
+    return {"range": (begin, total), "n": n, "keys": keys, "duration": sum(durations) if durations else n * defaults[0]}
 
 
 def tracks(data: bytes) -> list[dict]:
-    """Decoded sample tables of each track."""
+    """Decoded sample tables of each track, and the runs of its fragments."""
     view, found = memoryview(data), []
-    for kind, a, b in boxes(view):
+    defaults: dict[int, tuple[int, int, int]] = {}
+    moof = traf = None
+    for kind, start, a, b in boxes(view):
+        now = found[-1] if found else None
         if kind == b"trak":
-            found.append({})
-        elif found and kind == b"mdhd":
-            version = view[a]
-            found[-1]["time"] = struct.unpack_from(">IQ" if version else ">II", view, a + (20 if version else 12))
-        elif found and kind == b"stsd":
-            found[-1]["codec"] = bytes(view[a + 12 : a + 16]).decode("latin-1")
-        elif found and kind == b"stsz":
-            size, n = struct.unpack_from(">II", view, a + 4)
-            found[-1]["sizes"] = (size, n) if size else (struct.unpack_from(f">{n}I", view, a + 12), n)
-        elif found and kind in (b"stco", b"co64"):
-            (n,) = struct.unpack_from(">I", view, a + 4)
-            found[-1]["chunks"] = struct.unpack_from(f">{n}{'I' if kind == b'stco' else 'Q'}", view, a + 8)
-        elif found and kind == b"stsc":
+            found.append({"fragments": []})
+        elif kind == b"trex":
+            who, _, *rest = struct.unpack_from(">5I", view, a + 4)
+            defaults[who] = tuple(rest)
+        elif kind == b"moof":
+            moof = start
+        elif kind == b"traf":
+            traf = {"base": moof if moof is not None else start, "next": moof if moof is not None else start, "track": None}
+        elif kind == b"tfhd" and traf is not None:
+            flags, who = struct.unpack_from(">II", view, a)
+            at = a + 8
+            own = list(defaults.get(who, (0, 0, 0)))
+            if flags & 1:
+                (traf["base"],) = struct.unpack_from(">Q", view, at)
+                traf["next"] = traf["base"]
+                at += 8
+            at += 4 * bool(flags & 2)
+            for i, bit in enumerate((8, 16, 32)):
+                if flags & bit:
+                    (own[i],) = struct.unpack_from(">I", view, at)
+                    at += 4
+            traf |= {"track": next((t for t in found if t.get("id") == who), None), "defaults": tuple(own)}
+        elif kind == b"trun" and traf is not None and traf["track"] is not None:
+            traf["track"]["fragments"].append(_run(view, a, b, traf, traf["defaults"]))
+        elif now is None:
+            continue
+        elif kind == b"tkhd":
+            (now["id"],) = struct.unpack_from(">I", view, a + (20 if view[a] else 12))
+        elif kind == b"mdhd":
+            now["time"] = struct.unpack_from(">IQ" if view[a] else ">II", view, a + (20 if view[a] else 12))
+        elif kind == b"stsd":
+            now["codec"] = bytes(view[a + 12 : a + 16]).decode("latin-1")
+        elif kind in (b"stsz", b"stz2"):
+            now["sizes"] = _sizes(view, a, b, kind == b"stz2")
+        elif kind in (b"stco", b"co64"):
+            now["chunks"] = _listed(view, a, b, "I" if kind == b"stco" else "Q")
+        elif kind == b"stsc":
             (n,) = struct.unpack_from(">I", view, a + 4)
-            found[-1]["runs"] = [struct.unpack_from(">III", view, a + 8 + 12 * i) for i in range(n)]
-        elif found and kind == b"stss":
+            flat = _numbers(view, a + 8, b, 3 * n, "I")
+            now["runs"] = [flat[i : i + 3] for i in range(0, 3 * n, 3)]
+        elif kind == b"stts":
             (n,) = struct.unpack_from(">I", view, a + 4)
-            found[-1]["sync"] = struct.unpack_from(f">{n}I", view, a + 8)
+            flat = _numbers(view, a + 8, b, 2 * n, "I")
+            now["ticks"] = sum(flat[i] * flat[i + 1] for i in range(0, 2 * n, 2))
+        elif kind == b"stss":
+            now["sync"] = _listed(view, a, b, "I")
     return found
 
 
-def layout(track: dict) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Byte ranges of the chunks and of the key frames of a track."""
+def layout(track: dict, end: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]], int]:
+    """Byte ranges of the chunks and of the key frames of a track in a file of end bytes, and its number of samples."""
     sizes, n = track["sizes"]
     chunks, runs = track["chunks"], track["runs"]
     wanted = iter(track["sync"] if "sync" in track else range(1, n + 1))
@@ -155,23 +263,33 @@ def layout(track: dict) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     ranges, keys, sample = [], [], 0
     for r, (first, per, _) in enumerate(runs):
         until = runs[r + 1][0] - 1 if r + 1 < len(runs) else len(chunks)
+        if first < 1 or until > len(chunks) or until < first - 1:
+            raise ValueError("runs of chunks out of order")
         for c in range(first - 1, until):
             at, count = chunks[c], min(per, n - sample)
+            total = sizes * count if isinstance(sizes, int) else sum(sizes[sample : sample + count])
+            if at + total > end:
+                raise ValueError("chunk beyond the end")
             if isinstance(sizes, int):
-                total = sizes * count
                 while key is not None and key <= sample + count:
                     keys.append((at + sizes * (key - 1 - sample), sizes))
                     key = next(wanted, None)
             else:
-                total = 0
+                place = at
                 for s in range(sample, sample + count):
                     if key == s + 1:
-                        keys.append((at + total, sizes[s]))
+                        keys.append((place, sizes[s]))
                         key = next(wanted, None)
-                    total += sizes[s]
+                    place += sizes[s]
             ranges.append((at, total))
             sample += count
-    return ranges, keys
+    if sample < n:
+        raise ValueError("samples outside all chunks")
+    for run in track["fragments"]:
+        ranges.append(run["range"])
+        keys += run["keys"]
+        n += run["n"]
+    return ranges, keys, n
 
 
 def payload_of(data: bytes, ranges: list[tuple[int, int]]) -> bytes:
@@ -205,22 +323,24 @@ def probe(df: DataFrame, column: str = "media") -> DataFrame:
 
     def one(data: bytes | None) -> tuple:
         if data is None:
-            return (None,) * 7 + ("null",)
+            return (None,) * 8 + ("null",)
         try:
             found = tracks(data)
             if not found:
                 raise ValueError("no track")
             track = found[0]
-            chunks, keys = layout(track)
-            if any(a + n > len(data) for a, n in chunks):
-                raise ValueError("chunk beyond the end")
+            chunks, keys, samples = layout(track, len(data))
+            scale, duration = track["time"]
+            duration = duration or track.get("ticks", 0) + sum(r["duration"] for r in track["fragments"])
+            if duration >= 1 << 63:
+                raise ValueError("duration out of range")
             pairs = [[{"offset": a, "length": n} for a, n in x] for x in (keys, chunks)]
-            return (track["codec"], track["time"][0], track["time"][1], track["sizes"][1], len(keys), *pairs, None)
-        except (ValueError, KeyError, IndexError, struct.error) as e:
-            return (None,) * 7 + (f"{type(e).__name__}: {e}",)
+            return (track["codec"], scale, duration, samples, len(keys), *pairs, len(found), None)
+        except (ValueError, KeyError, IndexError, OverflowError, struct.error) as e:
+            return (None,) * 8 + (f"{type(e).__name__}: {e}",)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), kind, kind, pa.string()]
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), kind, kind, pa.int64(), pa.string()]
         for batch in batches:
             rows = [one(v.as_py()) for v in batch.column(batch.schema.get_field_index(column))]
             made = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
@@ -249,5 +369,5 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], k) for i, k in enumerate(kinds)], names=names)
 
     docs = documents(spark, sf_dir, "doc_id", "text").selectExpr("doc_id", "coalesce(octet_length(text), 0L) AS n_bytes", "text")
-    stored = probe(encode(docs).drop("text")).drop("error")
+    stored = probe(encode(docs).drop("text")).drop("n_tracks", "error")
     return stored.mapInArrow(digest, schema)
