@@ -9,8 +9,8 @@ of hashed byte trigrams: ``1 << BITS`` numbers a language at most, which is what
 text once in Arrow batches without a shuffle.
 
 Cases: a text that is null or has no letter is ``und`` with score 0; a text whose scripts no learned language uses gets the best language at a low score;
-rows without a label are not learned from; with no labelled row at all everything is ``und``; ties go to the first language by name; repeated rows and
-extra columns are kept, columns named as an output are replaced; empty tables stay empty.
+rows without a label are not learned from; with no labelled row at all everything is ``und``; ties go to the first language by name; a very long text is read whole, alone;
+repeated rows and extra columns are kept, columns named as an output are replaced; empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -25,9 +25,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import arrow_bytes, documents, fold_of
+from .common import arrow_bytes, documents, fold_of, numbered, row_ranges
 
 BITS = 15
+LEVELS = 16
 SWITCH = 12.0
 FOREIGN = -60.0
 #: Classes of lead bytes of UTF-8 letters: first byte, last byte, script.
@@ -52,7 +53,34 @@ for _a, _b, _name in SCRIPTS:
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LOWER[[9, 10, 11, 12, 13]] = 32
-_LOWER[33:65], _LOWER[91:97], _LOWER[123:128] = 32, 32, 32  # digits and punctuation separate words
+_LOWER[:32], _LOWER[33:65], _LOWER[91:97], _LOWER[123:128] = 32, 32, 32, 32  # control characters, digits and punctuation separate words
+#: Characters beyond ASCII that separate words: first and last code point.
+SEPARATORS = (
+    (0x80, 0xA9), (0xAB, 0xB4), (0xB6, 0xB9), (0xBB, 0xBF), (0xD7, 0xD7), (0xF7, 0xF7), (0x2000, 0x206F), (0x20A0, 0x20BF), (0x21C0, 0x23FF), (0x2500, 0x2BFF),
+    (0x3000, 0x3004), (0x3008, 0x3020), (0xFF01, 0xFF0F), (0xFF1A, 0xFF20), (0x1F000, 0x1FFFF),
+)
+_LEADS = np.zeros(256, np.uint8)  # bytes of a character that may be a separator, by its first byte
+for _a, _b in SEPARATORS:
+    for _c in range(_a, _b + 1, 64):
+        _LEADS[chr(_c).encode()[0]] = len(chr(_c).encode())
+    _LEADS[chr(_b).encode()[0]] = len(chr(_b).encode())
+_BOUNDS = np.array([x for a, b in SEPARATORS for x in (a, b + 1)])
+
+
+def lowered(raw: np.ndarray) -> np.ndarray:
+    """Bytes with ASCII letters in lower case and every byte of a separator as a space."""
+    low = _LOWER[raw]
+    maybe = np.flatnonzero(_LEADS[raw])
+    for size in (2, 3, 4):
+        at = maybe[_LEADS[raw[maybe]] == size]
+        at = at[at + size <= len(raw)]
+        code = (raw[at] & (0x7F >> size)).astype(np.int64)
+        for i in range(1, size):
+            code = (code << 6) | (raw[at + i] & 0x3F)
+        at = at[np.searchsorted(_BOUNDS, code, "right") % 2 == 1]
+        for i in range(size):
+            low[at + i] = 32
+    return low
 
 
 @dataclass
@@ -75,7 +103,9 @@ def fit(train: DataFrame, label: str = "lang", text: str = "text", key: str = "d
     """Learns from at most per_language rows of each label."""
     rows = train.select(F.col(label).cast("string").alias("label"), F.col(text).alias("text"), F.xxhash64(F.col(key).cast("string")).alias("id_hash")).where("label IS NOT NULL AND text IS NOT NULL")
     # ids are chosen without their texts, so that only the sample's texts move; a repeated id could bring more rows, hence the second limit
-    chosen = rows.select("label", "id_hash").withColumn("n", F.row_number().over(W.partitionBy("label").orderBy("id_hash"))).where(F.col("n") <= per_language)
+    # in two levels, so that one label's rows are dealt to LEVELS tasks and the last one gets at most LEVELS times per_language
+    least = lambda df, *by: df.withColumn("n", F.row_number().over(W.partitionBy(*by).orderBy("id_hash"))).where(F.col("n") <= per_language).drop("n")
+    chosen = least(least(rows.select("label", "id_hash", F.pmod("id_hash", F.lit(LEVELS)).alias("level")), "label", "level"), "label")
     texts = rows.join(F.broadcast(chosen.select("label", "id_hash").distinct()), ["label", "id_hash"])  # at most per_language rows a label
     again = W.partitionBy("label").orderBy("id_hash", F.xxhash64("text"))
     sample = texts.withColumn("n", F.row_number().over(again)).where(F.col("n") <= per_language).select("label", "text")
@@ -83,7 +113,7 @@ def fit(train: DataFrame, label: str = "lang", text: str = "text", key: str = "d
     def count(table: pa.Table) -> pa.Table:
         sums, scripts = np.zeros(1 << BITS, np.int64), np.zeros(len(SCRIPT_NAMES), np.int64)
         for value in table["text"]:
-            raw = _LOWER[np.frombuffer(b" " + value.as_py().encode() + b" ", np.uint8)]
+            raw = lowered(np.frombuffer(b" " + value.as_py().encode() + b" ", np.uint8))
             codes = _trigrams(raw)[raw > 32]
             sums += np.bincount(codes, minlength=1 << BITS)
             found = _CLASS[raw]
@@ -101,7 +131,7 @@ def fit(train: DataFrame, label: str = "lang", text: str = "text", key: str = "d
 def word_scores(model: Model, raw: np.ndarray, offsets: np.ndarray, chunk: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Scores (words, languages), letters of each word, and the n + 1 offsets of the rows' words. A word is a run of letters."""
     width = len(model.languages)
-    low = _LOWER[raw]
+    low = lowered(raw)
     letter = low != 32
     first = letter.copy()
     first[1:] &= ~letter[:-1]
@@ -184,9 +214,8 @@ def identify(df: DataFrame, model: Model, text: str = "text", switch: float = SW
     span = pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int64()), ("last_word", pa.int64())]))
     width = len(model.languages)
 
-    def predict(column) -> list[pa.Array]:
-        raw, offsets = arrow_bytes(column)
-        rows = len(column)
+    def labelled(raw: np.ndarray, offsets: np.ndarray) -> tuple[list, np.ndarray, list]:
+        rows = len(offsets) - 1
         lang, score, spans = ["und"] * rows, np.zeros(rows), [[] for _ in range(rows)]
         if width and len(raw):
             scores, letters, at = word_scores(model, raw, offsets)
@@ -208,7 +237,13 @@ def identify(df: DataFrame, model: Model, text: str = "text", switch: float = SW
                     lang[r], score[r] = model.languages[best], min(1.0, weight[r, best] / total[r])
                 else:
                     spans[r] = []
-        return [pa.array(lang, pa.string()), pa.array(score), pa.array([len(s) for s in spans], pa.int64()), pa.array(spans, span)]
+        return lang, score, spans
+
+    def predict(texts) -> list[pa.Array]:
+        raw, offsets = arrow_bytes(texts)
+        parts = [labelled(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in row_ranges(offsets)]  # some rows at a time
+        spans = [s for p in parts for s in p[2]]
+        return [pa.array([x for p in parts for x in p[0]], pa.string()), pa.array(np.concatenate([np.empty(0), *(p[1] for p in parts)])), pa.array([len(s) for s in spans], pa.int64()), pa.array(spans, span)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,4 +269,6 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_identified(spark: SparkSession, docs: DataFrame, least: float = 0.3) -> DataFrame:
     """docs without those whose language can't be told: no letters, or no language that labels a share of least."""
     model = learned(docs)
-    return identify(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*docs.columns)
+    carried = numbered(docs)
+    kept = identify(carried, model, text=f"c{docs.columns.index('text')}").where((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    return kept.select(*carried.columns).toDF(*docs.columns)
