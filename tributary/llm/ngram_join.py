@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_bytes, documents, mix64, row_ranges, word_hashes, work_dir, written
+from .common import arrow_bytes, documents, mix64, numbered, row_ranges, word_hashes, work_dir, written
 from .components import components
 
 K = 5
@@ -322,13 +322,15 @@ def tree_join(sets: list[np.ndarray], split: int | None = None) -> np.ndarray:
 
 def block_links(sets: DataFrame, blocks: DataFrame, block_tokens: int) -> DataFrame:
     """(a, b): classes and the least class of their component, as far as one task sees it."""
+    tokens = sets.agg(F.sum(F.col("n") + F.lit(200))).first()[0] or 0
+    tasks = max(256, -(-2 * tokens // block_tokens))  # small blocks share a task, half a large block's tokens in each
     sized = sets.select("c", "n").join(blocks.selectExpr("node AS c", "root AS block"), "c")
     chunks = sized.groupBy("block").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.col("n") + F.lit(200)) / F.lit(block_tokens))).cast("int").alias("chunks"))
     homes = blocks.selectExpr("node AS c", "root AS block").join(chunks, "block")  # without the sets, which move once to meet it
     rows = sets.join(homes.hint("merge"), "c").withColumn("chunk", F.pmod(F.xxhash64("c", "d"), F.col("chunks")).cast("int"))
     # a chunk meets each other chunk once; a block of one chunk meets itself
     pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda i: F.struct(F.least("chunk", i).alias("i"), F.greatest("chunk", i).alias("j")))
-    many = rows.withColumn("pair", F.explode(pairs)).withColumn("task", F.when(F.col("chunks") == 1, F.pmod("block", F.lit(1 << 12))).otherwise(F.xxhash64("block", "pair.i", "pair.j")))
+    many = rows.withColumn("pair", F.explode(pairs)).withColumn("task", F.when(F.col("chunks") == 1, F.pmod("block", F.lit(tasks))).otherwise(F.xxhash64("block", "pair.i", "pair.j")))
 
     def solve(table: pa.Table) -> pa.Table:
         frame = table.to_pandas().sort_values(["block", "i", "j", "chunk", "c"], kind="stable")
@@ -346,8 +348,8 @@ def block_links(sets: DataFrame, blocks: DataFrame, block_tokens: int) -> DataFr
         got = got[got[:, 0] != got[:, 1]]
         return pa.table({"a": pa.array(got[:, 0], pa.int64()), "b": pa.array(got[:, 1], pa.int64())})
 
-    tasks = many.select("task", "block", "pair.i", "pair.j", "chunk", "c", "tokens")
-    return tasks.groupBy("task").applyInArrow(solve, "a long, b long")
+    dealt_out = many.select("task", "block", "pair.i", "pair.j", "chunk", "c", "tokens")
+    return dealt_out.groupBy("task").applyInArrow(solve, "a long, b long")
 
 
 def join_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", bucket_bytes: int = 8 << 20, block_tokens: int = 3_000_000) -> DataFrame:
@@ -393,8 +395,11 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs with one row of each component: that with the least id (an id before none), of several texts with that id the one with the least digest. Texts without words are not copies of others."""
-    rows = _grouped(docs)
+    names, carried = docs.columns, numbered(docs)
+    key, text = (f"c{names.index(c)}" for c in ("doc_id", "text"))
+    rows = _grouped(docs.select("doc_id", "text"))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("best")
     kept = rows.where("n > 0").groupBy("root").agg(best).select("best.doc_id", "best.digest")
     kept = kept.unionByName(rows.where("n = 0").select("doc_id", "digest")).distinct().selectExpr("doc_id AS kept_id", "digest AS kept_digest")
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (_digest("text") == F.col("kept_digest")), "left_semi").dropDuplicates(["doc_id", "text"])
+    found = carried.join(kept, F.col(key).eqNullSafe(F.col("kept_id")) & (_digest(text) == F.col("kept_digest")), "left_semi").dropDuplicates([key, text])
+    return found.toDF(*names)
