@@ -2,7 +2,10 @@
 
 Order: language ID (documents without a language go), n-gram Jaccard join (one document of each group stays), benchmark decontamination
 (documents that hold a benchmark item go), mixing to target weights (a document comes as often as it is taken), sharding (adds shard and slot).
-Every stage but the last returns the columns of documents. Empty inputs pass through all stages.
+Every stage but the last returns the columns of documents, whatever further columns there are and whatever their names; sharding replaces columns named shard and slot.
+
+Cases: documents with a null or empty text, or one without letters, go in the first stage (no language); null ids and sources are values; equal and near equal texts leave one row, that with the least id (an id before none; of several texts
+with that id the one with the least digest), so repeated rows and ties have one outcome; a very long text is one document in every stage; empty inputs pass through all stages.
 """
 
 from __future__ import annotations
