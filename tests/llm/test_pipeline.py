@@ -3,7 +3,7 @@
 from collections import Counter
 
 import corpus_pipeline
-from tributary.llm import language, mixing, sharding
+from tributary.llm import mixing
 from tributary.llm.common import written
 
 from .conftest import ODD, make, prose
@@ -33,8 +33,19 @@ def test_stages_take_effect(spark, sf):
     assert set(last.columns) == {*docs.columns, "shard", "slot"}
 
 
-def test_stages_hold_what_the_task_names():
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "ngram_jaccard_join", "benchmark_decontamination", "mixing", "sharding"]
+NAMES = ("start", "rate", "bins", "offset", "s", "level", "bin", "rank", "tie", "row", "bucket", "place", "record", "key", "kept_id", "kept_digest", "digest", "id", "root", "score", "spans", "lang_pred", "label", "size", "copies", "taken", "c", "d", "n", "x`y", "a.b")
+
+
+def test_extra_columns_of_any_name_come_through_all_stages(spark, sf):
+    rows = [(i, prose(i, 60), "en", f"s{i % 2}") for i in range(40)] + [(100, prose(3, 60) + " more", "en", "s0"), (101, None, None, None)]
+    df = make(spark, rows, NAMES)
+    plain = make(spark, rows)
+    for name, stage in corpus_pipeline.STAGES:
+        df, plain = written(stage(spark, df, sf), name), written(stage(spark, plain, sf), name)
+        assert [c for c in df.columns if c not in NAMES] == plain.columns
+        if name in ("language_id", "ngram_jaccard_join", "benchmark_decontamination"):
+            assert sorted(r["doc_id"] for r in df.collect()) == sorted(r["doc_id"] for r in plain.collect())
+        assert all(r[c] == "mine" for r in df.collect() for c in NAMES)
 
 
 def test_odd_and_empty_tables(spark, empty, odd, sf):
@@ -50,4 +61,3 @@ def test_clean_documents_stay(spark, sf):
     for stage in (corpus_pipeline.language_id, corpus_pipeline.ngram_jaccard_join, corpus_pipeline.benchmark_decontamination):
         df = stage(spark, df, sf)
     assert df.count() == 30
-    assert language.SWITCH > 0 and sharding.OVERHEAD == 16
