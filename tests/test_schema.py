@@ -20,9 +20,16 @@ def test_bad_joins(join):
         StatusOrder.of(["x", "y"], join)
 
 
+def test_joins_and_pairs_give_one_order():
+    diamond = StatusOrder.of(["bot", "l", "r", "top"], lambda a, b: a if a == b or b == "bot" else b if a == "bot" else "top")
+    assert diamond == DIAMOND and StatusOrder.of(["a", "b", "c"], max) == StatusOrder.total("abc") == StatusOrder.of_pairs("abc", [("a", "b"), ("b", "c")])
+    with pytest.raises(ValueError, match="least"):
+        StatusOrder.of_pairs(["a", "b"], [])
+
+
 def test_not_associative():
     beats = {("r", "s"): "r", ("s", "p"): "s", ("p", "r"): "p"}
-    with pytest.raises(ValueError, match="associative"):
+    with pytest.raises(ValueError, match="least"):
         StatusOrder.of(["r", "s", "p"], lambda a, b: a if a == b else beats.get((a, b)) or beats[b, a])
 
 
