@@ -52,6 +52,7 @@ def chunk_checksum(payload: Column) -> Column:
     return F.crc32(payload)
 
 
-def fingerprint(rows: Column) -> Column:
-    """A digest of a set of texts that does not depend on their order."""
-    return F.sha2(F.array_join(F.sort_array(rows), "\n"), 256)
+def fingerprint(text: Column) -> Column:
+    """An aggregate: a digest of distinct texts that does not depend on their order. The four quarters of their hashes are added up, and the sums written as text."""
+    quarter = lambda i: F.sum(F.conv(F.substring(F.md5(text.cast("binary")), 8 * i + 1, 8), 16, 10).cast("bigint"))
+    return F.concat_ws("-", *[quarter(i).cast("string") for i in range(4)])

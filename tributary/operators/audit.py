@@ -34,15 +34,18 @@ def crash_losses(log: DataFrame, durable: DataFrame, elsewhere: DataFrame, crash
     return kept.join(elsewhere.select(*key).distinct(), key, "left_anti").select("replica_id", *STAMP).distinct()
 
 
-def _everywhere(expected: DataFrame, live: DataFrame) -> DataFrame:
-    return expected.join(F.broadcast(live.select("replica_id").distinct()))
+def _live(live: DataFrame) -> DataFrame:
+    """One row: all live replicas. As many as a deployment has devices; it is what each short key is compared with."""
+    return live.select("replica_id").distinct().agg(F.sort_array(F.collect_set("replica_id")).alias("live"))
 
 
 def lost(name: str, expected: DataFrame, present: DataFrame, live: DataFrame, key: list[str]) -> DataFrame:
-    """Keys that a live replica should have and has not."""
+    """Keys that a live replica should have and has not. Each key's holders are gathered once; only keys that are short of some replica are expanded, to those replicas."""
     text = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in key if k not in GROUP])
-    gone = _everywhere(expected.select(*key).distinct(), live).join(present.select("replica_id", *key).distinct(), ["replica_id", *key], "left_anti")
-    return violation(gone, name, text)
+    holders = present.groupBy(*key).agg(F.collect_set("replica_id").alias("holders"))
+    held = expected.select(*key).distinct().join(holders, key, "left").crossJoin(F.broadcast(_live(live)))
+    absent = F.array_except("live", F.coalesce("holders", F.array().cast("array<string>")))
+    return violation(held.select(*key, F.explode(absent).alias("replica_id")), name, text)
 
 
 def no_measurement_lost(log: DataFrame, crash_lost: DataFrame, present: DataFrame, live: DataFrame, dedup_on: tuple[str, ...]) -> DataFrame:
@@ -99,6 +102,14 @@ def views_agree(name: str, views: DataFrame, live: DataFrame) -> DataFrame:
     return bad.withColumn("invariant", F.lit(f"derived_views_agree:{name}"))
 
 
+def differences(atoms: DataFrame, live: DataFrame, key: list[str]) -> DataFrame:
+    """(record_id, field, atom, held_by, absent_from) of atoms that some live replicas hold and others don't: why a field has not converged."""
+    text = F.concat_ws("|", *[F.col(k).cast("string") for k in key if k not in GROUP])
+    held = atoms.groupBy(*GROUP, text.alias("atom")).agg(F.sort_array(F.collect_set("replica_id")).alias("holders")).crossJoin(F.broadcast(_live(live)))
+    have, absent = F.array_intersect("live", "holders"), F.array_except("live", "holders")
+    return held.where((F.size(have) > 0) & (F.size(absent) > 0)).select(*GROUP, "atom", F.array_join(have, ",").alias("held_by"), F.array_join(absent, ",").alias("absent_from"))
+
+
 def review_signals_deterministic(signals: DataFrame, live: DataFrame) -> DataFrame:
     """Signals that some live replicas raise and others don't."""
     n = live.select("replica_id").distinct().agg(F.count("*").alias("n_live"))
@@ -110,10 +121,12 @@ def review_signals_deterministic(signals: DataFrame, live: DataFrame) -> DataFra
 def status_at_least(log: DataFrame, crash_lost: DataFrame, present: DataFrame, live: DataFrame, order: StatusOrder) -> DataFrame:
     """Statuses that are not at or above every position that was written."""
     want = survivors(log, crash_lost).groupBy(*GROUP).agg(F.bit_and(mask(F.col("value"), order)).alias("w"))
-    held = present.select("replica_id", *GROUP, mask(F.col("value"), order).alias("h"), "value")
-    both = _everywhere(want, live).join(held, ["replica_id", *GROUP], "left")
-    low = both.where(F.col("h").isNull() | (F.col("h").bitwiseAND(F.col("w")) != F.col("h")))
-    return violation(low, "status_at_least", F.coalesce("value", F.lit("missing")))
+    held = present.groupBy(*GROUP).agg(F.collect_set(F.struct("replica_id", "value", mask(F.col("value"), order).alias("h"))).alias("held"))
+    both = want.join(held, GROUP, "left").crossJoin(F.broadcast(_live(live))).withColumn("held", F.coalesce("held", F.array().cast("array<struct<replica_id:string,value:string,h:bigint>>")))
+    low = F.filter("held", lambda x: F.array_contains(F.col("live"), x["replica_id"]) & (x["h"].isNull() | (x["h"].bitwiseAND(F.col("w")) != x["h"])))
+    absent = F.array_except("live", F.transform("held", lambda x: x["replica_id"]))
+    rows = F.concat(F.transform(low, lambda x: F.struct(x["replica_id"].alias("replica_id"), x["value"].alias("value"))), F.transform(absent, lambda r: F.struct(r.alias("replica_id"), F.lit(None).cast("string").alias("value"))))
+    return violation(both.select(*GROUP, F.explode(rows).alias("x")).select(*GROUP, "x.*"), "status_at_least", F.coalesce("value", F.lit("missing")))
 
 
 def check_all(*parts: DataFrame) -> DataFrame:

@@ -38,6 +38,13 @@ def record_delta(state: dict[str, DataFrame], seen: DataFrame) -> dict[str, Data
     return {kind: unseen(rows, seen) if kind in cut else rows for kind, rows in state.items()}
 
 
+def emptiness(state: dict[str, DataFrame], delta: dict[str, DataFrame]) -> DataFrame:
+    """(record_id, empty) of every record of a state: whether its delta has nothing to send. Kinds that are sent whole count only where they have atoms."""
+    records = union(*(rows.select("record_id") for rows in state.values())).distinct()
+    sent = union(*(rows.select("record_id") for rows in delta.values())).distinct().withColumn("some", F.lit(True))
+    return records.join(sent, "record_id", "left").select("record_id", F.col("some").isNull().alias("empty"))
+
+
 def apply_delta(state: dict[str, DataFrame], delta: dict[str, DataFrame], dedup_on: tuple[str, ...], order=None) -> dict[str, DataFrame]:
     """state joined with delta. A kind that the delta lacks stays as it is."""
     reducers = {

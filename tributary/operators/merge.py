@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hlc import stamp
-from ..schema import SERIES, Schema, StatusOrder
+from ..schema import SERIES, STATUS, Schema, StatusOrder, same_schema
 
 GROUP = ["record_id", "field"]
 STAMP = ["pt", "c", "node"]
@@ -120,6 +120,28 @@ def incomparable_pairs(positions: DataFrame, order: StatusOrder) -> DataFrame:
     return held.withColumn("p", F.get(first, F.lit(0))).where("p IS NOT NULL").select(*GROUP, "p.a", "p.b")
 
 
+#: The atoms of a state by kind, and their columns.
+KINDS = {"entries": ENTRY, "observations": REGISTER, "adds": ADD, "removes": REMOVE, "elements": [*GROUP, "element"], "positions": [*GROUP, "value"]}
+
+
+def records(*states: tuple[Schema, dict[str, DataFrame]]) -> dict[str, DataFrame]:
+    """Whole records merged field by field: each state is a schema and atoms by kind. Schemas must agree in all they declare, not in name only."""
+    schema = reduce(same_schema, [s for s, _ in states])
+    held = {kind: union(*(atoms[kind].select(*columns) for _, atoms in states if kind in atoms)) for kind, columns in KINDS.items() if any(kind in atoms for _, atoms in states)}
+    reducers = {"entries": lambda d: series_of(schema, d), "observations": register, "adds": orset_adds, "removes": orset_removes, "elements": gset}
+    out = {kind: reducers[kind](rows) for kind, rows in held.items() if kind in reducers}
+    if "positions" in held:
+        parts = [status(held["positions"].where(F.col("field") == f.name), f.order) for f in schema.of(STATUS)]
+        out["positions"] = union(*parts) if parts else held["positions"].where("false")
+    return out
+
+
+def atoms_of(state: dict[str, DataFrame]) -> DataFrame:
+    """(record_id, field, kind, atom): a state of several kinds as rows of one shape; the atom's text leaves out nulls."""
+    shaped = [rows.select(*GROUP, F.lit(kind).alias("kind"), F.concat_ws("|", *[F.col(c).cast("string") for c in KINDS[kind] if c not in GROUP]).alias("atom")) for kind, rows in state.items()]
+    return union(*shaped)
+
+
 def absorbed(new: DataFrame, state: DataFrame, key: list[str]) -> DataFrame:
     """Rows of new that state does not have: nothing to write if there are none."""
     condition = reduce(lambda a, b: a & b, [F.col(f"n.{k}").eqNullSafe(F.col(f"s.{k}")) for k in key])

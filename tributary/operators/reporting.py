@@ -69,3 +69,53 @@ def provenance(log: DataFrame) -> DataFrame:
 def blobs(rows: DataFrame, payload: str = "payload") -> DataFrame:
     """Content-addressed payloads: one row for each digest. Records refer to the digest and merge without the payload."""
     return rows.withColumn("digest", F.sha2(payload, 256)).groupBy("digest").agg(F.first(payload).alias(payload), F.first(F.octet_length(payload)).cast("bigint").alias("bytes"), F.count("*").alias("n_refs"))
+
+
+def can_carry(transfers: DataFrame, windows: DataFrame) -> DataFrame:
+    """transfers (link, at, ms) with carried: whether one window of their link (opens, closes) is open from at until the transfer ends. Windows of a link do not overlap.
+
+    The window that counts is the last to open by then, so transfers and windows are put in one order by link; nothing is joined by range.
+    """
+    both = transfers.withColumn("kind", F.lit(1)).unionByName(windows.select("link", F.col("opens").alias("at"), "closes", F.lit(0).alias("kind")), allowMissingColumns=True)
+    until = F.last("closes", ignorenulls=True).over(W.partitionBy("link").orderBy("at", "kind"))
+    marked = both.withColumn("until", until).where("kind = 1")
+    return marked.withColumn("carried", F.coalesce(F.col("at") + F.col("ms") <= F.col("until"), F.lit(False))).drop("kind", "closes", "until")
+
+
+def backoff(attempts: DataFrame, base_ms: int = 500, cap_ms: int = 60_000) -> DataFrame:
+    """attempts (session_id, attempt from 0) with wait_ms: the doubled wait, capped, of which half is fixed and half spread by a hash, so that sessions do not retry at once and reruns agree."""
+    most = F.least(F.lit(cap_ms).cast("double"), F.lit(base_ms) * F.pow(F.lit(2.0), F.least("attempt", F.lit(40)))).cast("bigint")
+    share = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("session_id").cast("string"), F.col("attempt").cast("string")).cast("binary")), 1, 4), 16, 10).cast("bigint")
+    half = F.floor(most / 2).cast("bigint")
+    return attempts.withColumn("wait_ms", half + F.floor(half * share / F.lit(65_535)).cast("bigint"))
+
+
+def in_flight(chunks: DataFrame, cap: int) -> DataFrame:
+    """(session_id, at, n) where more than cap chunks (session_id, sent_at, acked_at, null if never) are on their way."""
+    steps = chunks.select("session_id", F.col("sent_at").alias("at"), F.lit(1).alias("step")).unionByName(chunks.where("acked_at IS NOT NULL").select("session_id", F.col("acked_at").alias("at"), F.lit(-1).alias("step")))
+    by = steps.groupBy("session_id", "at").agg(F.sum("step").alias("step"))
+    running = F.sum("step").over(W.partitionBy("session_id").orderBy("at").rowsBetween(W.unboundedPreceding, 0))
+    return by.select("session_id", "at", running.alias("n")).where(F.col("n") > cap)
+
+
+def negotiated(offers: DataFrame) -> DataFrame:
+    """(session_id, version) of offers (session_id, peer, version): the highest version that all peers of a session offer, null if there is none."""
+    peers = offers.groupBy("session_id").agg(F.count_distinct("peer").alias("n_peers"))
+    common = offers.groupBy("session_id", "version").agg(F.count_distinct("peer").alias("n")).join(peers, "session_id").where("n = n_peers")
+    return peers.select("session_id").join(common.groupBy("session_id").agg(F.max("version").alias("version")), "session_id", "left")
+
+
+def sliding(traffic: DataFrame, time: str, width: str, slide: str, by: str = "replica_id") -> DataFrame:
+    """(by, first_at, n) of sliding windows."""
+    counted = traffic.groupBy(by, F.window(time, width, slide).alias("w")).agg(F.count("*").alias("n"))
+    return counted.select(by, F.col("w.start").alias("first_at"), "n")
+
+
+def collectable(removes: DataFrame, frontiers: DataFrame, horizon: int) -> DataFrame:
+    """Tombstones that may go: older than the horizon, and at or below what every replica is known to have received without a gap (replica_id, node, pt) of the tag's node.
+
+    A replica that has nothing of a node holds back all tombstones of it. The rest must stay: a late add would come back to life.
+    """
+    n = frontiers.select("replica_id").distinct().agg(F.count("*").alias("n_all"))
+    low = frontiers.groupBy("node").agg(F.min("pt").alias("low"), F.count_distinct("replica_id").alias("n")).crossJoin(F.broadcast(n)).where("n = n_all").select("node", "low")
+    return removes.join(low, "node").where((F.col("pt") <= F.col("low")) & (F.col("pt") < horizon)).drop("low")

@@ -44,19 +44,23 @@ def has_seen(vectors: DataFrame, stamps: DataFrame) -> DataFrame:
     return found.withColumn("covered", F.coalesce(F.struct("pt", "c") <= F.col("h"), F.lit(False))).drop("h")
 
 
-def compare(vectors: DataFrame) -> DataFrame:
-    """(mine, theirs, dominates, dominated, concurrent) for all ordered pairs of replicas.
+def compare(vectors: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """(mine, theirs, dominates, dominated, concurrent) for the given ordered pairs of replicas (mine, theirs), or for all.
 
-    Both vectors are laid over the nodes of theirs; the number of replicas is small, the nodes of a pair come together by hash.
+    A vector dominates another if it is at or above it at as many nodes as that has; entries meet by node, and only those of pairs that are asked for.
     """
-    replicas = vectors.select("replica_id").distinct()
-    pairs = F.broadcast(replicas.selectExpr("replica_id AS theirs"))
-    theirs = vectors.select(F.col("replica_id").alias("theirs"), "node", F.struct("pt", "c").alias("h"))
-    grid = replicas.selectExpr("replica_id AS mine").join(theirs, F.col("mine") != F.col("theirs"))
-    mine = vectors.select(F.col("replica_id").alias("mine"), "node", F.struct("pt", "c").alias("m"))
-    held = grid.join(mine, ["mine", "node"], "left").groupBy("mine", "theirs").agg(F.bool_and(F.coalesce(F.col("m") >= F.col("h"), F.lit(False))).alias("dominates"))
-    back = held.selectExpr("mine AS theirs", "theirs AS mine", "dominates AS dominated")
-    out = held.join(back, ["mine", "theirs"])
+    ids = vectors.select("replica_id").distinct()
+    if pairs is None:  # a matrix is asked for, so there is a row for each pair anyway
+        pairs = ids.selectExpr("replica_id AS mine").crossJoin(ids.selectExpr("replica_id AS theirs")).where("mine <> theirs")
+    pairs = pairs.select("mine", "theirs").distinct()
+    sizes = vectors.groupBy("replica_id").agg(F.count("*").alias("n"))
+    entries = vectors.select("replica_id", "node", F.struct("pt", "c").alias("h"))
+    own = entries.select(F.col("replica_id").alias("mine"), "node", F.col("h").alias("m"))
+    met = pairs.join(own, "mine").join(entries.select(F.col("replica_id").alias("theirs"), "node", "h"), ["theirs", "node"])
+    counts = met.groupBy("mine", "theirs").agg(F.count_if(F.col("m") >= F.col("h")).alias("above"), F.count_if(F.col("m") <= F.col("h")).alias("below"))
+    nothing = F.lit(0).cast("bigint")
+    known = pairs.join(sizes.selectExpr("replica_id AS mine", "n AS n_mine"), "mine").join(sizes.selectExpr("replica_id AS theirs", "n AS n_theirs"), "theirs").join(counts, ["mine", "theirs"], "left")
+    out = known.select("mine", "theirs", (F.coalesce("above", nothing) == F.col("n_theirs")).alias("dominates"), (F.coalesce("below", nothing) == F.col("n_mine")).alias("dominated"))
     return out.withColumn("concurrent", ~F.col("dominates") & ~F.col("dominated"))
 
 

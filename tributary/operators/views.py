@@ -79,7 +79,8 @@ REMOVE_COLUMNS = [*GROUP, *STAMP]
 
 
 def canonical(atoms: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
-    """A digest of the distinct atoms of each group that does not depend on their order."""
+    """A digest of the distinct atoms of each group that does not depend on their order: sums of their hashes, so a group of any size is added up before it is shuffled."""
     by = by or GROUP
     text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns])
-    return atoms.groupBy(*by).agg(fingerprint(F.collect_set(text)).alias("fingerprint"), F.count_distinct(text).alias("n_atoms"))
+    distinct = atoms.select(*by, text.alias("text")).distinct()
+    return distinct.groupBy(*by).agg(fingerprint(F.col("text")).alias("fingerprint"), F.count("*").alias("n_atoms"))
