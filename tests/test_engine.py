@@ -2,6 +2,7 @@
 
 import itertools
 import json
+import os
 import random
 
 import pytest
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from tributary.functions import hlc, scalars
 from tributary.operators import audit, delta, identity, merge, review, vectors, views
 from tributary.operators.merge import GROUP, STAMP
-from tributary.schema import BENCH, DEDUP_COLUMNS, DIAMOND, STATUS, TOTAL_ORDER, Field, Schema
+from tributary import shared
+from tributary.schema import BENCH, DEDUP_COLUMNS, DIAMOND, GSET, STATUS, TOTAL_ORDER, Field, Schema
 from tributary.sources import atoms
 
 ENTRY = "replica_id string, record_id string, field string, value long, taken_at string, recorded_by string, pt long, c long, node string, supersedes string"
@@ -212,9 +214,46 @@ def test_forwarding(spark):
 def test_bloom_false_positives(spark):
     keys = spark.range(2000).select(F.concat(F.lit("k"), "id").alias("match_key"))
     others = spark.range(2000, 4000).select(F.concat(F.lit("k"), "id").alias("match_key"))
-    f = identity.bloom_build(keys, bits=1 << 16)
-    assert identity.bloom_probe(keys, f, bits=1 << 16).count() == 2000
-    assert identity.bloom_probe(others, f, bits=1 << 16).count() < 20
+    f = identity.bloom_build(keys, rate=0.01)
+    assert identity.bloom_probe(keys, f).count() == 2000
+    assert identity.bloom_probe(others, f).count() < 60
+    assert identity.bloom_probe(others, identity.bloom_build(keys, rate=1e-6)).count() < 3
+    assert identity.bloom_probe(others, identity.bloom_build(keys.limit(0))).count() == 0
+    assert identity.bloom_size(10**9, 0.01)[0] > 9 * 10**9
+
+
+def test_shared_folder_of_a_cluster_must_be_named(spark):
+    class Cluster:
+        class sparkContext:
+            master = "spark://somewhere:7077"
+
+            @staticmethod
+            def getConf():
+                return {}
+
+        class conf:
+            @staticmethod
+            def get(key, default):
+                return default
+
+    with pytest.raises(RuntimeError):
+        shared.shared_dir(Cluster)
+    folder = shared.work_dir(spark)
+    kept = shared.written(spark.range(3), "three", folder)
+    assert kept.count() == 3 and shared.discard(spark) >= 1 and not os.path.exists(folder)
+
+
+def test_vectors_are_compared_for_the_pairs_asked_for(spark):
+    v = spark.createDataFrame([("A", "x", 5, 0), ("A", "y", 1, 0), ("B", "x", 5, 0), ("C", "z", 1, 0)], "replica_id string, node string, pt long, c long")
+    asked = spark.createDataFrame([("A", "B"), ("A", "C")], "mine string, theirs string")
+    assert rows(vectors.compare(v, asked)) == [("A", "B", True, False, False), ("A", "C", False, False, True)]
+    assert vectors.compare(v).count() == 6
+
+
+def test_records_of_different_schemas_do_not_merge(spark):
+    empty = {"elements": spark.createDataFrame([], "record_id string, field string, element string")}
+    with pytest.raises(ValueError):
+        merge.records((BENCH, empty), (Schema("bench", (Field("g_a", GSET),)), empty))
 
 
 VECTOR = {

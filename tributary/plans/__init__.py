@@ -1,0 +1,3 @@
+"""The registered queries."""
+
+from . import laws, queries  # noqa: F401  laws registers with queries

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from ..functions import hlc, scalars
 from ..operators import audit, delta, identity, merge, reporting, review, vectors, views
 from ..operators.merge import GROUP, STAMP
+from ..shared import work_dir
 from ..schema import BENCH, DEDUP_COLUMNS, DIAMOND, REGISTER, STATUS, TOTAL_ORDER, Field, Schema
 from ..sources import adapters as A
 
@@ -203,18 +204,21 @@ def status_identity(spark, d):
 @query(
     "record_merge",
     f"""{ENTRIES}, {MERGED}, {ORSET.split('WITH ' + EV + ',', 1)[1]}, {REGISTERS.split('WITH ' + EV + ',', 1)[1]}, {positions_sql(('s0', 's1', 's2', 's3')).split('WITH ' + EV + ',', 1)[1]}
-    SELECT {G}, 'entry' AS kind, count(*) AS n FROM merged GROUP BY {G} UNION ALL SELECT {G}, 'add', count(*) FROM adds GROUP BY {G} UNION ALL SELECT {G}, 'remove', count(*) FROM removes GROUP BY {G}
-    UNION ALL SELECT {G}, 'observation', count(*) FROM obs GROUP BY {G} UNION ALL SELECT {G}, max(value), 1 FROM positions GROUP BY {G}""",
+    SELECT {G}, 'entries' AS kind, concat_ws('|', value, taken_at, recorded_by, pt, c, node) AS atom FROM merged UNION ALL SELECT {G}, 'adds', concat_ws('|', element, pt, c, node) FROM adds UNION ALL SELECT {G}, 'removes', concat_ws('|', pt, c, node) FROM removes
+    UNION ALL SELECT {G}, 'observations', concat_ws('|', vtag, vtext, author, pt, c, node) FROM obs UNION ALL SELECT {G}, 'positions', max(value) FROM positions GROUP BY {G}""",
 )
 def record_merge(spark, d):
+    """Whole records of three replicas merged, every atom a row."""
     adds, removes = A.orset(spark, d)
-    parts = {"entry": merge.series_of(BENCH, A.entries(spark, d)), "add": merge.orset_adds(adds), "remove": merge.orset_removes(removes), "observation": merge.register(A.observations(spark, d))}
-    counted = [rows.groupBy(*GROUP).agg(F.count("*").alias("n")).withColumn("kind", F.lit(kind)) for kind, rows in parts.items()]
-    status = merge.status(A.positions(spark, d), TOTAL_ORDER).select(*GROUP, F.col("value").alias("kind"), F.lit(1).cast("bigint").alias("n"))
-    return merge.union(*counted, status)
+    kinds = {"entries": A.entries(spark, d), "adds": adds, "removes": removes, "observations": A.observations(spark, d), "positions": A.positions(spark, d)}
+    states = [(BENCH, {kind: rows.where(F.col("replica_id") == r) for kind, rows in kinds.items()}) for r in ("A", "B", "C")]
+    return merge.atoms_of(merge.records(*states)).select(*GROUP, "kind", "atom")
 
 
-@query("canonical_fingerprint", f"{ENTRIES}, {MERGED}, t AS (SELECT {G}, concat_ws('|', value, taken_at, recorded_by, pt, c, node) AS t FROM merged) SELECT {G}, sha256(string_agg(t, chr(10) ORDER BY t)) AS fingerprint, count(*) AS n_atoms FROM t GROUP BY {G}")
+QUARTERS = " || '-' || ".join(f"CAST(sum(('0x' || substr(md5(t), {8 * i + 1}, 8))::BIGINT) AS VARCHAR)" for i in range(4))
+
+
+@query("canonical_fingerprint", f"{ENTRIES}, {MERGED}, t AS (SELECT DISTINCT {G}, concat_ws('|', value, taken_at, recorded_by, pt, c, node) AS t FROM merged) SELECT {G}, {QUARTERS} AS fingerprint, count(*) AS n_atoms FROM t GROUP BY {G}")
 def canonical_fingerprint(spark, d):
     return views.canonical(merge.series_of(BENCH, A.entries(spark, d)), ["value", "taken_at", "recorded_by", *STAMP])
 
@@ -302,11 +306,11 @@ def orset_readd(spark, d):
     return views.orset_members(adds, removes).join(removed, [*GROUP, "element"], "left_semi").select(*GROUP, "element")
 
 
-@query("orset_observed", f"""{ORSET.split(', s1 AS')[0] if ', s1 AS' in ORSET else ORSET.split('s1 AS')[0].rstrip().rstrip(',')}, a AS (SELECT {G}, element, pt, c, node, event_id FROM s0 WHERE event_id % 4 <> 0), q AS (SELECT {G}, element, event_id FROM s0 WHERE event_id % 400 = 0)
+@query("orset_observed", f"""{ORSET.split(', s1 AS')[0] if ', s1 AS' in ORSET else ORSET.split('s1 AS')[0].rstrip().rstrip(',')}, a AS (SELECT {G}, element, pt, c, node, event_id FROM s0 WHERE event_id % 4 <> 0), q AS (SELECT {G}, element, event_id FROM s0 WHERE event_id % 4 = 0)
 SELECT DISTINCT a.record_id, a.field, a.pt, a.c, a.node FROM a JOIN q ON a.record_id = q.record_id AND a.field = q.field AND a.element = q.element AND a.event_id < q.event_id""")
 def orset_observed(spark, d):
     rows = A.events(spark, d).where("field = 'set_a'").withColumn("element", F.concat(F.lit("t"), F.col("user_id") % 7)).withColumn("replica_id", F.lit("A")).withColumn("seq", F.col("event_id"))
-    return views.orset_observed(rows.where("event_id % 4 <> 0"), rows.where("event_id % 400 = 0"))
+    return views.orset_observed(rows.where("event_id % 4 <> 0"), rows.where("event_id % 4 = 0"))
 
 
 # --- deltas
@@ -622,7 +626,7 @@ def session_transitions(spark, d):
 POINTERS = "SELECT 'c' || c_custkey AS record_id, 'c' || (c_custkey // 3) AS target FROM customer WHERE c_custkey % 3 = 0 AND c_custkey > 0"
 
 
-@query("forwarding_resolve", f"WITH RECURSIVE p AS ({POINTERS}), w AS (SELECT record_id, target AS top, 1 AS hops FROM p UNION ALL SELECT w.record_id, p.target, w.hops + 1 FROM w JOIN p ON w.top = p.record_id WHERE w.hops < 32) SELECT record_id, top AS survivor, CAST(hops AS INTEGER) AS hops FROM w WHERE top NOT IN (SELECT record_id FROM p)")
+@query("forwarding_resolve", f"WITH RECURSIVE p AS ({POINTERS}), w AS (SELECT record_id, target AS top, 1 AS hops FROM p UNION ALL SELECT w.record_id, p.target, w.hops + 1 FROM w JOIN p ON w.top = p.record_id) SELECT record_id, top AS survivor, CAST(hops AS INTEGER) AS hops FROM w WHERE top NOT IN (SELECT record_id FROM p)")
 def forwarding_resolve(spark, d):
     return identity.resolve(_pointers(spark, d))
 
@@ -638,10 +642,14 @@ def forwarding_cycles(spark, d):
     return identity.cycles(A.table(spark, d, "nation").where(~key.isin(3, 9)).select(F.concat(F.lit("n"), key).alias("record_id"), target.alias("target")))
 
 
-@query("merge_through_forwarding", f"WITH RECURSIVE p AS ({POINTERS}), w AS (SELECT record_id, target AS top, 1 AS hops FROM p UNION ALL SELECT w.record_id, p.target, w.hops + 1 FROM w JOIN p ON w.top = p.record_id WHERE w.hops < 32), r AS (SELECT record_id, top FROM w WHERE top NOT IN (SELECT record_id FROM p)) SELECT coalesce(r.top, 'c' || c_custkey) AS record_id, count(*) AS n FROM customer LEFT JOIN r ON r.record_id = 'c' || c_custkey GROUP BY 1")
+CUSTOMERS = "a AS (SELECT c_custkey, c_mktsegment AS v, 'office' AS author, 1000 AS pt, 'hq' AS node FROM customer UNION ALL SELECT c_custkey, 'MOVED_' || c_mktsegment, 'field', 999 + c_custkey % 3, 'tablet' FROM customer WHERE c_custkey % 10 = 0)"
+
+
+@query("merge_through_forwarding", f"WITH RECURSIVE p AS ({POINTERS}), w AS (SELECT record_id, target AS top, 1 AS hops FROM p UNION ALL SELECT w.record_id, p.target, w.hops + 1 FROM w JOIN p ON w.top = p.record_id), r AS (SELECT record_id, top FROM w WHERE top NOT IN (SELECT record_id FROM p)), {CUSTOMERS} SELECT DISTINCT coalesce(r.top, 'c' || c_custkey) AS record_id, v AS segment, author, pt, node FROM a LEFT JOIN r ON r.record_id = 'c' || c_custkey")
 def merge_through_forwarding(spark, d):
-    atoms = A.table(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("record_id"))
-    return identity.resolved(atoms, _pointers(spark, d)).groupBy("record_id").agg(F.count("*").alias("n"))
+    """All observations of merged records, under their survivors' ids: the ordinary register merge of the resolved atoms."""
+    atoms = A.customer_observations(spark, d).withColumn("record_id", F.concat(F.lit("c"), "record_id"))
+    return merge.register(identity.resolved(atoms, _pointers(spark, d))).select("record_id", F.col("vtext").alias("segment"), "author", F.col("pt").cast("bigint").alias("pt"), "node")
 
 
 @query("match_key_collisions", "SELECT c_nationkey || '|' || c_mktsegment AS match_key, count(*) AS n, string_agg('c' || c_custkey, ',' ORDER BY 'c' || c_custkey) AS record_ids FROM customer GROUP BY c_nationkey, c_mktsegment HAVING count(*) > 1")
@@ -737,15 +745,17 @@ def minor_units(spark, d):
 
 def _streamed(spark: SparkSession, d: str, build) -> DataFrame:
     """The final result of a streaming aggregate over the events file, run to its end."""
-    import uuid
-
     from ..streaming import incremental as S
 
-    name = f"stream_{uuid.uuid4().hex}"
+    folder = work_dir(spark)
     source = S.read_log(spark, d, A.table(spark, d, "events").schema, pattern="events.parquet")
-    run = build(A.shaped(source)).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/result")  # the whole result each time; a batch that is run again writes the same
+
+    run = build(A.shaped(source)).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.table(name)
+    return spark.read.parquet(f"{folder}/result")
 
 
 @query("stream_register_current", f"{REGISTERS} SELECT record_id, field, pt, c, node, author, vtag, vtext FROM ({BEST}) WHERE rn = 1")
