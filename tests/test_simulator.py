@@ -1,5 +1,7 @@
 """Generated logs: clean sweeps find nothing, damaged states are found, streams equal batches."""
 
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from tributary import simulator as S
@@ -10,48 +12,86 @@ from tributary.streaming import incremental
 
 
 def test_seed_decides(spark):
-    assert S.simulate(S.scenario(9))[0] == S.simulate(S.scenario(9))[0]
-    assert S.scenarios(S.seeds(spark, 1, 3)).count() == 3
-
-
-def test_effects_survive_in_plain_python():
-    for seed in range(1, 60):
-        log, _, states, lost = S.simulate(S.scenario(seed))
-        for atoms in states.values():
-            keys = {a[:6] if a[0] == S.ENTRY_ATOM else a for a in atoms}
-            assert all(S._effect(r) in keys or (r["replica_id"], r["pt"], r["c"], r["node"]) in lost for r in log)
-
-
-def test_clean_sweep_and_mutations(spark):
-    of = S.seeds(spark, 1, 12)
-    log, state, lost = S.logs(of).cache(), S.states(of).cache(), S.crash_lost(of).cache()
-    assert S.audits(log, state, lost).count() == 0
-
-    def found(broken_log, broken_state):
-        return {r["invariant"] for r in S.audits(broken_log, broken_state, lost).select("invariant").distinct().collect()}
-
-    assert "no_measurement_lost" in found(log, state.where("NOT (kind = 'entry' AND replica_id = 'dev_a')"))
-    current = state.where("kind = 'observation'").groupBy("seed", "replica_id", *GROUP).agg(F.max(F.struct("pt", "c", "node")).alias("h"))
-    losers_gone = state.join(current.select("seed", "replica_id", *GROUP, "h.*").withColumn("kind", F.lit("observation")), ["seed", "replica_id", "kind", *GROUP, "pt", "c", "node"], "left_semi")
-    assert "no_observation_lost" in found(log, state.where("kind <> 'observation'").unionByName(losers_gone))
-    assert "removals_are_honoured" in found(log, state.where("kind <> 'remove'"))
-    twice = state.unionByName(state.where("kind = 'entry'").withColumn("pt", F.col("pt") + 1))
-    assert "no_phantom_measurements" in found(log, twice)
-    assert {"hlc_causality_respected", "no_duplicate_operation_ids"} <= found(log.withColumn("c", F.lit(0).cast("long")).withColumn("pt", F.lit(5).cast("long")), state)
-    assert "all_converged" in found(log, state.where("NOT (replica_id = 'dev_b' AND kind = 'status')"))
-
-
-def test_shrink_keeps_failing():
-    fails = lambda s: s.writes >= 4 and s.devices >= 2
-    small = S.shrink(S.scenario(3), fails)
-    assert fails(small) and small.writes == 4 and small.devices == 2 and small.records == 1
-
-
-def test_timeline_and_sweep(spark):
+    assert S.play(S.scenario(9)) == S.play(S.scenario(9)) != S.play(S.scenario(10))
+    a, b = (sorted(map(repr, S.played(S.seeds(spark, 1, 9).repartition(n)).collect())) for n in (1, 5))
+    assert a == b
+
+
+def test_kinds_come_in_their_shares():
+    kinds = Counter(r["kind"] for seed in range(1, 200) for r in S.play(S.scenario(seed))["log"])
+    n = kinds.total()
+    tags = kinds["tag"] + kinds["tag_remove"]
+    for found, share in ((kinds["measurement"], 0.5), (kinds["register"], 0.3), (kinds["status"], 0.1), (tags, 0.1)):
+        assert abs(found / n - share) < 0.02
+    assert kinds["tag_remove"] > 0
+
+
+def test_what_crashes_do_not_lose_is_held_somewhere():
+    lost = 0
+    for seed in range(1, 120):
+        out = S.play(S.scenario(seed))
+        marks = {(r["replica_id"], r["pt"], r["c"], r["node"]) for r in out["lost"]}
+        held = {S.known_by(tuple(r[c] for c in S.SHAPE)) for r in out["state"]}
+        lost += len(marks)
+        assert all(r["key"] in held or (r["replica_id"], r["pt"], r["c"], r["node"]) in marks for r in out["log"])
+    assert lost
+
+
+def test_messages_go_through_open_windows_only():
+    faults = Counter()
+    for seed in range(1, 80):
+        s = S.scenario(seed)
+        for r in S.play(s)["delivery"]:
+            faults[r["fault"]] += 1
+            inside = any(a <= r["at"] < b and r["arrives"] <= b for a, b in S.windows(s, (r["replica_id"], r["dst"])))
+            assert inside or r["fault"] in ("window", "cut")
+            off = S.cuts(s, [f"dev_{chr(97 + i)}" for i in range(s.devices)]).get((r["replica_id"], r["dst"]), (0, 0))
+            assert (off[0] <= r["at"] < off[1]) == (r["fault"] == "cut")
+    assert set(faults) == {"none", "lost", "doubled", "held", "cut", "window"}
+
+
+def test_quiet_networks_have_no_faults():
+    assert {r["fault"] for seed in range(1, 30) for r in S.play(S.scenario(seed, "quiet"))["delivery"]} <= {"none", "window"}
+
+
+def test_settling_uses_the_reducers(spark):
+    table = S.played(S.seeds(spark, 1, 6))
+    state = S.settled(S.rows_of(table, "state"))
+    before = S.rows_of(table, "state")
+    readings = before.where("kind = 'entry'").select(*GROUP, *DEDUP_COLUMNS).distinct().count()
+    by = {r["replica_id"]: r["n"] for r in state.where("kind = 'entry'").groupBy("seed", "replica_id").agg(F.count("*").alias("n")).collect()}
+    per_seed = {r["seed"]: r["n"] for r in before.where("kind = 'entry'").select("seed", *GROUP, *DEDUP_COLUMNS).distinct().groupBy("seed").agg(F.count("*").alias("n")).collect()}
+    assert sum(per_seed.values()) == readings and all(n == per_seed[int(r.split("/")[0])] for r, n in by.items())
+    assert S.judged(table).count() == 0
+
+
+def test_damaged_states_are_found(spark):
+    table = S.played(S.seeds(spark, 1, 12))
+    log, lost, state = S.rows_of(table, "log"), S.rows_of(table, "lost"), S.settled(S.rows_of(table, "state")).cache()
+    found = lambda damaged: {r["invariant"] for r in S.audits(log, lost, damaged).select("invariant").distinct().collect()}
+    assert "no_measurement_lost" in found(state.where("NOT (kind = 'entry' AND replica_id LIKE '%dev_a')"))
+    assert "no_tag_lost" in found(state.where("NOT (kind = 'add' AND replica_id LIKE '%dev_b')"))
+    assert "all_converged" in found(state.where("NOT (kind = 'position' AND replica_id LIKE '%dev_b')"))
+    invented = state.unionByName(state.where("kind = 'entry'").withColumn("value", F.col("value") + 10_000))
+    assert "no_phantom_measurements" in found(invented)
+
+
+def test_shrink_keeps_the_invariant():
+    finds = lambda s: ({"lost"} if s.writes >= 4 and s.cuts > 0 else set()) | {"other"}
+    small = S.shrink(S.scenario(3), "lost", finds)
+    assert (small.writes, small.devices, small.records, small.days, small.link, small.crashes, small.wrong_clocks) == (4, 2, 1, 1, "wire", 0.0, 0.0) and small.cuts > 0
+
+
+def test_timeline_sweep_shards_and_stop(spark, monkeypatch):
     s = S.scenario(2)
-    assert len(S.timeline(s)) == s.writes and len(S.timeline(s, "rec_0")) <= s.writes
-    swept = S.sweep(spark, 1, 4).cache()
+    assert len(S.timeline(s)) == s.writes and 0 < len(S.timeline(s, "rec_0")) <= s.writes
+    swept = S.sweep(spark, 1, 4)
     assert swept.count() == 4 and S.first_failing(swept) is None
+    assert [r["seed"] for r in S.seeds(spark, 5, 10, (1, 3)).orderBy("seed").collect()] == [7, 10, 13]
+    monkeypatch.setitem(S.REDUCERS, "entry", S.MUTATIONS["M1"][0]["entry"])
+    monkeypatch.setattr(S.judged, "__defaults__", (S.REDUCERS,))
+    stopped = S.sweep(spark, 1, 30, stop_after=1, at_once=10)
+    assert stopped.count() == 10 and S.first_failing(stopped) is not None
 
 
 def test_stream_equals_batch(spark, tmp_path):

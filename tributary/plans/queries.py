@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .. import simulator
 from ..functions import hlc, scalars
 from ..operators import audit, delta, identity, merge, reporting, review, vectors, views
 from ..operators.merge import GROUP, STAMP
@@ -788,16 +789,48 @@ def stream_vectors(spark, d):
     return _streamed(spark, d, lambda events: S.vector(events.withColumn("replica_id", F.lit("C"))))
 
 
-@query("sim_sweep")
+SWEPT = 2000
+
+
+@query("sim_sweep", f"SELECT range AS seed, CAST(0 AS BIGINT) AS n_violations FROM range(1, {SWEPT + 1})")
 def sim_sweep(spark, d):
-    """Generated logs of 20 seeds, audited: no violations expected."""
-    from .. import simulator
+    """Generated logs of many seeds, settled by the reducers and audited; what is expected is that nothing is found."""
+    return simulator.sweep(spark, 1, SWEPT).drop("n_operations")
+
+
+FOUND = ", ".join(f"('{name}', '{invariant}')" for name, (_, invariant) in simulator.MUTATIONS.items() if invariant)
+
+
+@query("sim_mutations", f"SELECT * FROM (VALUES {FOUND}) t(mutation, invariant)")
+def sim_mutations(spark, d):
+    """Wrong variants and the invariants that must notice them; variants that are blind spots have none."""
+    must = [(name, invariant) for name, (_, invariant) in simulator.MUTATIONS.items() if invariant]
+    expected = spark.createDataFrame(must, "mutation string, invariant string")
+    return simulator.survey(spark, tuple(name for name, _ in must)).join(expected, ["mutation", "invariant"], "left_semi").select("mutation", "invariant")
 
-    return simulator.sweep(spark, 1, 20)
+
+@query("sim_blind_spots", "SELECT CAST(NULL AS VARCHAR) AS mutation, CAST(NULL AS VARCHAR) AS invariant WHERE false")
+def sim_blind_spots(spark, d):
+    """What audits find of the right reducers, and of the variants that they cannot notice: nothing."""
+    blind = tuple(name for name, (_, invariant) in simulator.MUTATIONS.items() if invariant is None)
+    right = simulator.judged(simulator.played(simulator.seeds(spark, 1, 60))).select(F.lit("none").alias("mutation"), "invariant")
+    return simulator.survey(spark, blind).select("mutation", "invariant").unionByName(right)
+
+
+@query("sim_shards", "SELECT shard, count(*) AS n_seeds FROM (SELECT range % 3 AS shard FROM range(5, 65)) GROUP BY shard")
+def sim_shards(spark, d):
+    """Three shards of a sweep play each seed once."""
+    return merge.union(*[simulator.seeds(spark, 5, 60, (i, 3)).agg(F.lit(i).cast("bigint").alias("shard"), F.count_distinct("seed").alias("n_seeds")) for i in range(3)])
+
+
+@query("sim_one_way", "SELECT true AS cut_one_way, true AS other_way_open")
+def sim_one_way(spark, d):
+    """Links that are cut off in one direction deliver in the other."""
+    log = simulator.rows_of(simulator.played(simulator.seeds(spark, 1, 200)), "delivery")
+    by = log.groupBy("seed", F.least("replica_id", "dst").alias("a"), F.greatest("replica_id", "dst").alias("b")).agg(F.count_if((F.col("fault") == "cut") & F.col("replica_id").endswith("dev_a")).alias("cut"), F.count_if((F.col("fault") == "none") & F.col("dst").endswith("dev_a")).alias("back"))
+    return by.agg((F.max("cut") > 0).alias("cut_one_way"), (F.max(F.when(F.col("cut") > 0, F.col("back"))) > 0).alias("other_way_open"))
 
 
 @query("sim_fault_counts")
 def sim_fault_counts(spark, d):
-    from .. import simulator
-
-    return reporting.fault_counts(simulator.deliveries(simulator.seeds(spark, 1, 20)))
+    return simulator.fault_counts(spark, 1, 20)
