@@ -35,24 +35,24 @@ def test_hlc_replay_equals_fold(spark):
             events.append((node, i, phys, *(remote or (None, None))))
             want.append((node, i, pt, c))
     df = spark.createDataFrame(events, "node string, i long, phys long, rpt long, rc long")
-    got = hlc.replay(df, remote_pt="rpt", remote_c="rc")
-    assert rows(got, "node", "i", "pt", "c") == sorted(want, key=repr)
-    from tributary.streaming.incremental import clock_state
-
-    class State:
-        exists, get = False, None
-
-        def update(self, v):
-            self.exists, self.get = True, v
-
+    for blocks in ("1", "3", "40"):  # of 40 blocks, runs span several
+        spark.conf.set("spark.sql.shuffle.partitions", blocks)
+        got = hlc.replay(df.repartition(2), remote_pt="rpt", remote_c="rc")
+        assert rows(got, "node", "i", "pt", "c") == sorted(want, key=repr)
+        sends = df.select("node", "i", "phys", F.lit(None).cast("long").alias("rpt"), F.lit(None).cast("long").alias("rc"))
+        assert rows(hlc.replay(sends), "node", "i", "pt", "c") == rows(hlc.replay(sends, remote_pt="rpt", remote_c="rc"), "node", "i", "pt", "c")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
     import pandas as pd
 
+    from tributary.streaming.incremental import clock_step
+
     streamed = []
     for node in "abc":
-        state = State()
+        last = None
         for a in range(0, 120, 50):  # state carries over batches
             part = pd.DataFrame([e for e in events if e[0] == node and a <= e[1] < a + 50], columns=["node", "i", "phys", "rpt", "rc"])
-            streamed += [tuple(r) for out in clock_state((node,), iter([part]), state) for r in out.itertuples(index=False)]
+            out, last = clock_step(part, last)
+            streamed += [tuple(r) for r in out.itertuples(index=False)]
     assert sorted(streamed, key=repr) == sorted(want, key=repr)
 
 

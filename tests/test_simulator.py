@@ -112,7 +112,9 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_stream_clock(spark, tmp_path):
     rows = [("a", i, 1000 + (i * 5) % 7, 1003 if i % 4 == 0 else None, i if i % 4 == 0 else None) for i in range(20)]
     df = spark.createDataFrame(rows, "node string, i long, phys long, rpt long, rc long")
-    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    for part in (df.where("i < 9"), df.where("i >= 9")):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     run = incremental.clocks(incremental.read_log(spark, str(tmp_path / "in"), df.schema)).writeStream.outputMode("append").format("memory").queryName("clock_out").trigger(availableNow=True).start()
     run.awaitTermination()
     from tributary.functions import hlc

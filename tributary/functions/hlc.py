@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..shared import written
+
 #: Digits of the two numbers in the encoded form.
 PT_DIGITS, C_DIGITS = 16, 10
 
@@ -45,18 +47,29 @@ def replay(events: DataFrame, order: str = "i", node: str = "node", phys: str =
     """events with the (pt, c) their clock issues: sends, and receives where a remote stamp is given.
 
     A closed form instead of a fold: the physical part is a running maximum; within a run of equal physical parts each event adds one to the counter and a remote
-    of the same part lifts it above its own. Two windows by node, no UDF.
+    of the same part lifts it above its own. No UDF. Both are found in two levels, as one node may hold most events: events are dealt by ranges of (node, order) into blocks, which are written;
+    a block's own maximum, and how often its first and last physical part occur, are carried over to the blocks that follow (two rows a block), and windows stay within a block.
     """
-    by_node = W.partitionBy(node).orderBy(order)
-    seen = [F.lit(0).cast("bigint"), F.col(phys), *([F.col(remote_pt)] if remote_pt else [])]
-    out = events.withColumn("pt", F.max(F.greatest(*seen)).over(by_node.rowsBetween(W.unboundedPreceding, 0)))
-    run = W.partitionBy(node, "pt").orderBy(order)
+    cut = events.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    rows = written(events.repartitionByRange(int(cut), node, order).withColumn("_b", F.spark_partition_id()), "blocks")
+    block = [node, "_b"]
+    seen = F.greatest(F.lit(0).cast("bigint"), F.col(phys), *([F.col(remote_pt)] if remote_pt else []))
+    earlier = W.partitionBy(node).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    floor = rows.groupBy(*block).agg(F.max(seen).alias("_m")).withColumn("_m", F.coalesce(F.max("_m").over(earlier), F.lit(0).cast("bigint")))
+    upto = W.partitionBy(*block).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    out = rows.join(floor, block).withColumn("pt", F.greatest("_m", F.max(seen).over(upto))).drop("_m")
+    run = W.partitionBy(*block, "pt").orderBy(order)
     out = out.withColumn("_k", (F.row_number().over(run) - 1).cast("bigint"))
-    lifts = [F.when(F.col("pt") == 0, F.lit(1)).otherwise(F.lit(0)).cast("bigint")]
-    if remote_pt:
-        lifts.append(F.when(F.col(remote_pt) == F.col("pt"), F.col(remote_c) + 1 - F.col("_k")))
-    lift = F.greatest(*lifts) if len(lifts) > 1 else lifts[0]
-    return out.withColumn("c", F.col("_k") + F.max(lift).over(run.rowsBetween(W.unboundedPreceding, 0))).drop("_k")
+    lift = F.when(F.col(remote_pt) == F.col("pt"), F.col(remote_c) + 1 - F.col("_k")) if remote_pt else F.lit(None).cast("bigint")
+    out = out.withColumn("_l", F.max(lift).over(run.rowsBetween(W.unboundedPreceding, 0)))
+    ends = out.groupBy(*block).agg(F.min("pt").alias("_first"), F.max("pt").alias("_last"))
+    edges = out.join(ends, block).where("pt = _first OR pt = _last").groupBy(*block, "pt").agg(F.count("*").alias("_n"), F.max("_l").alias("_top"))
+    before = W.partitionBy(node, "pt").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    carried = edges.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0).cast("bigint"))).withColumn("_lifted", F.max(F.col("_top") - F.col("_base")).over(before))
+    both = out.join(carried.select(*block, "pt", "_base", "_lifted"), [*block, "pt"], "left").withColumn("_base", F.coalesce("_base", F.lit(0).cast("bigint")))
+    least = F.when(F.col("pt") == 0, F.lit(1)).otherwise(F.lit(0)).cast("bigint")
+    c = F.col("_base") + F.col("_k") + F.greatest(least, F.col("_lifted"), F.col("_l") - F.col("_base"))
+    return both.withColumn("c", c).drop("_b", "_k", "_l", "_base", "_lifted")
 
 
 def transcript_mismatches(computed: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
