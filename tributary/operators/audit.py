@@ -27,6 +27,25 @@ def survivors(log: DataFrame, crash_lost: DataFrame) -> DataFrame:
     return log.join(crash_lost.select("replica_id", *STAMP), ["replica_id", *STAMP], "left_anti")
 
 
+def measurement_keys(log: DataFrame, dedup_on: tuple[str, ...]) -> DataFrame:
+    """The readings that a log wrote, whoever wrote them and however often."""
+    return log.select(*GROUP, *dedup_on).distinct()
+
+
+def register_values(log: DataFrame) -> DataFrame:
+    """(record_id, field, vtag, vtext) that a log wrote."""
+    return log.select(*GROUP, "vtag", "vtext").distinct()
+
+
+def originated_by(log: DataFrame, replica_id: str) -> DataFrame:
+    """The operations of one replica, in the order of its log."""
+    return log.where(F.col("replica_id") == replica_id).orderBy("log_seq")
+
+
+def record_ids(log: DataFrame) -> DataFrame:
+    return log.select("record_id").distinct()
+
+
 def crash_losses(log: DataFrame, durable: DataFrame, elsewhere: DataFrame, crashed: DataFrame, key: list[str]) -> DataFrame:
     """Operations of crashed replicas whose effect (key) is neither in their durable state nor in that of any other live replica."""
     own = log.join(F.broadcast(crashed.select("replica_id")), "replica_id", "left_semi")

@@ -119,3 +119,15 @@ def collectable(removes: DataFrame, frontiers: DataFrame, horizon: int) -> DataF
     n = frontiers.select("replica_id").distinct().agg(F.count("*").alias("n_all"))
     low = frontiers.groupBy("node").agg(F.min("pt").alias("low"), F.count_distinct("replica_id").alias("n")).crossJoin(F.broadcast(n)).where("n = n_all").select("node", "low")
     return removes.join(low, "node").where((F.col("pt") <= F.col("low")) & (F.col("pt") < horizon)).drop("low")
+
+
+def battery(sessions: DataFrame) -> DataFrame:
+    """(n, p50, p95): percent of battery an hour over sessions (start_pct, end_pct, charging, ms) that ran without a charger. A distribution and its size, because single readings are coarse."""
+    used = sessions.where(~F.col("charging") & (F.col("ms") > 0)).select(((F.col("start_pct") - F.col("end_pct")) * 3_600_000.0 / F.col("ms")).alias("x"))
+    return used.agg(F.count("*").alias("n"), F.percentile("x", F.lit(0.5)).alias("p50"), F.percentile("x", F.lit(0.95)).alias("p95"))
+
+
+def crash_free(sessions: DataFrame) -> DataFrame:
+    """(ram_mb, n, n_crashed, n_killed, permille) of sessions (ram_mb, ended): by memory of the device. A crash and a kill by the system are told apart; both count against the rate."""
+    by = sessions.groupBy("ram_mb").agg(F.count("*").alias("n"), F.count_if(F.col("ended") == "crash").alias("n_crashed"), F.count_if(F.col("ended") == "killed").alias("n_killed"))
+    return by.withColumn("permille", F.floor((F.col("n") - F.col("n_crashed") - F.col("n_killed")) * 1000 / F.col("n")).cast("bigint"))

@@ -12,6 +12,7 @@ from ..operators import audit, delta, merge, reporting, review, vectors, views
 from ..operators.merge import GROUP, STAMP
 from ..schema import BENCH, DEDUP_COLUMNS, GSET, TOTAL_ORDER, Field, Schema
 from ..sources import adapters as A
+from ..shared import work_dir
 from ..sources import atoms
 from .queries import ENC, ENTRIES, EV, G, LINKED, MERGED, ORSET as ORSET_SQL, REGISTERS, SEEN_B, VV, _live, positions_sql, query, rep
 
@@ -221,6 +222,16 @@ def schema_catalog(spark, d):
     return Schema.from_json(BENCH.to_json()).catalog(spark).drop("dedup_on", "order")
 
 
+@query("codec_formats", f"{REGISTERS} SELECT f.f AS format, obs.* FROM obs, (VALUES ('csv'), ('json'), ('orc'), ('parquet')) f(f)")
+def codec_formats(spark, d):
+    """Observations written in every file format and read back."""
+    folder, merged, found = work_dir(spark), merge.register(A.observations(spark, d)), []
+    for kind in sorted(atoms.FORMATS):
+        atoms.write_atoms(merged, f"{folder}/{kind}", kind)
+        found.append(atoms.read_atoms(spark, f"{folder}/{kind}", merged.schema, kind).withColumn("format", F.lit(kind)))
+    return merge.union(*found)
+
+
 # --- audits of views
 
 
@@ -255,6 +266,25 @@ def audit_all(spark, d):
     return audit.check_all(lost, audit.no_duplicate_operation_ids(coarse)).groupBy("invariant").agg(F.count("*").alias("n"))
 
 
+@query("log_helpers", f"WITH {EV}, o AS (SELECT *, 'R' || event_id % 5 AS replica_id FROM ev) SELECT 'measurement_keys' AS what, count(*) AS n FROM (SELECT DISTINCT {G}, taken_at, author, value FROM o) UNION ALL SELECT 'originated_by', count(*) FROM o WHERE replica_id = 'R3' UNION ALL SELECT 'record_ids', count(DISTINCT record_id) FROM o")
+def log_helpers(spark, d):
+    log = A.oplog(spark, d)
+    found = {"measurement_keys": audit.measurement_keys(log, DEDUP_COLUMNS), "originated_by": audit.originated_by(log, "R3"), "record_ids": audit.record_ids(log)}
+    return merge.union(*[rows.agg(F.lit(name).alias("what"), F.count("*").alias("n")) for name, rows in found.items()])
+
+
+@query("register_values", f"{REGISTERS} SELECT DISTINCT {G}, vtag, vtext FROM obs")
+def register_values(spark, d):
+    return audit.register_values(A.observations(spark, d))
+
+
+@query("traffic_cube", f"WITH {EV} SELECT coalesce(record_id, 'all') AS record_id, coalesce(field, 'all') AS field, count(*) AS n, count(DISTINCT author) AS n_authors FROM ev GROUP BY CUBE (record_id, field)")
+def traffic_cube(spark, d):
+    """Writes and writers by record and field, with all totals."""
+    by = A.events(spark, d).cube("record_id", "field").agg(F.count("*").alias("n"), F.count_distinct("author").alias("n_authors"))
+    return by.select(F.coalesce("record_id", F.lit("all")).alias("record_id"), F.coalesce("field", F.lit("all")).alias("field"), "n", "n_authors")
+
+
 # --- clocks and review
 
 
@@ -296,6 +326,20 @@ def day_in_zone(spark, d):
 # --- sessions, links, retention
 
 
+@query("battery_per_session", "WITH s AS (SELECT (60 + event_id % 40 - (60 + event_id % 40 - event_id % 5)) * 3600000.0 / (60000 * (1 + event_id % 30)) AS x FROM events WHERE event_id % 4 <> 0) SELECT count(*) AS n, round(quantile_cont(x, 0.5), 6) AS p50, round(quantile_cont(x, 0.95), 6) AS p95 FROM s")
+def battery_per_session(spark, d):
+    full = F.col("event_id") % 40 + 60
+    rows = A.table(spark, d, "events").select(full.alias("start_pct"), (full - F.col("event_id") % 5).alias("end_pct"), (F.col("event_id") % 4 == 0).alias("charging"), (60_000 * (F.col("event_id") % 30 + 1)).alias("ms"))
+    return reporting.battery(rows).select("n", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
+
+
+@query("crash_free_sessions", "WITH s AS (SELECT CASE user_id % 3 WHEN 0 THEN 2048 WHEN 1 THEN 3072 ELSE 4096 END AS ram_mb, event_id % 17 = 0 AS crashed, event_id % 17 = 1 AS killed FROM events) SELECT ram_mb, count(*) AS n, count(*) FILTER (crashed) AS n_crashed, count(*) FILTER (killed) AS n_killed, CAST(floor((count(*) - count(*) FILTER (crashed OR killed)) * 1000 / count(*)) AS BIGINT) AS permille FROM s GROUP BY ram_mb")
+def crash_free_sessions(spark, d):
+    last = F.col("event_id") % 17
+    rows = A.table(spark, d, "events").select(F.element_at(F.array(*map(F.lit, (2048, 3072, 4096))), (F.col("user_id") % 3 + 1).cast("int")).alias("ram_mb"), F.when(last == 0, "crash").when(last == 1, "killed").otherwise("done").alias("ended"))
+    return reporting.crash_free(rows)
+
+
 @query("sliding_traffic", "SELECT 'w' || (user_id % 3) AS replica_id, to_timestamp(w * 3600) AT TIME ZONE 'UTC' AS first_at, count(*) AS n FROM (SELECT user_id, unnest([epoch_us(ts) // 3600000000, epoch_us(ts) // 3600000000 - 1]) AS w FROM events) GROUP BY ALL")
 def sliding_traffic(spark, d):
     rows = A.table(spark, d, "events").select(F.concat(F.lit("w"), F.col("user_id") % 3).alias("replica_id"), F.col("ts").cast("timestamp").alias("at"))

@@ -207,3 +207,23 @@ def decoded_seen(wire: DataFrame) -> DataFrame:
     return wire.select("replica_id", F.explode("seen").alias("t")).select("replica_id", decode(F.col("t")).alias("h")).select("replica_id", "h.*")
 
 
+
+
+#: File formats of atom tables and the options that keep every value as it is.
+FORMATS = {
+    "parquet": {},
+    "orc": {},
+    "json": {"ignoreNullFields": "false"},
+    "csv": {"header": "true", "nullValue": "\\N", "escape": '"'},
+}
+
+
+def write_atoms(rows: DataFrame, path: str, kind: str = "parquet") -> None:
+    """A table of atoms in one of the formats."""
+    rows.write.format(kind).options(**FORMATS[kind]).save(path)
+
+
+def read_atoms(spark: SparkSession, path: str, schema, kind: str = "parquet") -> DataFrame:
+    """A table of atoms of a schema; what text formats hold that does not fit it is an error."""
+    strict_mode = {"mode": "FAILFAST"} if kind in ("csv", "json") else {}
+    return spark.read.format(kind).schema(schema).options(**FORMATS[kind], **strict_mode).load(path)
