@@ -150,12 +150,11 @@ def series_merge(spark, d):
 
 @query(
     "series_merge_lineitem",
-    """SELECT record_id, field, pt, c, node, value, taken_at, recorded_by FROM (SELECT *, row_number() OVER (PARTITION BY record_id, field ORDER BY pt, c, node, taken_at, recorded_by, value) AS rn FROM
+    """SELECT record_id, field, pt, c, node, value, taken_at, recorded_by FROM (SELECT *, row_number() OVER (PARTITION BY record_id, field ORDER BY pt, c, node, value, taken_at, recorded_by) AS rn FROM
     (SELECT CAST(l_orderkey AS VARCHAR) AS record_id, CAST(l_linenumber AS VARCHAR) AS field, CAST(floor(l_extendedprice) AS BIGINT) AS value, l_returnflag AS taken_at, l_linestatus AS recorded_by, epoch_us(l_shipdate) // 1000 AS pt, l_partkey AS c, CAST(l_suppkey AS VARCHAR) AS node FROM lineitem)) WHERE rn = 1""",
 )
 def series_merge_lineitem(spark, d):
-    rows = A.lineitem_entries(spark, d)
-    return rows.groupBy(*GROUP).agg(F.min(merge.entry_order()).alias("e")).select(*GROUP, "e.pt", "e.c", "e.node", "e.value", "e.taken_at", "e.recorded_by")
+    return merge.series(A.lineitem_entries(spark, d), ()).drop("supersedes")
 
 
 @query("orset_adds_merge", f"{ORSET} SELECT * FROM adds")
@@ -543,12 +542,12 @@ def audit_phantom(spark, d):
     return audit.no_phantom_measurements(log, present, DEDUP_COLUMNS)
 
 
-@query("audit_resurrected", f"{ORSET} SELECT 'removals_are_honoured' AS invariant, a.record_id, a.field, 'A' AS replica_id, {ENC.format('a.')} AS detail FROM adds a JOIN removes r ON r.record_id = a.record_id AND r.field = a.field AND r.pt = a.pt AND r.c = a.c AND r.node = a.node WHERE a.c % 2 = 0")
+@query("audit_resurrected", f"{ORSET} SELECT 'removals_are_honoured' AS invariant, a.record_id, a.field, 'A' AS replica_id, {ENC.format('a.')} AS detail FROM adds a JOIN removes r ON r.record_id = a.record_id AND r.field = a.field AND r.pt = a.pt AND r.c = a.c AND r.node = a.node WHERE a.c % 2 = 0 AND r.c % 7 <> 2")
 def audit_resurrected(spark, d):
     adds, removes = A.orset(spark, d)
     kept = merge.orset_adds(adds).where("c % 2 = 0").withColumn("replica_id", F.lit("A"))
     log = removes.select("replica_id", *GROUP, F.col("pt").alias("removed_pt"), F.col("c").alias("removed_c"), F.col("node").alias("removed_node"), *STAMP)
-    return audit.removals_are_honoured(log, spark.createDataFrame([], "replica_id string, pt long, c long, node string"), kept)
+    return audit.removals_are_honoured(log, log.where("c % 7 = 2"), kept)
 
 
 @query("audit_regressed_hlc", f"{LOG}, m AS (SELECT * REPLACE (pt - CASE WHEN event_id % 50 = 7 THEN 86400000 ELSE 0 END AS pt) FROM log), l AS (SELECT *, lag({{'pt': pt, 'c': c, 'node': node}}) OVER (PARTITION BY replica_id ORDER BY log_seq) AS b FROM m) SELECT 'hlc_causality_respected' AS invariant, record_id, field, replica_id, {ENC.format('')} AS detail FROM l WHERE b IS NOT NULL AND NOT b < {{'pt': pt, 'c': c, 'node': node}}")
@@ -573,10 +572,11 @@ def audit_observation_lost(spark, d):
     return audit.no_observation_lost(log, stamps, A.observations(spark, d), _live(spark))
 
 
-@query("audit_tag_lost", f"{ORSET}, a2 AS (SELECT DISTINCT replica_id, {G}, element, pt, c, node FROM s2 WHERE event_id % 4 <> 0), live2 AS (SELECT 'A' AS replica_id UNION ALL SELECT 'C') SELECT 'no_tag_lost' AS invariant, w.record_id, w.field, l.replica_id, concat_ws('|', w.element, w.pt, w.c, w.node) AS detail FROM adds w, live2 l WHERE NOT EXISTS (SELECT 1 FROM a2 h WHERE h.replica_id = l.replica_id AND h.record_id = w.record_id AND h.field = w.field AND h.element = w.element AND h.pt = w.pt AND h.c = w.c AND h.node = w.node)")
+@query("audit_tag_lost", f"{ORSET}, a2 AS (SELECT DISTINCT replica_id, {G}, element, pt, c, node FROM s2 WHERE event_id % 4 <> 0), live2 AS (SELECT 'A' AS replica_id UNION ALL SELECT 'C') SELECT 'no_tag_lost' AS invariant, w.record_id, w.field, l.replica_id, concat_ws('|', w.element, w.pt, w.c, w.node) AS detail FROM adds w, live2 l WHERE w.c % 7 <> 2 AND NOT EXISTS (SELECT 1 FROM a2 h WHERE h.replica_id = l.replica_id AND h.record_id = w.record_id AND h.field = w.field AND h.element = w.element AND h.pt = w.pt AND h.c = w.c AND h.node = w.node)")
 def audit_tag_lost(spark, d):
     adds, _ = A.orset(spark, d)
-    return audit.no_tag_lost(adds.where("replica_id = 'C'"), spark.createDataFrame([], "replica_id string, pt long, c long, node string"), adds, _live(spark))
+    log = adds.where("replica_id = 'C'")
+    return audit.no_tag_lost(log, log.where("c % 7 = 2"), adds, _live(spark))
 
 
 @query("audit_converged", f"{REGISTERS}, f AS (SELECT replica_id, {G}, string_agg(vtext || pt, ',' ORDER BY pt, c, node) AS s FROM r0 WHERE replica_id IN ('A', 'C') GROUP BY ALL) SELECT 'all_converged' AS invariant, record_id, field, '' AS replica_id, count(DISTINCT s) || ' states, on ' || count(DISTINCT replica_id) || ' of 2 replicas' AS detail FROM f GROUP BY {G} HAVING count(DISTINCT s) > 1 OR count(DISTINCT replica_id) < 2")
@@ -599,12 +599,12 @@ def audit_signals_deterministic(spark, d):
     return audit.review_signals_deterministic(merge.union(*found), _live(spark))
 
 
-@query("audit_status_at_least", f"{positions_sql(('s0', 's1', 's2', 's3'), record=chr(39) + 'u' + chr(39) + ' || user_id')}, want AS (SELECT {G}, max(value) AS w FROM p0 GROUP BY {G}), held AS (SELECT replica_id, {G}, max(value) AS v FROM positions GROUP BY ALL), live AS (SELECT 'A' AS replica_id UNION ALL SELECT 'C') SELECT 'status_at_least' AS invariant, w.record_id, w.field, l.replica_id, coalesce(v, 'missing') AS detail FROM want w CROSS JOIN live l LEFT JOIN held h ON h.replica_id = l.replica_id AND h.record_id = w.record_id AND h.field = w.field WHERE v IS NULL OR v < w.w")
+@query("audit_status_at_least", f"{positions_sql(('s0', 's1', 's2', 's3'), record=chr(39) + 'u' + chr(39) + ' || user_id')}, want AS (SELECT {G}, max(value) AS w FROM p0 WHERE length(record_id) <> 3 GROUP BY {G}), held AS (SELECT replica_id, {G}, max(value) AS v FROM positions GROUP BY ALL), live AS (SELECT 'A' AS replica_id UNION ALL SELECT 'C') SELECT 'status_at_least' AS invariant, w.record_id, w.field, l.replica_id, coalesce(v, 'missing') AS detail FROM want w CROSS JOIN live l LEFT JOIN held h ON h.replica_id = l.replica_id AND h.record_id = w.record_id AND h.field = w.field WHERE v IS NULL OR v < w.w")
 def audit_status_at_least(spark, d):
     rows = A.positions(spark, d, by_user=True)
-    log = rows.where("replica_id = 'C'").withColumns({"pt": F.lit(0).cast("bigint"), "c": F.lit(0).cast("bigint"), "node": F.lit("n")})
+    log = rows.where("replica_id = 'C'").withColumns({"pt": F.lit(0).cast("bigint"), "c": F.length("record_id").cast("bigint"), "node": F.lit("n")})
     held = rows.groupBy("replica_id", *GROUP).agg(F.max("value").alias("value"))
-    return audit.status_at_least(log, spark.createDataFrame([], "replica_id string, pt long, c long, node string"), held, _live(spark), TOTAL_ORDER)
+    return audit.status_at_least(log, log.where("c = 3"), held, _live(spark), TOTAL_ORDER)
 
 
 @query("crash_losses", f"{LOG} SELECT DISTINCT replica_id, pt, c, node FROM log l WHERE replica_id IN ('R1', 'R3') AND NOT (event_id % 3 = 0) AND NOT EXISTS (SELECT 1 FROM log o WHERE o.event_id % 4 = 0 AND o.pt = l.pt AND o.c = l.c AND o.node = l.node)")
