@@ -2,6 +2,7 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from tributary.llm import common
 from tributary.llm.common import arrow_bytes, row_ranges, word_hashes
 
 TEXT = st.text(alphabet="abcABC \t\n\x0b\x1c\x85é", max_size=40)
@@ -28,3 +29,11 @@ def test_row_ranges_cover_all():
     offsets = np.array([0, 5, 5, 30, 31])
     got = row_ranges(offsets, 10)
     assert got[0][0] == 0 and got[-1][1] == 4 and all(a[1] == b[0] for a, b in zip(got, got[1:]))
+
+
+def test_the_filter_of_texts_loses_none(spark):
+    docs = spark.range(5000).selectExpr("CASE WHEN id = 7 THEN NULL ELSE id END AS doc_id", "'x' AS text")
+    wanted = docs.where("doc_id % 50 = 3 OR doc_id IS NULL").selectExpr("doc_id AS least")
+    kept = [r["doc_id"] for r in common.perhaps(docs, "doc_id", wanted).collect()]
+    assert {r["least"] for r in wanted.collect()} <= set(kept) and len(kept) < 130 and kept.count(None) == 1
+    assert common.perhaps(docs, "doc_id", wanted.limit(0)).count() == 0
