@@ -6,7 +6,7 @@ each integer that this sum, plus one random offset of the source, passes in it.
 goes by size, words taken come near the target as well.
 
 The running sum is two-level, so a source with a third of all rows is not one task: rows are dealt into bins (size class and, by the class's number of rows, a hash), counted,
-and the sum before each bin is added to the sum within it. All native; only ids and sizes are shuffled. The random offset comes from the
+and the sum before each bin is added to the sum within it. All native; texts are scanned once for their sizes, and only ids and sizes are shuffled. The random offset comes from the
 seed and the source's name, so reruns agree.
 
 Cases: a null text has size 0; a null source is a source, sorted last; sources without words have target 0 and their documents are taken 0 times;
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import column, documents, words_in
+from .common import column, documents, words_in, written
 
 #: Weights of the sources in the order of their code points, null last, repeating.
 WEIGHTS = (3, 1, 2)
@@ -60,9 +60,10 @@ def _row_hash(df: DataFrame) -> Column:
 
 
 def _dealt(df: DataFrame, carried: list[str], source: str, text: str, weights: tuple[int, ...], percent: int, limit: int, seed: int, bin_rows: int) -> DataFrame:
-    """(row, tie, size, source_size, target, copies): row is a struct of the carried columns, so that none of their names matters here."""
-    rows = df.select(F.struct(*map(column, carried)).alias("row"), column(source).alias("source"), words_in(column(text)).alias("size"), _row_hash(df).alias("tie"))
-    rows = rows.withColumn("level", F.floor(F.log2(F.col("size") + 1) * 4))
+    """(row, tie, size, source_size, target, copies): row is a struct of the carried columns as f0, f1 and so on, so that none of their names matters here."""
+    fields = [column(c).alias(f"f{i}") for i, c in enumerate(carried)] or [F.lit(0).alias("none")]
+    rows = df.select(F.struct(*fields).alias("row"), column(source).alias("source"), words_in(column(text)).alias("size"), _row_hash(df).alias("tie"))
+    rows = written(rows.withColumn("level", F.floor(F.log2(F.col("size") + 1) * 4)), "sizes")  # texts are scanned once
     cells = rows.groupBy("source", "level").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
     found = cells.groupBy("source").agg(F.sum("size").alias("source_size"))
     aims = targets(found, weights, percent, limit)
@@ -92,7 +93,7 @@ def copies(df: DataFrame, source: str = "source", text: str = "text", weights: t
     added = ["size", "source_size", "target", "copies", "taken"]
     carried = [c for c in df.columns if c != text and c not in added]
     out = _dealt(df, carried, source, text, weights, percent, limit, seed, bin_rows)
-    fields = [F.col("row").getField(c).alias(c) for c in carried]
+    fields = [F.col("row").getField(f"f{i}").alias(c) for i, c in enumerate(carried)]
     return out.select(*fields, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
@@ -107,3 +108,10 @@ def mix(df: DataFrame, source: str = "source", text: str = "text", weights: tupl
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of every document the mixture takes."""
     return copies(documents(spark, sf_dir, "doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size and target of every source, and how many documents the mixture takes at most twice."""
+    rows = copies(documents(spark, sf_dir, "doc_id", "source", "text"))
+    limit = F.count_if((F.col("taken") < 0) | (F.col("taken") > 2 * F.col("size")))
+    return rows.groupBy("source").agg(F.max("source_size").alias("source_size"), F.round(F.max("target"), 6).alias("target"), F.count("*").alias("n_documents"), limit.alias("n_beyond"))
