@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_bytes, documents, fold_of, mix64, row_ranges, word_hashes, work_dir, written
+from .common import arrow_bytes, column, delete, documents, fold_of, mix64, row_ranges, word_hashes, work_dir, written
 
 SAMPLES = 3
 BURN, BETWEEN = 6, 3
@@ -656,15 +656,14 @@ def forget(spark: SparkSession, path: str) -> None:
     """Deletes a written table that no later step reads, and lets Spark drop the shuffles of tables that are gone."""
     gc.collect()
     spark._jvm.System.gc()
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    delete(spark, path)
 
 
 def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 5, held: int = 1, seed: int = 1, bucket_bytes: int = 4 << 20) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity) of each row of docs."""
     spark = docs.sparkSession
     folder = work_dir(spark)
-    docs = docs.select(F.col(text).alias("text"), (fold_of(F.col(key), folds) != held).alias("train"), F.col(key).cast("bigint").alias("doc_id"))
+    docs = docs.select(column(text).alias("text"), (fold_of(column(key), folds) != held).alias("train"), column(key).cast("bigint").alias("doc_id"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, -(-size // bucket_bytes))
     parts = max(8, buckets // 16)
