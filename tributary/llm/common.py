@@ -38,19 +38,18 @@ def numbered(df: DataFrame) -> DataFrame:
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
 
 
-#: Bits of the filter that keeps texts from being moved in vain: 2048 rows of 4 KB, whatever the size of the input.
-FILTER_BITS = 1 << 26
+#: Bits of the filter that keeps texts from being moved in vain: at most 262144 rows of 64 bits, whatever the size of the input.
+FILTER_BITS = 1 << 24
 
 
 def perhaps(df: DataFrame, name: str, values: DataFrame) -> DataFrame:
     """df without most rows whose value of a column is not in the one column of values: a bitmap of hashes, which is broadcast; an exact join follows."""
-    bit_of = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(FILTER_BITS))
-    bits = values.select(bit_of(values.columns[0]).alias("bit"))
-    bitmap = bits.groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bitmap"))
-    marked = df.withColumn("bit", bit_of(name)).withColumn("part", F.bitmap_bucket_number("bit")).join(F.broadcast(bitmap), "part")
-    place = F.bitmap_bit_position("bit").cast("int")
-    byte = F.conv(F.hex(F.substring(F.col("bitmap"), (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return marked.where(F.getbit(byte, place % 8) == 1).select(*df.columns)
+    bit = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(FILTER_BITS))
+    word, inside = F.expr("shiftright(bit_, 6)").alias("word_"), F.expr("CAST(bit_ & 63 AS INT)")
+    bits = values.select(bit(values.columns[0]).alias("bit_")).select(word, F.expr("shiftleft(1L, CAST(bit_ & 63 AS INT))").alias("mask_"))
+    bitmap = bits.groupBy("word_").agg(F.bit_or("mask_").alias("mask_"))
+    marked = df.withColumn("bit_", bit(name)).withColumn("word_", word).join(F.broadcast(bitmap), "word_")
+    return marked.where(F.getbit("mask_", inside) == 1).select(*df.columns)
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:

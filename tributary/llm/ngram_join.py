@@ -3,7 +3,7 @@
 The link is exact: Jaccard similarity of the sets of word 5-grams of at least 75 %. Equal sets are one class and are compared once.
 
 1. Each set's least hashes (a quarter of it and a share of LEAST more) are dealt into hash buckets. Sets that link share at least a known number of those, so a
-   class with fewer shared ones is alone. Most of a corpus ends here, without its other n-grams ever moving.
+   class with fewer shared ones is alone. Most of a corpus ends here, without its text or its other n-grams ever moving.
 2. The others' whole sets are counted in buckets the same way. A class needs three quarters of its n-grams in other sets. What is left orders its n-grams by
    how many sets hold them, rarest first, and linked sets share one of the first quarter. Passages that many documents share come last in that order (above 65535 holders by hash alone), so they
    join nothing. Classes that share such an n-gram form a block, and blocks hold whole components.
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_bytes, documents, mix64, numbered, row_ranges, word_hashes, work_dir, written
+from .common import arrow_bytes, documents, mix64, numbered, perhaps, row_ranges, word_hashes, work_dir, written
 from .components import components
 
 K = 5
@@ -372,7 +372,7 @@ def _grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", bucket_by
     needed = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * NUMERATOR / DENOMINATOR) * LEAST))
     maybe = classes.join(shared, "c").where(F.col("shared") >= needed)
     maybe = written(maybe.select("c", "d", "least"), "maybe", folder)
-    texts = docs.alias("x").join(maybe.hint("merge").alias("m"), F.col("x.doc_id").eqNullSafe(F.col("m.least"))).select("x.text", "m.c", "m.d")
+    texts = perhaps(docs, "doc_id", maybe.select("least")).alias("x").join(maybe.hint("merge").alias("m"), F.col("x.doc_id").eqNullSafe(F.col("m.least"))).select("x.text", "m.c", "m.d")
     sets = written(whole_sets(texts), "whole", folder)
     edges = written(candidate_edges(sets, buckets), "candidates", folder)
     blocks = components(edges)
@@ -393,6 +393,11 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_groups(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def ngram_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The size of every document's set of shingles."""
+    return op2_ngram_join(spark, sf_dir).select("doc_id", "n_shingles")
+
+
 def keep_one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs with one row of each component: that with the least id (an id before none), of several texts with that id the one with the least digest. Texts without words are not copies of others."""
     names, carried = docs.columns, numbered(docs)
