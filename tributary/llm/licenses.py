@@ -7,7 +7,7 @@ verified: its words are compared with the template's by their edit distance, wor
 Templates are a small fixed table, which is what gets broadcast; any other list of (text, label) can be given, also of whole licenses.
 
 One scan finds the candidates and shuffles joined grams only, added up first; each text adds one closing row that carries its number of words, so texts without a match
-stay in the result. A second scan splits only the texts that have a candidate.
+stay in the result. A second scan splits only the texts that have a candidate; a small bitmap keeps the others from being moved.
 
 Cases: a null or empty text has no words and no labels; repeated rows are one row of the result each; a null id
 is an id; matches cross neither rows nor the end of a text; overlapping spans all count, so there are no ties to break; a very long text is one row for each of its words, none of which holds
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import column, documents, lower_ascii, written
+from .common import column, documents, lower_ascii, perhaps, written
 
 LICENSE_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases whose every place counts, and their labels.
@@ -110,7 +110,7 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", base=BASE, temp
     likely = merged.where(F.col("votes") >= F.lit(coverage) * F.col("total")).select(*line, "first", "last")
     wanted = likely.join(F.broadcast(templates_table(df.sparkSession, base, templates, k).select("template", F.col("words").alias("wanted"))), "template")
     again = df.select(column(key).alias("k"), F.xxhash64(column(text)).alias("h"), column(text).alias("t"))
-    held = again.join(wanted, F.col("k").eqNullSafe(F.col("key")) & (F.col("h") == F.col("text_hash"))).dropDuplicates([*line, "first", "last"])
+    held = perhaps(again, "h", likely.select("text_hash")).join(wanted, F.col("k").eqNullSafe(F.col("key")) & (F.col("h") == F.col("text_hash"))).dropDuplicates([*line, "first", "last"])
     own = F.slice(F.regexp_extract_all(lower_ascii(F.col("t")), F.lit(LICENSE_WORD), F.lit(0)), F.col("first") + 1, F.col("last") - F.col("first") + 1)
     verified = held.select(*line, "first", "last", _likeness(own, F.col("wanted")).alias("score")).where(F.col("score") >= likeness)
     labelled = whole.unionByName(verified).join(F.broadcast(templates_table(df.sparkSession, base, templates, k).select("template", "label", "is_base")), "template")
