@@ -371,3 +371,8 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text").selectExpr("doc_id", "coalesce(octet_length(text), 0L) AS n_bytes", "text")
     stored = probe(encode(docs).drop("text")).drop("n_tracks", "error")
     return stored.mapInArrow(digest, schema)
+
+
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and digests of every document's payload, read back from its container."""
+    return op8_media_columns(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")

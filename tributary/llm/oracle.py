@@ -16,7 +16,7 @@ def license_scan(k: int = 3, slack: int = 3, gap: int = 6, coverage: float = 0.6
     sizes = sorted({min(k, len(r[3].split())) for r in rows})
     leads = ", ".join(f"lead(word, {i}) OVER o AS w{i}" for i in range(1, max(sizes)))
     grams = " UNION ALL ".join(f"SELECT doc_id, pos, {n} AS size, concat_ws(' ', word, {', '.join(f'w{i}' for i in range(1, n))}) AS gram FROM e WHERE w{n - 1} IS NOT NULL" for n in sizes)
-    signs = lambda words: f"list_aggregate(list_transform({words}, x -> chr(33 + coalesce(list_position(ws, x), 0)::INT)), 'string_agg', '')"
+    signs = lambda words: f"list_aggregate(list_transform({words}, lambda x: chr(33 + coalesce(list_position(ws, x), 0)::INT)), 'string_agg', '')"
     return f"""WITH t(template, label, is_base, phrase) AS (VALUES {values}),
     tw AS (SELECT *, string_split(phrase, ' ') AS ws FROM t), ts AS (SELECT *, least({k}, len(ws)) AS size FROM tw), tt AS (SELECT *, len(ws) - size + 1 AS total FROM ts),
     tp AS (SELECT *, unnest(range(0, total)) AS tpos FROM tt), g AS (SELECT template, label, is_base, total, size, tpos, array_to_string(ws[tpos + 1 : tpos + size], ' ') AS gram FROM tp),
@@ -60,4 +60,20 @@ def secret_spans() -> str:
     FROM docs d LEFT JOIN b ON b.doc_id = d.doc_id LEFT JOIN a ON a.doc_id = d.doc_id LEFT JOIN (SELECT doc_id, max(repositories) AS r, max(owners) AS o FROM c JOIN o ON o.value = c.value GROUP BY doc_id) h ON h.doc_id = d.doc_id"""
 
 
-SQL = {"op3_license_scan": license_scan(), "op7_secret_scan": secret_spans()}
+TARGETS = r"""WITH RECURSIVE d AS (SELECT source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+    s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n_documents, row_number() OVER (ORDER BY source IS NULL, encode(source)) AS k FROM d GROUP BY source),
+    w AS (SELECT *, 2.0::DOUBLE * source_size AS cap, [3, 1, 2][(k - 1) % 3 + 1]::DOUBLE AS weight FROM s),
+    -- rounds of sharing: who would get more than its limit is full, and the rest is shared again
+    r AS (SELECT 0 AS round, k, false AS is_full FROM w
+      UNION ALL SELECT round + 1, k, is_full OR level * weight > cap FROM (SELECT r.round, r.k, r.is_full, w.cap, w.weight,
+        ((SELECT sum(source_size) * 1.5 FROM w) - coalesce(sum(w.cap) FILTER (r.is_full) OVER (), 0)) / sum(w.weight) FILTER (NOT r.is_full) OVER () AS level FROM r JOIN w ON w.k = r.k) WHERE round < 40),
+    l AS (SELECT r.k, r.is_full, ((SELECT sum(source_size) * 1.5 FROM w) - coalesce(sum(w.cap) FILTER (r.is_full) OVER (), 0)) / sum(w.weight) FILTER (NOT r.is_full) OVER () AS level FROM r JOIN w ON w.k = r.k WHERE round = 40)
+    SELECT source, source_size, round(CASE WHEN is_full THEN cap ELSE level * weight END, 6) AS target, n_documents, CAST(0 AS BIGINT) AS n_beyond FROM w JOIN l ON l.k = w.k"""
+
+SIZES = f"""WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents)
+    SELECT doc_id, CAST(CASE WHEN len(w) = 0 THEN 0 WHEN len(w) < 5 THEN 1 ELSE len(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')))) END AS BIGINT) AS n_shingles FROM d"""
+
+PAYLOADS = """WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents), p AS (SELECT *, CAST(greatest(64, (octet_length(b) + 63) // 64 * 64) AS BIGINT) AS n FROM d)
+    SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, n AS payload_bytes, sha256(b || repeat('\\x00'::BLOB, n - octet_length(b))) AS payload_sha256 FROM p"""
+
+SQL = {"op3_license_scan": license_scan(), "op7_secret_scan": secret_spans(), "mixing_targets": TARGETS, "ngram_sizes": SIZES, "media_payloads": PAYLOADS}

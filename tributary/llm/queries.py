@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_secret_scan": secret_scan.op7_secret_scan,
         "op8_media_columns": media.op8_media_columns,
         "op9_decontamination": decontamination.op9_decontamination,
+        "mixing_targets": mixing.mixing_targets,
+        "ngram_sizes": ngram_join.ngram_sizes,
+        "media_payloads": media.media_payloads,
     }
 
 
