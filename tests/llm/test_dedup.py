@@ -12,7 +12,7 @@ from .conftest import ODD, make, prose
 
 
 def brute(rows):
-    """One result for each different (id, text), ids in order, nulls first."""
+    """One result for each row, ids in order, nulls first; rows of one id and text are one document."""
     seen, out = set(), {}
     for d, t in sorted({(r[0], r[1] or "") for r in rows}, key=lambda r: (r[0] is not None, r[0] or 0)):
         b = t.encode()
@@ -24,7 +24,7 @@ def brute(rows):
             seen.add(w)
         spans = int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(len(gone) > 0 and gone[0])
         out[d, t] = (d, len(b), int(gone.sum()), spans, hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest())
-    return sorted(out.values(), key=repr)
+    return sorted((out[r[0], r[1] or ""] for r in rows), key=repr)
 
 
 def got(df):
@@ -66,6 +66,22 @@ def test_repeated_rows_keep_their_first_occurrence(spark):
         assert got(X.remove_repeats(make(spark, some))) == brute(some)
 
 
+def test_hot_anchors_are_split_without_loss(spark, monkeypatch):
+    monkeypatch.setattr(X, "HOT", 3)
+    r = random.Random(8)
+    passage = prose(900, 60)
+    rows = [(i, prose(i, r.randint(0, 12)) + passage[r.randint(0, 20) : r.randint(200, 330)] + prose(1000 + i % 7, r.randint(0, 20)), "en", "a") for i in range(60)]
+    rows += [(100, "a" * 400, "en", "a"), (101, passage, "en", "a"), (101, passage, "en", "a"), (102, passage + passage, "en", "a")]
+    assert got(X.remove_repeats(make(spark, rows), bucket_bytes=2000)) == brute(rows)
+    assert got(X.remove_repeats(make(spark, rows[::-1]).repartition(6))) == brute(rows)
+    spot = np.zeros(1, X._SPOT)
+    spot["first"], spot["run"], spot["skip"], spot["hot"] = 5, 30, 40, 1
+    raw = np.frombuffer(prose(1, 100).encode(), np.uint8)
+    parts, _, keys = X._split(spot, np.zeros(1, np.int64), raw, np.zeros(1, np.int64))
+    windows = sorted((int(p["first"]) + i, int(p["skip"]) - i) for p in parts for i in range(int(p["run"]) + 1))
+    assert windows == [(5 + i, 40 - i) for i in range(31)] and len(keys) == len(parts) == 5
+
+
 SYMBOLS = st.lists(st.lists(st.integers(0, 2), max_size=6), max_size=4)
 
 

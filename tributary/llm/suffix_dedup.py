@@ -7,15 +7,17 @@ of the ANCHOR-byte pieces in a window, an anchor, depends on the window's bytes
 
 1. the anchors of all texts are dealt into buckets by hash (one shuffle; positions only). An anchor that only one text and place has ends here, as do all but
    the first of equal texts, which are wholly repeated anyway;
-2. the windows of the remaining anchors are cut out of their texts, as snippets, and dealt by anchor hash again. Equal snippets go in once, for the first;
+2. the windows of the remaining anchors are cut out of their texts, as snippets, and dealt by anchor hash again. Equal snippets go in once, for the first. An anchor that occurs very often
+   (HOT) is dealt by the bytes around it instead, in parts of SPAN distances, and equal snippets of a piece of text are merged before they are sent;
 3. in a bucket, the snippets of SHARDS groups of input batches are strings of SYMBOL-byte symbols. Each shard gets its Burrows-Wheeler transform; the transforms are merged
    by refining their interleave to LENGTH bytes. Blocks of the merged order are windows with a common prefix of LENGTH: all but the first start of a block are repeated;
 4. the repeated starts go back to their texts as ranges.
 
 Buckets follow the size of the input, so a task holds one bucket's positions or snippets. Texts move twice, and only those that have a twin anchor. Nothing reaches the driver but sizes.
 
-Cases: a null text has 0 bytes; texts shorter than LENGTH keep everything; a null id comes before all ids; rows with the same id and text are one row of the result, rows
-with one id and different texts are ordered by a hash of the text; empty tables give empty results; extra columns are ignored.
+Cases: a null text has 0 bytes; texts shorter than LENGTH keep everything; a null id comes before all ids; repeated rows (one id and text) are one document, with
+a row of the result each; ties, which are different texts of one id, are ordered by a hash of the text; a very long text is cut into runs of windows like all others; empty tables give empty results;
+extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bwt import END, merge_all, transform
-from .common import arrow_bytes, documents, mix64, row_ranges, work_dir, written
+from .common import arrow_bytes, column, documents, mix64, row_ranges, work_dir, written
 
 LENGTH, ANCHOR, SYMBOL = 100, 56, 50
 REACH = LENGTH - ANCHOR  # a window has REACH + 1 pieces
@@ -39,6 +41,8 @@ SHARDS = 4
 SNIPPET_BUCKETS = 4
 #: Windows sorted at once, unless more share an anchor at one distance.
 AT_ONCE = 150_000
+#: An anchor that occurs oftener is split by what surrounds it: its windows at SPAN distances each go by the bytes that all of these cover.
+HOT, SPAN = 2000, 8
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
 
@@ -138,7 +142,7 @@ def positions(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 FOUND = "doc_id long, digest long, found binary"
-_SPOT = np.dtype([("hash", "<u8"), ("first", "<u4"), ("run", "u1"), ("skip", "u1")])
+_SPOT = np.dtype([("hash", "<u8"), ("first", "<u4"), ("run", "u1"), ("skip", "u1"), ("hot", "u1")])
 
 
 def _twins(table: pa.Table) -> pa.Table:
@@ -167,6 +171,7 @@ def _twins(table: pa.Table) -> pa.Table:
         new = np.append(True, (h[1:] != h[:-1]) | (digests[1:] != digests[:-1]) | (f[1:] != f[:-1]) | (ids[1:] != ids[:-1]))
         ids, digests, spots = ids[new], digests[new], spots[new]
     _, which, often = np.unique(spots["hash"], return_inverse=True, return_counts=True)
+    spots["hot"] = often[which] > HOT
     again = often[which] > 1
     ids, digests, spots = ids[again], digests[again], spots[again]
     order = np.lexsort((spots["first"], digests, ids))
@@ -181,8 +186,53 @@ def _twins(table: pa.Table) -> pa.Table:
 SNIPPETS = "bucket int, batch long, ids binary, digests binary, hashes binary, firsts binary, runs binary, skips binary, bytes binary"
 
 
+def _contents(raw: np.ndarray, begin: np.ndarray, size: np.ndarray, chunk: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of the size bytes of raw from each begin; about chunk bytes are looked at at once."""
+    one, two = np.empty(len(size), np.uint64), np.empty(len(size), np.uint64)
+    upto, i = np.cumsum(size), 0
+    while i < len(size):
+        j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + chunk, "right")))
+        own = np.cumsum(size[i:j]) - size[i:j]
+        spread = np.arange(int(size[i:j].sum())) - np.repeat(own, size[i:j])
+        value = mix64((_cut_out(raw, begin[i:j], size[i:j]).astype(np.uint64) + np.uint64(1)) * _M[0] + spread.astype(np.uint64) * _M[1])
+        one[i:j] = np.add.reduceat(value, own)
+        two[i:j] = np.add.reduceat(mix64(value ^ _M[2]), own)
+        i = j
+    return one, two
+
+
+def _cut_out(raw: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return raw[np.repeat(begin - np.cumsum(size) + size, size) + np.arange(int(size.sum()))]
+
+
+def _split(spot: np.ndarray, row: np.ndarray, raw: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(spots, rows, keys to deal by): hot spots in parts of SPAN distances from the anchor, each with the hash of the bytes that all windows of its part cover. begin: where rows begin in raw."""
+    key = spot["hash"].copy()
+    hot = np.flatnonzero(spot["hot"])
+    if not len(hot):
+        return spot, row, key
+    shared = LENGTH - SPAN + 1
+    skip, run = spot["skip"][hot].astype(np.int64), spot["run"][hot].astype(np.int64)
+    parts, rows, keys = [spot[spot["hot"] == 0]], [row[spot["hot"] == 0]], [key[spot["hot"] == 0]]
+    for low in range(0, REACH + 1, SPAN):
+        least, most = np.maximum(low, skip - run), np.minimum(low + SPAN - 1, skip)
+        some = np.flatnonzero(least <= most)
+        part = spot[hot[some]]
+        part["first"] += (skip - most)[some].astype(np.uint32)
+        part["run"], part["skip"] = (most - least)[some], most[some]
+        anchor = begin[row[hot[some]]] + spot["first"][hot[some]] + skip[some]
+        parts.append(part)
+        rows.append(row[hot[some]])
+        around = _contents(raw, anchor - low, np.full(len(some), shared))[0]
+        keys.append(mix64(around + np.uint64(low + 1)))
+    return np.concatenate(parts), np.concatenate(rows), np.concatenate(keys)
+
+
 def snippets(found: DataFrame, buckets: int) -> DataFrame:
-    """The windows of (doc_id, digest, found, text), cut out and dealt by anchor hash."""
+    """The windows of (doc_id, digest, found, text), cut out and dealt by anchor hash.
+
+    Of equal snippets of a hot anchor in a piece of text only the first goes to its bucket; the others are repeated whatever else there is. They come without bytes, in buckets from ``buckets`` on.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -191,17 +241,31 @@ def snippets(found: DataFrame, buckets: int) -> DataFrame:
             raw, offsets = arrow_bytes(batch.column(3))
             spots = [np.concatenate([np.frombuffer(x, _SPOT) for x in v.as_py()]) for v in batch.column(2)]
             for a, b in row_ranges(offsets, 8 << 20):
-                row = np.repeat(np.arange(a, b), [len(s) for s in spots[a:b]])
+                row = np.repeat(np.arange(b - a), [len(s) for s in spots[a:b]])
                 if not len(row):
                     continue
-                spot = np.concatenate(spots[a:b])
+                text, at = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+                spot, row, key = _split(np.concatenate(spots[a:b]), row, text, at)
+                size = spot["run"].astype(np.int64) + LENGTH
+                begin = at[row] + spot["first"]
+                who, digest = ids[a:b][row], digests[a:b][row]
+                hot = np.flatnonzero(spot["hot"])
+                one, two = _contents(text, begin[hot], size[hot])
+                names = (key[hot], one, two, spot["run"][hot])
+                by = np.lexsort((spot["first"][hot], digest[hot], who[hot], *names[::-1]))
+                same = np.append(False, np.logical_and.reduce([x[by][1:] == x[by][:-1] for x in names])) if len(by) else np.empty(0, bool)
+                by = hot[by]
+                first = by[~same][np.cumsum(~same) - 1]  # of each group of equal snippets
+                copy = same & ((who[by] != who[first]) | (digest[by] != digest[first]) | (spot["first"][by] != spot["first"][first]))
+                later, kept = np.sort(by[copy]), np.sort(np.append(np.flatnonzero(spot["hot"] == 0), by[~same]))
                 rows = []
-                for k, take in _deal(((spot["hash"] >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)):
-                    s, r = spot[take], row[take]
-                    size = s["run"].astype(np.int64) + LENGTH
-                    begin = offsets[r] + s["first"]
-                    cut = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-                    rows.append((k, number, ids[r], digests[r], s["hash"].copy(), s["first"].copy(), s["run"].copy(), s["skip"].copy(), raw[cut]))
+                for k, take in _deal(((key[kept] >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)):
+                    t = kept[take]
+                    s = spot[t]
+                    rows.append((k, number, who[t], digest[t], key[t], s["first"].copy(), s["run"].copy(), s["skip"].copy(), _cut_out(text, begin[t], size[t])))
+                if len(later):
+                    s = spot[later]
+                    rows.append((buckets + number % buckets, number, who[later], digest[later], key[later], s["first"].copy(), s["run"].copy(), s["skip"].copy(), b""))
                 yield _batch(SNIPPETS, rows)
                 number += 1
 
@@ -261,30 +325,31 @@ def _removed(table: pa.Table) -> pa.Table:
     ids, digests, hashes = (_cat(rows, n, k) for n, k in (("ids", np.int64), ("digests", np.int64), ("hashes", np.uint64)))
     first, run, raw = _cat(rows, "firsts", np.uint32).astype(np.int64), _cat(rows, "runs", np.uint8).astype(np.int64), _cat(rows, "bytes", np.uint8)
     skip = _cat(rows, "skips", np.uint8).astype(np.int64)
+    if not len(raw):  # snippets that equal one before
+        who = np.repeat(np.arange(len(ids)), run + 1)
+        at = np.repeat(first, run + 1) + np.arange(int((run + 1).sum())) - np.repeat(np.cumsum(run + 1) - run - 1, run + 1)
+        return _as_ranges(ids[who], digests[who], at)
     shard = np.repeat(np.arange(len(rows)) * SHARDS // max(1, len(rows)), [len(r["ids"]) // 8 for r in rows])
     size = run + LENGTH
     begin = np.cumsum(size) - size
     rank = np.empty(len(ids), np.int64)
     rank[np.lexsort((first, digests, ids))] = np.arange(len(ids))
     # equal snippets: the first stands for all, the others are repeated as a whole
-    twice = np.zeros((2, len(ids)), np.uint64)
-    spread = np.arange(len(raw)) - np.repeat(begin, size)
-    value = mix64((raw.astype(np.uint64) + np.uint64(1)) * _M[0] + spread.astype(np.uint64) * _M[1])
-    del spread
-    twice[0] = np.add.reduceat(value, begin)
-    twice[1] = np.add.reduceat(mix64(value ^ _M[2]), begin)
-    del value
-    by = np.lexsort((rank, run, twice[1], twice[0], hashes))
+    one, two = _contents(raw, begin, size)
+    by = np.lexsort((rank, run, two, one, hashes))
     new = np.ones(len(by), bool)
-    new[1:] = (hashes[by][1:] != hashes[by][:-1]) | (twice[0][by][1:] != twice[0][by][:-1]) | (twice[1][by][1:] != twice[1][by][:-1]) | (run[by][1:] != run[by][:-1])
+    new[1:] = (hashes[by][1:] != hashes[by][:-1]) | (one[by][1:] != one[by][:-1]) | (two[by][1:] != two[by][:-1]) | (run[by][1:] != run[by][:-1])
     same = np.zeros(len(by), bool)  # cut from a repeated row: the very snippet before, which repeats nothing
     same[1:] = (ids[by][1:] == ids[by][:-1]) & (digests[by][1:] == digests[by][:-1]) & (first[by][1:] == first[by][:-1])
     whole, some = by[~new & ~same], np.sort(by[new])
-    cut = np.repeat(begin[some] - np.cumsum(size[some]) + size[some], size[some]) + np.arange(int(size[some].sum()))
-    owner, start = repeated_starts(size[some], raw[cut], rank[some], shard[some], hashes[some], skip[some])
+    owner, start = repeated_starts(size[some], _cut_out(raw, begin[some], size[some]), rank[some], shard[some], hashes[some], skip[some])
     who = np.concatenate([some[owner], np.repeat(whole, run[whole] + 1)])
     at = np.concatenate([first[some[owner]] + start, np.repeat(first[whole], run[whole] + 1) + (np.arange(int((run[whole] + 1).sum())) - np.repeat(np.cumsum(run[whole] + 1) - run[whole] - 1, run[whole] + 1))])
-    doc, digest = ids[who], digests[who]
+    return _as_ranges(ids[who], digests[who], at)
+
+
+def _as_ranges(doc: np.ndarray, digest: np.ndarray, at: np.ndarray) -> pa.Table:
+    """Repeated starts as ranges, by document."""
     by = np.lexsort((at, digest, doc))
     doc, digest, at = doc[by], digest[by], at[by]
     if not len(doc):
@@ -311,13 +376,13 @@ def _cut(ranges: list[bytes], size: int) -> tuple[np.ndarray, int]:
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", bucket_bytes: int = 8 << 20) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256): one row for each different (id, text)."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256): one row for each row of docs."""
     spark = docs.sparkSession
     folder = work_dir(spark)
     least_id = F.lit(-(1 << 63)).cast("bigint")
-    docs = docs.select(F.coalesce(F.col(key).cast("bigint"), least_id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("digest"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    docs = docs.select(F.coalesce(column(key).cast("bigint"), least_id).alias("doc_id"), F.xxhash64(F.coalesce(column(text), F.lit(""))).alias("digest"), F.coalesce(column(text), F.lit("")).alias("text"))
     heads = docs.select("doc_id", "digest", F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
-    heads = written(heads.groupBy("doc_id", "digest", "sha", "n_bytes").agg(F.count("*").alias("rows")).drop("rows"), "heads", folder)
+    heads = written(heads.groupBy("doc_id", "digest", "sha", "n_bytes").agg(F.count("*").alias("rows")), "heads", folder)
     size = heads.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(64, -(-size // bucket_bytes))
     twins = positions(docs, buckets).groupBy("bucket").applyInArrow(_twins, FOUND)
@@ -339,7 +404,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", buc
     touched = ranges.groupBy("doc_id", "digest").agg(F.collect_list("ranges").alias("ranges")).join(docs, ["doc_id", "digest"]).select("doc_id", "digest", "ranges", "text")
     done = written(touched.mapInArrow(finish, RESULT), "done", folder).dropDuplicates(["doc_id", "digest"])
     firsts = heads.groupBy("sha").agg(F.min("doc_id").alias("first"))
-    every = heads.join(firsts, "sha").join(done, ["doc_id", "digest"], "left")
+    every = heads.join(firsts, "sha").join(done, ["doc_id", "digest"], "left").withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows"))))
     copy = (F.col("doc_id") != F.col("first")) & (F.col("n_bytes") >= LENGTH)
     return every.select(
         F.nullif("doc_id", least_id).alias("doc_id"),
