@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,10 +32,29 @@ def work_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Spark's own switch: the shuffle files of a query go when it ends, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def dropping_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within it, a query that writes a table leaves no shuffle files behind. What it wrote is reread, so nothing needs them again."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 def written(df: DataFrame, name: str = "table", folder: str | None = None) -> DataFrame:
     """Writes df as Parquet in the shared folder and rereads it. This cuts the lineage: a lost executor loses nothing of it."""
     path = f"{folder or work_dir(df.sparkSession)}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
+    with dropping_shuffles(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
