@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import delete, work_dir, written  # noqa: F401  for the operators
+from ..shared import delete, dropping_shuffles, work_dir, written  # noqa: F401  for the operators
 
 #: Characters that end a word in the contracts: space and 0x09 to 0x0D.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -27,7 +27,6 @@ as every word and context counts; extra columns are ignored, whatever their name
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_bytes, column, delete, documents, fold_of, mix64, row_ranges, word_hashes, work_dir, written
+from .common import arrow_bytes, column, delete, documents, dropping_shuffles, fold_of, mix64, row_ranges, word_hashes, work_dir, written
 
 SAMPLES = 3
 BURN, BETWEEN = 6, 3
@@ -652,13 +651,6 @@ def _added(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
     return [batches[keys >> 16], (keys & 0xFFFF).astype(np.uint16), *sums]
 
 
-def forget(spark: SparkSession, path: str) -> None:
-    """Deletes a written table that no later step reads, and lets Spark drop the shuffles of tables that are gone."""
-    gc.collect()
-    spark._jvm.System.gc()
-    delete(spark, path)
-
-
 def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 5, held: int = 1, seed: int = 1, bucket_bytes: int = 4 << 20) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity) of each row of docs."""
     spark = docs.sparkSession
@@ -670,9 +662,9 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", fo
     large, pieces = large_contexts(docs, buckets, folder)
 
     dealt = deal(docs, large, pieces, buckets).groupBy("bucket").applyInArrow(lambda table: gathered(table, buckets, parts, large), GATHERED)
-    dealt.write.option("compression", "zstd").partitionBy("what").parquet(f"{folder}/buckets")  # each kind can go when it is no longer read
+    with dropping_shuffles(spark):
+        dealt.write.option("compression", "zstd").partitionBy("what").parquet(f"{folder}/buckets")  # each kind can go when it is no longer read
     stored = spark.read.schema(dealt.schema).parquet(f"{folder}/buckets")
-    del dealt
     asks = stored.where(F.col("what") == ASK).select("bucket", "k", "a", "b", "c", "d", "e", "f")
     home = written(asks.groupBy("k").applyInArrow(first_part, PART_STEP), "part0", folder)
     known = home.where(F.col("what") == TOTAL).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("m"), F.lit(0)).alias("m")).first()
@@ -680,7 +672,7 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", fo
     discount = lambda a, b: float(np.clip(a / (a + 2 * b), 0.05, 0.95)) if a else 0.5
     settings = Settings(discount(counts["ones"], counts["twos"]), 0.5, known["n"], known["m"], seed)
     told = written(stored.where(F.col("what") == STATE).select("bucket", "a").groupBy("bucket").applyInArrow(lambda state: first_tables(state, parts), BUCKET_STEP), "bucket0", folder)
-    forget(spark, f"{folder}/buckets/what={STATE}")
+    delete(spark, f"{folder}/buckets/what={STATE}")
 
     def parts_after(home: DataFrame, told: DataFrame, sweep: int, before: Totals, save: bool) -> tuple[DataFrame, Totals]:
         x = parent_x(before.tables, settings, sweep)
@@ -699,7 +691,7 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", fo
     samples = []
     for sweep in range(1, max(taken) + 2):
         home, now = parts_after(home, told, sweep, now, sweep - 1 in taken)
-        forget(spark, f"{folder}/part{sweep - 1}")
+        delete(spark, f"{folder}/part{sweep - 1}")
         if sweep == 1:  # with one table a dish, the parent's customers are the contexts of words
             both = home.where(F.col("what") == TOTAL).agg(F.sum("ones"), F.sum("twos")).first()
             settings.parent_discount = discount(both[0] or 0, both[1] or 0)
@@ -710,12 +702,12 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", fo
         replies = home.where(F.col("what") == REPLY).select("bucket", "k", "a", "b")
         state = told.where(F.col("what") == STATE).select("bucket", "a", "b", "c")
         told = written(state.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(swept(now, sweep), BUCKET_STEP), f"bucket{sweep}", folder)
-        forget(spark, f"{folder}/bucket{sweep - 1}")
+        delete(spark, f"{folder}/bucket{sweep - 1}")
 
     last = home.where(F.col("what") == STATE).select("k", "a", "c", "e", "g", "i", "j").groupBy("k").cogroup(asks.select("bucket", "k", "a", "d").groupBy("k")).applyInArrow(last_replies, LAST_REPLY)
     last = written(last, "replies", folder)
-    forget(spark, f"{folder}/buckets/what={ASK}")
-    forget(spark, f"{folder}/part{max(taken) + 1}")
+    delete(spark, f"{folder}/buckets/what={ASK}")
+    delete(spark, f"{folder}/part{max(taken) + 1}")
     together = (F.col("bucket") / TOGETHER).cast("int").alias("together")
     places = stored.where(F.col("what") == PLACES).select(together, "bucket", *"abcdefghiw")
     states = told.where(F.col("what") == STATE).selectExpr("bucket", "-1 AS k", "c AS a", *[f"CAST(NULL AS binary) AS {c}" for c in "bcd"])

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import column, documents, work_dir
+from .common import column, documents, dropping_shuffles, work_dir
 from .mixing import _row_hash
 
 #: What a record weighs besides its text.
@@ -75,7 +75,8 @@ def shuffle_to_shards(df: DataFrame, shards: int = 40, key: str = "doc_id", text
     fields = [F.col("record").getField(f"f{i}").alias(f"f{i}") for i in range(len(names))]
     path = f"{work_dir(spark)}/shards"
     flat = done.select(*fields, "place", "bucket", "shard").sortWithinPartitions("shard", "bucket", "place")
-    flat.write.option("compression", "zstd").partitionBy("shard").parquet(path)
+    with dropping_shuffles(spark):
+        flat.write.option("compression", "zstd").partitionBy("shard").parquet(path)
     stored = spark.read.schema(flat.schema).parquet(path)
     sizes = stored.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = F.sum("n").over(W.partitionBy("shard").orderBy("bucket")) - F.col("n")

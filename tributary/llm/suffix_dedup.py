@@ -385,8 +385,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", buc
     heads = written(heads.groupBy("doc_id", "digest", "sha", "n_bytes").agg(F.count("*").alias("rows")), "heads", folder)
     size = heads.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(64, -(-size // bucket_bytes))
-    twins = positions(docs, buckets).groupBy("bucket").applyInArrow(_twins, FOUND)
-    spots = written(twins, "spots", folder).groupBy("doc_id", "digest").agg(F.collect_list("found").alias("found"))
+    twins = written(positions(docs, buckets).groupBy("bucket").applyInArrow(_twins, FOUND), "spots", folder)
+    spots = twins.groupBy("doc_id", "digest").agg(F.collect_list("found").alias("found"))
     cut = snippets(spots.join(docs, ["doc_id", "digest"]).select("doc_id", "digest", "found", "text"), buckets * SNIPPET_BUCKETS)
     ranges = written(cut.groupBy("bucket").applyInArrow(_removed, RANGES), "ranges", folder)
 
